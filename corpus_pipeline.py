@@ -2,13 +2,57 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
-#: Scores, pseudonyms and token ids are not expressible in SQL; tests compare stages with brute force instead.
+from knotwork.llm import bpe_trie, jaccard, mixing, pii, quality
+from knotwork.runtime import scratch_path
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from the labelled ones among them."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates, the one with the smallest id."""
+    return jaccard.representatives(docs)
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by pseudonyms; n_chars follows where a text changes length."""
+    out = pii.pseudonymised(docs.withColumn("__was", F.length("text")))
+    return out.withColumn("n_chars", (F.col("n_chars") + F.coalesce(F.length("text") - F.col("__was"), F.lit(0))).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources as documents: a row for each copy that the mix takes, none for those it leaves out."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of every document."""
+    return bpe_trie.encoded(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True).drop("decoded")
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("PII", hide_personal_data),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", encode),
+]
+
+#: Scores, pseudonyms and token ids cannot be expressed in SQL; tests hold each stage against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written as Parquet and read back for the next stage."""
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = scratch_path(spark, f"pipeline-{name.split()[0]}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

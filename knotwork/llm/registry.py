@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import bpe_trie, langid, mixing, pii, quality, token_counts, topk, vector_dedup, warc
+from knotwork.llm import bpe_trie, jaccard, langid, mixing, pii, quality, token_counts, topk, vector_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id."""
+    return jaccard.joined(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, as read back from the archives."""
     return warc.archive_round_trip(_table(spark, sf_dir, "pages")).drop("url", "payload")
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
     "op5_topk": op5_topk,
+    "op6_jaccard": op6_jaccard,
     "op7_warc": op7_warc,
     "op8_langid": op8_langid,
     "op9_mixing": op9_mixing,
