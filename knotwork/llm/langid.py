@@ -7,12 +7,12 @@ cosine (Joshi, Halseth and Kanerva 2016). Runs of other characters count as one
 
 Bundling is linear, so a chunk of documents is one matrix product: counts of n-grams by n-gram vectors.
 
-Training takes every document with a language outside the held-out quarter where a language has at most
-``PER_LANGUAGE`` of them, else a sample of about that many by a hash of the id; counts by language cover all rows.
-Prototypes are summed by Spark, one row a language and dimension; only they reach the driver.
+Training takes a bounded sample: of every language the ``PER_LANGUAGE`` documents outside the held-out quarter whose
+ids hash lowest (all where there are fewer), ``SAMPLE`` at most in all. Prototypes are summed by Spark, one row a language
+and dimension; only they reach the driver.
 
 Defined results. Null text, or text without letters: ``und`` with score 0. Nothing to learn from: ``und``, score 0. Ties:
-the first language by code point. Null doc_id: not held out. Repeated rows are predicted each. Texts of any length are
+the first language by code point. Null doc_id: not held out, not learned from. Repeated rows are predicted each. Texts of any length are
 read whole. Extra columns are ignored.
 """
 
@@ -23,16 +23,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.runtime import ship_package
 
 DIMS = 512
 SEED = 2024
-PER_LANGUAGE = 600
-#: Documents and characters of one matrix product.
-CHUNK_DOCS, CHUNK_CHARS = 64, 400_000
+#: Documents that teach a language, and all of them together; parts in which a language is ranked.
+PER_LANGUAGE, SAMPLE, SALTS = 600, 60_000, 256
+#: Documents, characters and n-grams of one matrix product.
+CHUNK_DOCS, CHUNK_CHARS, CHUNK_GRAMS = 64, 400_000, 16_384
 
 
 def held_out(doc_id: Column) -> Column:
@@ -86,11 +87,14 @@ def bundle(texts: list[np.ndarray]) -> np.ndarray:
                 grams.append(g), counts.append(n), rows.append(np.full(len(g), i))
         if grams:
             gram, at = np.unique(np.concatenate(grams), return_inverse=True)
-            table = np.zeros((len(chunk), len(gram)), np.float32)
-            table[np.concatenate(rows), at] = np.concatenate(counts)
+            row, count = np.concatenate(rows), np.concatenate(counts)
             v = np.stack([letter_vector(int(a)) for a in alphabet])
-            bound = np.roll(v, 2, 1)[gram // (k * k)] * np.roll(v, 1, 1)[gram // k % k] * v[gram % k]
-            out[lo:hi] = table @ bound.astype(np.float32)
+            for first in range(0, len(gram), CHUNK_GRAMS):
+                part, here = gram[first : first + CHUNK_GRAMS], (at >= first) & (at < first + CHUNK_GRAMS)
+                table = np.zeros((len(chunk), len(part)), np.float32)
+                table[row[here], at[here] - first] = count[here]
+                bound = np.roll(v, 2, 1)[part // (k * k)] * np.roll(v, 1, 1)[part // k % k] * v[part % k]
+                out[lo:hi] += table @ bound.astype(np.float32)
         lo = hi
     return out
 
@@ -100,12 +104,18 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their unit prototypes."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    # one row a language; Spark broadcasts it only where it is measured to be small
-    shares = usable.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
-    u = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = usable.join(shares, "lang").where(u < F.col("share")).select("lang", "text")
+    """Languages in order and their unit prototypes.
+
+    The sample is chosen on (doc_id, lang) alone: the ids of each language that hash lowest, first within ``SALTS`` parts,
+    so that no language is ranked in one task, then over the parts. Only the chosen ids, at most ``SAMPLE``, are broadcast.
+    """
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
+    ranked = usable.select("*", F.xxhash64(F.lit(SEED), "doc_id").alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("part"))
+    for keys in (("lang", "part"), ("lang",)):
+        by = Window.partitionBy(*keys).orderBy("h", "doc_id")
+        ranked = ranked.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= per_language)
+    ids = ranked.orderBy("h", "doc_id", "lang").limit(SAMPLE).select("doc_id", "lang").distinct()
+    chosen = docs.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
