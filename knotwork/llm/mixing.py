@@ -89,7 +89,9 @@ def slots(per_source: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: in
     s = s.withColumn("rem", want % size).withColumn("n_slots", F.floor(want / size) * F.col("n_blocks") + F.ceil(F.col("rem") / block_words))
     s = s.withColumn("first", F.sum("n_slots").over(Window.orderBy("src")) - F.col("n_slots"))
     s = s.withColumn("all_slots", F.sum("n_slots").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    chunks = s.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(SLOT_CHUNK).cast("long"))).alias("lo")).repartition("src", "lo")
+    chunks = s.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(SLOT_CHUNK).cast("long"))).alias("lo"))
+    # a fixed number, since few rows that become many would be put together again at run time
+    chunks = chunks.repartition(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "lo")
     k = F.explode(F.sequence("lo", F.least(F.col("lo") + SLOT_CHUNK, "n_slots") - 1)).alias("k")
     x = chunks.select("*", k).withColumn("pass", F.floor(F.col("k") / F.col("n_blocks"))).withColumn("i", F.col("k") % F.col("n_blocks"))
     key = (F.lit(seed), F.col("src"), F.col("pass"))
@@ -135,7 +137,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 42, **share
     )
     got = F.col("uses") * (F.col("hi") - F.col("lo")) + F.greatest(F.least("hi", "lead") - F.col("lo"), F.lit(0).cast("long"))
     keys = ["src", "bucket", "nth", "doc_id", "size", "source_size", "target"]
-    out = pieces.join(used, ["src", "block"], "left").groupBy(*keys).agg(F.coalesce(F.sum(got), F.lit(0)).cast("long").alias("taken"))
+    # a merge join by name: after explode, estimates take the slots for a few rows and would broadcast them
+    out = pieces.join(used.hint("merge"), ["src", "block"], "left").groupBy(*keys).agg(F.coalesce(F.sum(got), F.lit(0)).cast("long").alias("taken"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
