@@ -35,7 +35,7 @@ from knotwork.runtime import ship_package
 END = "</w>"
 NEVER = 1 << 60
 #: Pieces and words kept in each of two generations, pieces of one trie, documents and characters handled at once.
-KEEP_PIECES, KEEP_WORDS, TRIE_PIECES, AT_ONCE_DOCS, AT_ONCE_CHARS = 80_000, 250_000, 50_000, 512, 2_000_000
+KEEP_PIECES, KEEP_WORDS, TRIE_PIECES, AT_ONCE_DOCS, AT_ONCE_CHARS = 200_000, 600_000, 50_000, 512, 2_000_000
 
 #: Pieces of visible ASCII and the letters of Latin-1: composed, and changed by lower case alone.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
