@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -55,3 +56,13 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are evaluated and out of reach.
+
+    Spark removes them when the JVM collects what refers to them, by itself only every half hour; long chains of large
+    shuffles ask for it between their steps.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
