@@ -10,8 +10,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 @pytest.fixture(scope="session")
 def spark():
     s = (
-        SparkSession.builder.master("local[2]")
-        .config("spark.sql.shuffle.partitions", "4")
+        SparkSession.builder.master("local[4]")
+        .config("spark.sql.shuffle.partitions", "2")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
@@ -44,15 +45,18 @@ def write_tree(root: Path, files: dict[str, str]) -> Path:
     return root
 
 
+#: A small Python project: 21 nodes, 19 edges, 4 components.
+PROJECT = {
+    "main.py": "from pkg.auth import Authenticator\n\ndef run():\n    a = Authenticator({})\n    return a.login('x', 'y')\n",
+    "pkg/__init__.py": "",
+    "pkg/auth.py": AUTH,
+    "pkg/db.py": "def lookup_user(db, name):\n    return db.get(name)\n",
+}
+
+
 @pytest.fixture
 def python_tree(tmp_path):
-    """A small Python project: 21 nodes, 19 edges, 4 components."""
-    return write_tree(tmp_path / "project", {
-        "main.py": "from pkg.auth import Authenticator\n\ndef run():\n    a = Authenticator({})\n    return a.login('x', 'y')\n",
-        "pkg/__init__.py": "",
-        "pkg/auth.py": AUTH,
-        "pkg/db.py": "def lookup_user(db, name):\n    return db.get(name)\n",
-    })
+    return write_tree(tmp_path / "project", PROJECT)
 
 
 @pytest.fixture

@@ -10,13 +10,15 @@ from knotwork.operators import analytics, community, render, search, traverse
 from knotwork.plans.engine import Engine, ShrinkError
 from knotwork.sources import nodelink, store
 from knotwork.streaming.watch import watch
-from tests.conftest import write_tree
+from tests.conftest import PROJECT, write_tree
 
 
-@pytest.fixture
-def engine(spark, python_tree, tmp_path):
-    e = Engine(spark, tmp_path / "out")
-    e.build(python_tree, viz=True)
+@pytest.fixture(scope="module")
+def engine(spark, tmp_path_factory):
+    """A built engine that tests only read from."""
+    base = tmp_path_factory.mktemp("engine")
+    e = Engine(spark, base / "out")
+    e.build(write_tree(base / "project", PROJECT), viz=True)
     return e
 
 
@@ -98,9 +100,11 @@ def test_fold_equals_model():
         assert got == fold_model(ids, lines, succ, pred, room)
 
 
-def test_update_cache_and_guard(engine, python_tree, tmp_path):
+def test_update_cache_and_guard(spark, python_tree, tmp_path):
+    engine = Engine(spark, tmp_path / "out")
+    engine.build(python_tree)
     assert engine.update(python_tree)["changed_files"] == 0
-    (python_tree / "main.py").write_text("\ndef run():\n    login(Authenticator)\n    Authenticator()\ndef extra():\n    run()\n")
+    (python_tree / "main.py").write_text("from pkg.auth import Authenticator\ndef run(): return login(Authenticator())\ndef extra(): return run()\n")
     s = engine.update(python_tree)
     assert (s["changed_files"], s["nodes"], s["edges"]) == (1, 23, 21)
     small = write_tree(tmp_path / "small", {"a.py": ""})
@@ -141,7 +145,10 @@ def test_nodelink_last_wins_and_stubs(spark, tmp_path):
     assert json.loads((tmp_path / "h.json").read_text())["nodes"][0] == {"id": "a", "name": "2", "odd": "x"}
 
 
-def test_communities(spark, engine):
+def test_communities(spark, engine, monkeypatch):
+    monkeypatch.setattr(community, "COARSE_ROUNDS", 2)
+    monkeypatch.setattr(community, "COARSE_LEVELS", 1)
+    monkeypatch.setattr(community, "MAX_SPLITS", 1)
     g = engine.graph()
     for limit in (community.GROUP_EDGES, 3):  # the second coarsens by whole-table rounds first
         c = community.communities(g, group_edges=limit)
