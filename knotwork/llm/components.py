@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.runtime import cut
+from knotwork.runtime import cut, release
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,4 +34,5 @@ def components(links: DataFrame) -> DataFrame:
             break
         seen = mark
         edges = cut(_stars(cut(_stars(edges, True)), False))
+        release(edges.sparkSession)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

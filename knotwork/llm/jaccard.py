@@ -12,8 +12,10 @@ Jaccard similarity of 0.8 or more; the operator returns the components of these
    share k shingles. Large sets scan inverted lists: all sets post the shingles for k = 1, and pairs with a large set are
    read off the lists. Small sets enumerate all 2-subsets of their shingles for k = 2; equal subsets give the pairs of
    small sets. The boundary between small and large is the one of least estimated cost, from the histogram of set sizes
-   and the sketch. Sizes and places in the order rule out most pairs in a list before they are compared.
-4. Every remaining candidate is compared exactly, and components are united over all links.
+   and the sketch. Sizes and places in the order rule out most pairs in a list before they are compared. Long lists are
+   searched twice: first rows near each other, whose links unite most of the list; then all pairs still apart.
+4. Candidates that share too few of their leading shingles go; every other one is compared exactly on whole sets, and
+   components are united over all links.
 
 Skew. Equal sets cost one row for each task after partial aggregation. Lists that the sketch shows to be long are dealt
 to blocks: pairs of blocks are separate groups. No list is capped, no pair of a list is dropped unless its bound rules it out.
@@ -30,25 +32,30 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.llm.components import components
-from knotwork.runtime import cut, ship_package
+from knotwork.runtime import cut, release, ship_package, trimmed
 
 WORDS = 5
 #: Minimum hashes of a set; buckets and parts of the sketch; groups that sum the sketches of tasks.
-MINIMA, SKETCH_BITS, PARTS, SALTS = 4, 20, 16, 256
+MINIMA, SKETCH_BITS, PARTS, SALTS = 16, 22, 16, 256
+#: Quick links: orders by minimum hashes, following neighbours tried in each, minimum hashes in common at least.
+ORDERS, NEXT, AGREE = 4, 4, 11
 #: Rows of an inverted list that meet in one group; characters handled at once; bits of the filter of candidate ids.
 LIST, CHUNK, FILTER_BITS = 2048, 1 << 20, 24
-LONG = CHUNK // 4
+#: Bytes from which a word is hashed by a digest; ids of a clump of candidates that meet at once.
+LONG, BLOCK = CHUNK // 4, 32
+#: Rows from which a list is first searched in part, and how far apart its rows are paired then.
+MANY, NEAR = 16, 16
 #: Set sizes told apart when the boundary is chosen; larger sets count as the last.
 SIZES = 64
 
@@ -145,9 +152,15 @@ def prefix(n, k: int):
     return np.minimum(n, n + (-4 * n // 5) + k)
 
 
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements in both of two arrays, each without repetitions."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    shared = len(a) + len(b) - len(np.union1d(a, b))
-    return bool(len(a)) and 100 * shared >= 80 * (len(a) + len(b) - shared)
+    n = shared(a, b)
+    return n > 0 and 100 * n >= 80 * (len(a) + len(b) - n)
 
 
 SIGNATURES = "doc_id long, n long, d0 long, d1 long, minima array<long>, task int, part int, counts binary"
@@ -157,23 +170,28 @@ def signatures(docs: DataFrame) -> DataFrame:
     """Rows of documents (size, digest, minimum hashes) and, with ``part`` set, of each task's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = mixed(np.arange(1, MINIMA + 1, dtype=np.uint64))
-        counts = np.zeros(1 << SKETCH_BITS, np.int32)
+        turns = mixed(np.arange(1, MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
+        counts, seen = np.zeros(1 << SKETCH_BITS, np.int32), []
         for batch in batches:
             for part, sets in in_chunks(batch):
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                counts += np.bincount((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
+                seen.append(_bucket(flat))
+                if sum(map(len, seen)) > len(counts):
+                    counts += np.bincount(np.concatenate(seen), minlength=len(counts)).astype(np.int32)
+                    seen = []
                 minima = np.zeros((len(sets), MINIMA), np.uint64)
                 full = np.array([len(s) > 0 for s in sets], bool)
                 offsets = np.cumsum([0, *(len(s) for s in sets)])[:-1][full]
                 for k in range(MINIMA if len(flat) else 0):
-                    minima[full, k] = np.minimum.reduceat(mixed(flat ^ salts[k]), offsets)
+                    minima[full, k] = np.minimum.reduceat(flat * turns[k], offsets)
                 digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
                 none = pa.nulls(len(sets), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(list(minima.view(np.int64)), pa.list_(pa.int64())), none, none, pa.nulls(len(sets), pa.binary())],
                     names=["doc_id", "n", "d0", "d1", "minima", "task", "part", "counts"],
                 )
+        if seen:
+            counts += np.bincount(np.concatenate(seen), minlength=len(counts)).astype(np.int32)
         if counts.any():
             task, pieces = TaskContext.get().partitionId(), np.split(counts, PARTS)
             none = pa.nulls(PARTS, pa.int64())
@@ -182,7 +200,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n", "d0", "d1", "minima", "task", "part", "counts"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNATURES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), SIGNATURES)
 
 
 def sketch_of(table: DataFrame) -> np.ndarray:
@@ -200,10 +218,10 @@ def sketch_of(table: DataFrame) -> np.ndarray:
 
 
 def near_pairs(classes: DataFrame) -> DataFrame:
-    """(a, b): neighbours in the orders by minimum hashes that share the first, of classes (rep, n, minima)."""
-    turns = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), *[F.get("minima", F.lit((k + j) % MINIMA)).alias(f"m{j}") for j in range(3)]) for k in range(MINIMA)]))
-    x = classes.where("n > 0").select("rep", "n", turns.alias("t")).select("t.k", "t.m0", "t.m1", "t.m2", "n", "rep")
-    order = ["k", "m0", "m1", "m2", "n", "rep"]
+    """(a, b): near neighbours in orders by minimum hashes, of classes (rep, n, minima), with ``AGREE`` of them in common."""
+    orders = [F.struct(F.lit(k).alias("k"), *[F.get("minima", F.lit((k + ORDERS * j) % MINIMA)).alias(f"m{j}") for j in range(3)]) for k in range(ORDERS)]
+    x = classes.select("rep", "n", "minima", F.explode(F.array(*orders)).alias("t")).select("t.*", "n", "rep", "minima")
+    by = ["k", "m0", "m1", "m2", "n", "rep"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -212,12 +230,14 @@ def near_pairs(classes: DataFrame) -> DataFrame:
                 continue
             b = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0] if last is not None else b
             k, m, n, rep = (b.column(c).to_numpy() for c in ("k", "m0", "n", "rep"))
-            same = (k[1:] == k[:-1]) & (m[1:] == m[:-1]) & (5 * np.minimum(n[1:], n[:-1]) >= 4 * np.maximum(n[1:], n[:-1]))
-            i = np.flatnonzero(same)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[i + 1])), pa.array(np.maximum(rep[i], rep[i + 1]))], names=["a", "b"])
-            last = b.slice(b.num_rows - 1)
+            minima = b.column("minima").flatten().to_numpy().reshape(-1, MINIMA)
+            for d in range(1, min(NEXT + 1, len(k))):
+                i = np.flatnonzero((k[d:] == k[:-d]) & (m[d:] == m[:-d]) & (5 * np.minimum(n[d:], n[:-d]) >= 4 * np.maximum(n[d:], n[:-d])))
+                i = i[(minima[i] == minima[i + d]).sum(1) >= AGREE]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[i + d])), pa.array(np.maximum(rep[i], rep[i + d]))], names=["a", "b"])
+            last = b.slice(max(0, b.num_rows - NEXT))
 
-    return x.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return x.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(trimmed(run), "a long, b long").where("a <> b").distinct()
 
 
 def _filter(ids: DataFrame) -> np.ndarray:
@@ -233,43 +253,71 @@ def _filter(ids: DataFrame) -> np.ndarray:
         u = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in pdf["bits"]])
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "bits": [zlib.compress(u.tobytes(), 1)]})
 
-    rows = {r.part: bytes(r.bits) for r in ids.mapInArrow(run, "part int, bits binary").groupBy("part").applyInPandas(union, "part int, bits binary").collect()}
+    rows = {r.part: bytes(r.bits) for r in ids.mapInArrow(trimmed(run), "part int, bits binary").groupBy("part").applyInPandas(union, "part int, bits binary").collect()}
     empty = zlib.compress(bytes((1 << FILTER_BITS) // 8 // PARTS), 1)
     return np.frombuffer(b"".join(zlib.decompress(rows.get(p, empty)) for p in range(PARTS)), np.uint8)
 
 
+def _holds(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1
+
+
 def _slots(ids: np.ndarray) -> np.ndarray:
     return (mixed(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
+def met(pairs: DataFrame, values: DataFrame, good: Callable[[np.ndarray, int, np.ndarray, int], bool]) -> DataFrame:
+    """The pairs (a, b) for which ``good`` holds of any of their ``values`` (id, n, shingles).
+
+    Candidates come in clumps. Ids with the same smallest neighbour are dealt to blocks of about ``BLOCK``, and a pair belongs
+    to the pair of its ids' blocks, so a value moves once for each pair of blocks and not once for each pair.
+    """
+    both = pairs.select(F.col("a").alias("id"), "b").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("b")))
+    label = both.groupBy("id").agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("label"))
+    blocks = label.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    home = cut(label.join(blocks, "label").select("id", F.xxhash64("label", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("home")))
+    side = lambda end: home.select(F.col("id").alias(end), F.col("home").alias(f"home_{end}"))
+    keyed = pairs.join(side("a"), "a").join(side("b"), "b")
+    keyed = cut(keyed.select(F.xxhash64(F.least("home_a", "home_b"), F.greatest("home_a", "home_b")).alias("key"), "a", "b"))
+    none = lambda kind: F.lit(None).cast(kind)
+    guests = keyed.select("key", F.col("a").alias("id")).unionByName(keyed.select("key", F.col("b").alias("id"))).distinct().join(values, "id")
+    rows = guests.select("key", none("long").alias("a"), none("long").alias("b"), "id", "n", "shingles").unionByName(keyed.select("key", "a", "b", none("long").alias("id"), none("long").alias("n"), none("binary").alias("shingles")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, here = None, {}
+        for batch in batches:
+            found = []
+            columns = [batch.column(c).to_pylist() for c in ("key", "a", "b", "id", "n")]
+            for k, a, b, i, n, s in zip(*columns, batch.column("shingles"), strict=True):
+                if k != key:
+                    key, here = k, {}
+                if a is None:
+                    here.setdefault(i, []).append((np.frombuffer(s.as_buffer(), np.uint64), n))
+                elif any(good(*x, *y) for x in here.get(a, ()) for y in here.get(b, ())):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key", F.col("a").asc_nulls_first()).mapInArrow(trimmed(compare), "a long, b long")
+
+
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose documents link. Sets are made once, join their pairs by id, and meet by pair."""
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(ends.select("id").distinct()))  # of fixed size
+    """The pairs (a, b) whose documents link, by their whole sets."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return met(pairs, sets_of(docs, ids), lambda x, _, y, __: linked(x, y))
+
+
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, n, shingles) of the documents with these ids, and of a few others that the filter lets through."""
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(ids))  # of fixed size
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.compute.is_valid(b.column("doc_id")))
             at = _slots(b.column("doc_id").to_numpy())
-            for part, found in in_chunks(b.filter(pa.array(bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1))):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "shingles"])
+            for part, found in in_chunks(b.filter(pa.array(_holds(bits.value, at)))):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "n", "shingles"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, left, right, good = None, [], [], []
-        for b in batches:
-            for a_b, i, s in zip(zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True), b.column("id").to_pylist(), b.column("shingles"), strict=True):
-                if a_b != pair:
-                    good += [pair] if any(linked(x, y) for x in left for y in right) else []
-                    pair, left, right = a_b, [], []
-                (left if i == a_b[0] else right).append(np.frombuffer(s.as_buffer(), np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], pa.int64()) for k in (0, 1)], names=["a", "b"])
-            good = []
-        if any(linked(x, y) for x in left for y in right):
-            yield pa.RecordBatch.from_arrays([pa.array([pair[k]], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    s = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "id long, shingles binary")
-    x = ends.join(s, "id").select("a", "b", "id", "shingles").repartition("a", "b").sortWithinPartitions("a", "b")
-    return x.mapInArrow(compare, "a long, b long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(sets), "id long, n long, shingles binary")
 
 
 def boundary(histogram: dict[int, int], sketch: np.ndarray) -> int:
@@ -294,69 +342,99 @@ def boundary(histogram: dict[int, int], sketch: np.ndarray) -> int:
     return min(range(SIZES), key=cost)
 
 
-def postings(docs: DataFrame, roots: DataFrame, sketch: np.ndarray, small: int) -> DataFrame:
-    """(key, n, place, rep, root, single): a row for each inverted list (``single``) or 2-subset that a class takes part
-    in, with the place of its (first) shingle in the class's order."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(sketch.astype(np.int32) if sketch.max(initial=0) < 2**31 else sketch)  # of fixed size
+def leads(docs: DataFrame, roots: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """(rep, root, n, lead): of each class the leading shingles for k = 2, in order."""
+    sent = _sent(docs.sparkSession, sketch)
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        counts = sent.value
         even = counts.mean()
         floor = even + 6 * np.sqrt(even) + 4
         for b in batches:
             for part, sets in in_chunks(b.filter(pa.compute.is_valid(b.column("doc_id")))):
                 lead = []
                 for s in sets:
-                    n = len(s)
-                    c = np.maximum(counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], floor)
+                    c = np.maximum(counts[_bucket(s)], floor)
                     # s is sorted, so a stable sort by count leaves ties in order of hash
-                    first = s[np.argsort(c, kind="stable")[: int(prefix(n, 2))]] if n else s
-                    lead.append(first.view(np.int64))
+                    lead.append(s[np.argsort(c, kind="stable")[: int(prefix(len(s), 2))]].tobytes())
                 digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests[:, 0]), pa.array([len(s) for s in sets], pa.int64()), pa.array(lead, pa.list_(pa.int64()))], names=["rep", "d0", "n", "lead"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests[:, 0]), pa.array([len(s) for s in sets], pa.int64()), pa.array(lead, pa.binary())], names=["rep", "d0", "n", "lead"])
+
+    lead = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(ordered), "rep long, d0 long, n long, lead binary")
+    return lead.join(roots.select("rep", "d0", "root"), ["rep", "d0"]).select("rep", "root", "n", "lead")
+
+
+def _sent(spark: SparkSession, sketch: np.ndarray) -> Broadcast:
+    """The sketch for the executors; its size is fixed."""
+    return spark.sparkContext.broadcast(sketch.astype(np.int32) if sketch.max(initial=0) < 2**31 else sketch)
+
+
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def postings(lead: DataFrame, sketch: np.ndarray, small: int, only: np.ndarray | None = None) -> DataFrame:
+    """(key, spot, before, earlier, rep, root): a row for each inverted list or 2-subset that a class takes part in; those in the
+    bit filter ``only``, if given. ``spot`` packs the set's size, the place of the (first) shingle in the class's order and
+    whether it is a list; ``before`` and ``earlier`` are the two shingles before it in that order, in lists, or 0."""
+    sent = _sent(lead.sparkSession, sketch)
+    chosen = lead.sparkSession.sparkContext.broadcast(only)  # of fixed size
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        counts = sent.value
         even = counts.mean()
         for big in batches:
             for lo in range(0, big.num_rows, 512):
                 b = big.slice(lo, 512)
                 columns = [[] for _ in range(6)]
                 for rep, root, n, lead in zip(b.column("rep").to_pylist(), b.column("root").to_pylist(), b.column("n").to_pylist(), b.column("lead"), strict=True):
-                    lead = lead.values.to_numpy().view(np.uint64)
+                    lead = np.frombuffer(lead.as_buffer(), np.uint64)
                     if n <= small:
                         i, j = np.triu_indices(len(lead), 1)
-                        add(columns, mixed(np.minimum(lead[i], lead[j]) ^ mixed(np.maximum(lead[i], lead[j]))), counts_of(lead[i], counts), i, n, rep, root, even, False)
+                        add(columns, mixed(np.minimum(lead[i], lead[j]) ^ mixed(np.maximum(lead[i], lead[j]))), counts[_bucket(lead[i])], i, n, rep, root, even, False)
                     if 5 * n >= 4 * (small + 1):
                         one = lead[: int(prefix(n, 1))]
-                        add(columns, one, counts_of(one, counts), np.arange(len(one)), n, rep, root, even, True)
+                        add(columns, one, counts[_bucket(one)], np.arange(len(one)), n, rep, root, even, True)
                 if columns[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["key", "n", "place", "rep", "root", "single"])
-
-    def counts_of(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["key", "spot", "before", "earlier", "rep", "root"])
 
     def add(columns: list[list], keys: np.ndarray, counts: np.ndarray, place: np.ndarray, n: int, rep: int, root: int, even: float, single: bool) -> None:
         """Rows of one class; in long lists a row goes to all pairs of blocks that hold its own."""
         blocks = 1 + (np.maximum(0, counts - even) // LIST).astype(np.int64)
-        keys, place = keys ^ np.uint64(single), place.astype(np.int32)
+        plain, none = keys, np.zeros(min(2, len(keys)), np.uint64)
+        before, earlier = (np.concatenate([none[:k], plain[: len(plain) - k]]) if single else np.zeros(len(plain), np.uint64) for k in (1, 2))
+        keys = keys ^ np.uint64(single)
         if blocks.max(initial=1) > 1:
             own = (mixed(np.array([rep], np.int64).view(np.uint64))[0] % blocks.astype(np.uint64)).astype(np.int64)
             at = np.repeat(np.arange(len(keys)), blocks)
             other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
             pair = np.minimum(own[at], other) * blocks[at] + np.maximum(own[at], other)
-            keys, place = mixed(keys[at] + pair.astype(np.uint64)), place[at]
-        m = len(keys)
-        for c, v in zip(columns, (keys.view(np.int64), np.full(m, n, np.int32), place, np.full(m, rep, np.int64), np.full(m, root, np.int64), np.full(m, single)), strict=True):
+            keys, place, before, earlier = mixed(keys[at] + pair.astype(np.uint64)), place[at], before[at], earlier[at]
+        if chosen.value is not None:
+            at = _slots(keys.view(np.int64))
+            keep = _holds(chosen.value, at)
+            keys, place, before, earlier = keys[keep], place[keep], before[keep], earlier[keep]
+        spot = (np.int64(n) << 32) + (place.astype(np.int64) << 1) + int(single)
+        for c, v in zip(columns, (keys.view(np.int64), spot, before.view(np.int64), earlier.view(np.int64), np.full(len(keys), rep, np.int64), np.full(len(keys), root, np.int64)), strict=True):
             c.append(v)
 
-    lead = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(ordered, "rep long, d0 long, n long, lead array<long>")
-    return lead.join(roots.select("rep", "d0", "root"), ["rep", "d0"]).select("rep", "root", "n", "lead").mapInArrow(posted, "key long, n int, place int, rep long, root long, single boolean")
+    return lead.mapInArrow(trimmed(posted), "key long, spot long, before long, earlier long, rep long, root long")
 
 
-def candidate_pairs(posts: DataFrame, small: int) -> DataFrame:
-    """(a, b): pairs of a list that sizes and places do not rule out, of different components; small sets only by subsets."""
+def promising(pairs: DataFrame, lead: DataFrame) -> DataFrame:
+    """The pairs whose leading shingles alone do not rule them out.
+
+    If sets of sizes a and b share c = needed(a, b) shingles, the first p of A and the first q of B share at least
+    min(p - a, q - b) + c of them. The leads are a fifth of the sets, so most false candidates go before sets move.
+    """
+    return met(pairs, lead.select(F.col("rep").alias("id"), "n", F.col("lead").alias("shingles")), lambda x, n, y, m: shared(x, y) >= min(len(x) - n, len(y) - m) + needed(n, m))
+
+
+def candidate_pairs(posts: DataFrame, small: int, near: int | None) -> DataFrame:
+    """(a, b, open): pairs of a list that sizes and places do not rule out, of different components; small sets only by
+    subsets. With ``near``, lists of more than ``MANY`` rows, in an order of chance, give the pairs of rows up to ``near``
+    apart alone, and their key as ``open``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -373,40 +451,52 @@ def candidate_pairs(posts: DataFrame, small: int) -> DataFrame:
             yield from lists(held)
 
     def lists(t: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        key, n, place, rep, root = (t.column(c).to_numpy() for c in ("key", "n", "place", "rep", "root"))
-        single = t.column("single").to_numpy(zero_copy_only=False)
-        n, place = n.astype(np.int64), place.astype(np.int64)
+        key, spot, before, earlier, rep, root = (t.column(c).to_numpy() for c in ("key", "spot", "before", "earlier", "rep", "root"))
+        n, place, single = spot >> 32, (spot & 0xFFFFFFFF) >> 1, spot & 1 == 1
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(start, len(key)))
         # lists whose rows are all of one component have nothing to add
-        mixed_list = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
-        end = np.repeat(np.where(mixed_list, start + size, start), size)
+        several = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
+        end = np.repeat(np.where(several, start + size, start), size)
+        partly = several & (size > max(MANY, near or 0)) & (near is not None)
+        reach = np.repeat(np.where(partly, near or 0, size), size)
+        if partly.any():
+            keys = key[start[partly]]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64()), pa.array(keys)], names=["a", "b", "open"])
         i = np.flatnonzero(np.arange(len(key)) + 1 < end)
-        d = 1
-        found = []
+        d, found, held = 1, [], 0
         while len(i):
             j = i + d
             a, b = n[i], n[j]
             good = (root[i] != root[j]) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & (np.minimum(a - place[i], b - place[j]) >= needed(a, b)) & (~single[i] | (np.maximum(a, b) > small))
+            # a pair that shares one of the two shingles before is a pair of that shingle's list, at better places
+            for x in (before, earlier):
+                for y in (before, earlier):
+                    good &= (x[i] != y[j]) | (x[i] == 0)
             if good.any():
                 found.append((rep[i[good]], rep[j[good]]))
+                held += len(found[-1][0])
             d += 1
-            i = i[i + d < end[i]]
-        if found:
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
-            order = np.lexsort((hi, lo))
-            lo, hi = lo[order], hi[order]
-            new = np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-            yield pa.RecordBatch.from_arrays([pa.array(lo[new]), pa.array(hi[new])], names=["a", "b"])
+            i = i[(i + d < end[i]) & (d <= reach[i])]
+            if found and (held > 500_000 or not len(i)):
+                yield pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                found, held = [], 0
 
-    x = posts.repartition("key").sortWithinPartitions("key", "root", "n", "rep")
-    return x.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        lo, hi = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((hi, lo))
+        lo, hi = lo[order], hi[order]
+        new = np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+        return pa.RecordBatch.from_arrays([pa.array(lo[new]), pa.array(hi[new]), pa.nulls(int(new.sum()), pa.int64())], names=["a", "b", "open"])
+
+    x = posts.repartition("key").sortWithinPartitions("key", F.xxhash64("rep", F.lit(near or 0)))
+    return x.mapInArrow(trimmed(run), "a long, b long, open long").where("a IS NULL OR a <> b").distinct()
 
 
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    ship_package(docs.sparkSession)
+    spark = docs.sparkSession
+    ship_package(spark)
     table = cut(signatures(docs))
     sketch = sketch_of(table)
     rows = table.where("part IS NULL").select("doc_id", "n", "d0", "d1", "minima")
@@ -416,8 +506,14 @@ def joined(docs: DataFrame) -> DataFrame:
     roots = cut(classes.join(united, classes["rep"] == united["id"], "left").select("rep", "d0", "n", F.coalesce("component", "rep").alias("root")))
     sizes = roots.groupBy(F.least("n", F.lit(SIZES)).alias("n")).count().collect()  # at most SIZES rows
     small = boundary({int(r.n): r["count"] for r in sizes}, sketch)
-    found = cut(candidate_pairs(postings(docs, roots, sketch, small), small))
-    links = quick.unionByName(verified(docs, found))
+    release(spark)
+    lead = cut(leads(docs, roots, sketch))
+    found = cut(candidate_pairs(postings(lead, sketch, small), small, NEAR))
+    release(spark)
+    links = cut(quick.unionByName(verified(docs, cut(promising(found.where("a IS NOT NULL").select("a", "b"), lead)))))
+    open_lists = found.where("open IS NOT NULL").select(F.col("open").alias("id"))
+    if not open_lists.isEmpty():
+        links = _closed(docs, links, lead, postings(lead, sketch, small, _filter(open_lists)), small)
     final = components(links)
     member = rows.join(classes.select("d0", "d1", "rep"), ["d0", "d1"], "left").select("doc_id", "n", "rep")
     # a row of no class (an empty set) keeps its own id
@@ -425,6 +521,15 @@ def joined(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
+def _closed(docs: DataFrame, links: DataFrame, lead: DataFrame, posts: DataFrame, small: int) -> DataFrame:
+    """The links with those that long lists still hold: all pairs still apart, now that most of their rows are united."""
+    united = components(links).select(F.col("id").alias("rep"), "component")
+    now = posts.join(united, "rep", "left").withColumn("root", F.coalesce("component", "root")).select(*posts.columns)
+    found = cut(candidate_pairs(now, small, None).select("a", "b"))
+    release(docs.sparkSession)
+    return links.unionByName(verified(docs, cut(promising(found, lead))))
+
+
 def representatives(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest doc_id; all columns unchanged.
 
