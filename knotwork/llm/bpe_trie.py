@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from knotwork.runtime import ship_package
+from knotwork.runtime import KEPT, ship_package, trimmed
 
 END = "</w>"
 NEVER = 1 << 60
@@ -227,6 +227,7 @@ class TrieBpe:
 
 
 _ENCODERS: dict[str, TrieBpe] = {}
+KEPT[__name__] = _ENCODERS.clear
 
 
 def encoder(path: str) -> TrieBpe:
@@ -262,4 +263,4 @@ def encoded(docs: DataFrame, tokenizer: str, keep_ids: bool = False) -> DataFram
                     columns |= {"ids": pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in got], pa.list_(pa.int32())), "decoded": decoded}
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotwork.runtime import ship_package
+from knotwork.runtime import ship_package, trimmed
 
 DIMS = 512
 SEED = 2024
@@ -131,7 +131,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
         if sums:
             yield pa.RecordBatch.from_pydict({"lang": list(sums), "v": pa.array(list(sums.values()), pa.list_(pa.float64()))})
 
-    parts = chosen.mapInArrow(bundles, "lang string, v array<double>").select("lang", F.posexplode("v").alias("d", "x"))
+    parts = chosen.mapInArrow(trimmed(bundles), "lang string, v array<double>").select("lang", F.posexplode("v").alias("d", "x"))
     summed = parts.groupBy("lang", "d").agg(F.round(F.sum("x"), 6).alias("x")).collect()
     langs = sorted({r.lang for r in summed})
     at = {lang: i for i, lang in enumerate(langs)}
@@ -165,5 +165,5 @@ def identified(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
                 langs, scores = predict(b.column("text").to_pylist(), *shared.value)
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
 
-    x = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    x = docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, lang_pred string, score double")
     return x.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

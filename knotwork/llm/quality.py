@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.runtime import ship_package
+from knotwork.runtime import ship_package, trimmed
 
 SAMPLE = 4096
 WORD_DIMS = 2048
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisa
             })
 
     wanted = docs.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text", "n_chars")
-    got = wanted.mapInArrow(vectors, "doc_id long, quality int, idx array<int>, val array<float>").limit(2 * sample).collect()
+    got = wanted.mapInArrow(trimmed(vectors), "doc_id long, quality int, idx array<int>, val array<float>").limit(2 * sample).collect()
     got.sort(key=lambda r: (r.doc_id, r.quality, r.idx))
     y = np.array([r.quality for r in got], np.float64)
     if not len(y):
@@ -154,21 +154,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisa
     return FactorisationMachine.fit(x, y)
 
 
-def scored(docs: DataFrame, model: FactorisationMachine, *keep: str) -> DataFrame:
-    """The ``keep`` columns of every document with its ``score``."""
+def scored(docs: DataFrame, model: FactorisationMachine, *keep: str, name: str = "score") -> DataFrame:
+    """The ``keep`` columns of every document with its score under ``name``."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
     x = docs.select(*keep, F.col("text").alias("__text"), F.col("n_chars").cast("long").alias("__n_chars"))
-    schema = x.select(*keep).schema.add("score", "double")
+    schema = x.select(*keep).schema.add(name, "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for lo in range(0, big.num_rows, 512):
                 b = big.slice(lo, 512)
                 rows = [features(t, n) for t, n in zip(b.column("__text").to_pylist(), b.column("__n_chars").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(shared.value.scores(rows))], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(shared.value.scores(rows))], names=[*keep, name])
 
-    return x.mapInArrow(score, schema)
+    return x.mapInArrow(trimmed(score), schema)
 
 
 def classified(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -182,4 +182,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """The documents that the classifier accepts, all columns unchanged."""
     ship_package(docs.sparkSession)
     keep = docs.columns
-    return scored(docs, train(docs, labels), *keep).where(F.col("score") >= threshold).select(*keep)
+    return scored(docs, train(docs, labels), *keep, name="__score").where(F.col("__score") >= threshold).select(*keep)

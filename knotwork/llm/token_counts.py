@@ -27,13 +27,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.runtime import ship_package
+from knotwork.runtime import KEPT, ship_package, trimmed
 
 #: Pre-tokens of a new leaf; a leaf may grow to LEAF_MOST before the tree is built anew.
 LEAF, LEAF_MOST, FANOUT = 64, 1024, 16
 KEEP = 300_000
 
 _CODECS: dict[str, Codec] = {}
+KEPT[__name__] = _CODECS.clear
 
 
 class Codec:
@@ -205,4 +206,4 @@ def counted(edited: DataFrame, ranks: str, pattern: str, keep_text: bool = False
                 names = ["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_reencoded", *["text_edited"] * keep_text]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return edited.select("doc_id", "text", "edits").mapInArrow(run, schema)
+    return edited.select("doc_id", "text", "edits").mapInArrow(trimmed(run), schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.llm.components import components
-from knotwork.runtime import cut, ship_package
+from knotwork.runtime import cut, ship_package, trimmed
 
 THRESHOLD = 0.93
 PASSES, BITS, WINDOW = 12, 48, 64
@@ -94,7 +94,7 @@ def window_links(reps: DataFrame, threshold: float = THRESHOLD, passes: int = PA
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), b.column("label"), pa.array(keys[:, p]), b.column("rep"), b.column("v")], names=["pass", "label", "key", "rep", "v"])
 
     label = reps.schema["label"].dataType.simpleString()
-    table = reps.select("label", "rep", "v").mapInArrow(keyed, f"pass int, label {label}, key long, rep long, v array<double>")
+    table = reps.select("label", "rep", "v").mapInArrow(trimmed(keyed), f"pass int, label {label}, key long, rep long, v array<double>")
     order = ["pass", "label", "key", "rep"]
 
     def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +126,7 @@ def window_links(reps: DataFrame, threshold: float = THRESHOLD, passes: int = PA
         moved = np.flatnonzero(root != np.arange(len(x)))
         return pa.RecordBatch.from_arrays([pa.array(rep[moved].astype(np.int64)), pa.array(rep[root[moved]].astype(np.int64))], names=["a", "b"])
 
-    return table.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(slide, "a long, b long")
+    return table.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(trimmed(slide), "a long, b long")
 
 
 def exact_links(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
