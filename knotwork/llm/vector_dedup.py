@@ -1,17 +1,17 @@
-"""Operator 2: near-duplicate embeddings by sorted projection passes.
+"""Operator 2: near-duplicate embeddings by sorted projection passes and an exact comparison.
 
 Equal vectors of a label form one class, so copies cost nothing. In each of ``PASSES`` passes a class gets the
 concatenated bits of random hyperplane hashes; classes are ordered by (label, bits), and each is compared with the
 ``WINDOW`` that follow it, by matrix products over the sorted stream. All passes share one range shuffle. Pairs that
 reach the threshold are united inside the task, and only a spanning forest of them leaves it.
 
-The windows are bounded, so an exact way handles what they cannot hold: links exist only inside components, and inside
-every component all pairs are compared, in blocks of bounded size (pairs of blocks of a large component are separate
-groups). There n_links is counted; it never rests on the windows' pairs alone. Large groups of near copies therefore get
-all their links without pairs ever being emitted.
-
-What can be missed: a component split in two when no pass puts any two of its linked members within one window. Two
-vectors at cosine 0.93 agree in a random bit with probability 0.88, at 0.99 with 0.95.
+The passes are bounded and only save work: they unite most near copies early. Then all classes of a label and length are
+compared with each other exactly, in pairs of blocks of bounded size; there n_links is counted, and links that no window
+held unite their components. Within a pair of blocks classes lie in order of their component, so that tiles are compact;
+two tiles are compared only if their centres are near enough for a link (|a - b|^2 = 2 - 2 cos for unit vectors). Products
+are in single precision, those within their error of the threshold again in double. Only counts and links between
+different components leave a task, so large groups of near copies never emit their pairs. Nothing is missed; the price is
+work that grows with the square of a label's classes where bounds exclude no tiles.
 
 Defined results. Vectors that are null, zero, or hold null or non-finite components, and null labels: no links, the row's
 own component. Vectors of different lengths do not link. Null vec_id: counts as a link of others; it is smaller than no
@@ -24,17 +24,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.llm.components import components
-from knotwork.runtime import cut, ship_package, trimmed
+from knotwork.runtime import cut, give_back, ship_package, trimmed
 
 THRESHOLD = 0.93
 PASSES, BITS, WINDOW = 12, 48, 64
-BLOCK = 512
+#: Rows and vector components in a block of the exact comparison; a row is shuffled once for every block of its label.
+BLOCK, BLOCK_VALUES = 32_768, 1 << 21
+#: A large label has at least this many blocks, of no fewer rows than ``SPREAD_ROWS`` each, so that it is spread over tasks.
+SPREAD, SPREAD_ROWS = 6, 2048
+TILE = 512
 SEED = 7
 
 
@@ -130,29 +133,74 @@ def window_links(reps: DataFrame, threshold: float = THRESHOLD, passes: int = PA
 
 
 def exact_links(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(rep, links): rows linked to each class, by comparing all pairs of its component, of (rep, v, label, n, component)."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    x = members.join(sizes, "component").withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x = x.select("component", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "at", "rep", "label", "n", "v")
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        found = []
-        for _, part in pdf.groupby([pdf["label"], pdf["v"].map(len)], sort=False):
-            rows, columns = part[part["at"] == lo], part[part["at"] == hi]
-            if not len(rows) or not len(columns):
-                continue
-            s = _unit(np.stack(rows["v"])) @ _unit(np.stack(columns["v"])).T >= threshold
-            if lo == hi:
-                np.fill_diagonal(s, False)
-            found.append(pd.DataFrame({"rep": rows["rep"], "links": s @ columns["n"].to_numpy()}))
-            if lo != hi:
-                found.append(pd.DataFrame({"rep": columns["rep"], "links": rows["n"].to_numpy() @ s}))
-        return pd.concat(found) if found else pd.DataFrame({"rep": [], "links": []})
-
-    parts = x.groupBy("component", "lo", "hi").applyInPandas(count, "rep long, links long")
-    return parts.groupBy("rep").agg(F.sum("links").alias("links"))
+    """(rep, links, other) by comparing all pairs of a label and length, of (rep, v, label, n, component).
+
+    Rows with links: rows linked to a class, in parts to be summed; rows with other: two components that a link joins.
+    """
+    keys = ["label", "width"]
+    x = members.withColumn("width", F.size("v"))
+    rows = F.count("*")
+    blocks = F.greatest(F.ceil(rows / BLOCK), F.ceil(rows * F.col("width") / BLOCK_VALUES), F.least(F.lit(SPREAD), F.ceil(rows / SPREAD_ROWS)), F.lit(1))
+    x = x.join(x.groupBy(*keys).agg(blocks.cast("int").alias("blocks")), keys)
+    x = x.withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = x.select(*keys, F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "at", "rep", "n", "component", "v")
+    tile = TILE
+
+    def compare(table: pa.Table) -> pa.Table:
+        try:
+            return pairs(table)
+        finally:
+            give_back()
+
+    def pairs(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("component", "ascending"), ("rep", "ascending")])
+        rep, n, at = (table.column(c).to_numpy() for c in ("rep", "n", "at"))
+        known, code = np.unique(table.column("component").to_numpy(), return_inverse=True)
+        x = _unit(_rows(table.column("v").combine_chunks()))
+        short = x.astype(np.float32)
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        error = 2.4e-7 * (x.shape[1] + 8)
+        reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+        tiles = [[part[i : i + tile] for i in range(0, len(part), tile)] for part in (np.flatnonzero(at == lo), np.flatnonzero(at == hi))]
+        centres = [np.array([x[t].mean(0) for t in side]).reshape(-1, x.shape[1]) for side in tiles]
+        radii = [np.array([np.sqrt(((x[t] - c) ** 2).sum(1).max()) for t, c in zip(side, centre, strict=True)]) for side, centre in zip(tiles, centres, strict=True)]
+        links, root = np.zeros(len(x), np.int64), np.arange(len(known))
+        for i, left in enumerate(tiles[0]):
+            apart = np.sqrt(((centres[1] - centres[0][i]) ** 2).sum(1)) - radii[0][i] - radii[1]
+            for j in np.flatnonzero(apart <= reach):
+                if lo == hi and j < i:
+                    continue
+                right, same = tiles[1][j], lo == hi and j == i
+                s = short[left] @ short[right].T
+                hit = s >= threshold - error
+                if not hit.any():
+                    continue
+                p, q = np.nonzero(hit & (s <= threshold + error))
+                for k in range(0, len(p), 4096):
+                    pk, qk = p[k : k + 4096], q[k : k + 4096]
+                    hit[pk, qk] = np.einsum("ij,ij->i", x[left[pk]], x[right[qk]]) >= threshold
+                if same:
+                    np.fill_diagonal(hit, False)
+                links[left] += (hit @ n[right].astype(np.float64)).astype(np.int64)
+                if not same:
+                    links[right] += (n[left].astype(np.float64) @ hit).astype(np.int64)
+                a, b = root[code[left]], root[code[right]]
+                p, q = np.nonzero(hit & (a[:, None] != b[None, :]))
+                if len(p):
+                    root = roots(len(known), a[p], b[q])[root]
+        moved = np.flatnonzero(root != np.arange(len(known)))
+        used = np.flatnonzero(links)
+        none = pa.nulls(len(moved), pa.int64()), pa.nulls(len(used), pa.int64())
+        return pa.table({
+            "rep": pa.concat_arrays([pa.array(rep[used], pa.int64()), pa.array(known[moved], pa.int64())]),
+            "links": pa.concat_arrays([pa.array(links[used]), none[0]]),
+            "other": pa.concat_arrays([none[1], pa.array(known[root[moved]], pa.int64())]),
+        })
+
+    groups = [*keys, "lo", "hi"]
+    # a fixed number, since the work of a group is the square of its bytes
+    x = x.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), *groups)
+    return x.groupBy(*groups).applyInArrow(compare, "rep long, links long, other long")
 
 
 def deduplicated(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
@@ -161,9 +209,12 @@ def deduplicated(vectors: DataFrame, threshold: float = THRESHOLD, passes: int =
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     reps = cut(classes(rows).where(F.col("rep").isNotNull()))
     joined = components(window_links(reps, threshold, passes, window))
-    members = cut(joined.join(reps, joined["id"] == reps["rep"]).select("rep", "v", "label", "n", "component"))
-    known = members.select("rep", "component").join(exact_links(members, threshold), "rep", "left")
-    facts = reps.join(known, "rep", "left").select("label", "v", "n", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    members = cut(reps.join(joined, reps["rep"] == joined["id"], "left").select("rep", "v", "label", "n", F.coalesce("component", "rep").alias("component")))
+    found = cut(exact_links(members, threshold))
+    counts = found.where("other IS NULL").groupBy("rep").agg(F.sum("links").alias("links"))
+    united = components(found.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b"))).withColumnRenamed("component", "united")
+    facts = members.join(counts, "rep", "left").join(united, members["component"] == united["id"], "left")
+    facts = facts.select("label", "v", "n", "rep", F.coalesce("united", "component").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     x = rows.withColumn("v", F.col("embedding").cast("array<double>")).alias("x")
     out = x.join(facts.alias("f"), (F.col("x.label") == F.col("f.label")) & (F.col("x.v") == F.col("f.v")), "left")
     component = F.coalesce("f.component", "x.vec_id")

@@ -57,3 +57,16 @@ def test_edges(spark):
 def test_local_components():
     a, b = np.array([5, 3, 1, 7]), np.array([3, 1, 0, 6])
     assert vd.roots(8, a, b).tolist() == [0, 0, 2, 0, 4, 0, 6, 6]
+
+
+def test_links_that_no_window_holds(spark, monkeypatch):
+    """Many isolated pairs in one label; windows of one neighbour in one pass miss most of them."""
+    monkeypatch.setattr(vd, "BLOCK", 100)
+    monkeypatch.setattr(vd, "TILE", 32)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(150, 16))
+    y = x + rng.normal(0, 0.3, x.shape) * np.linspace(0.2, 1.5, 150)[:, None]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, y]))]
+    want = brute(rows)
+    assert sum(n > 0 for _, n, _ in want) > 100
+    assert run(spark, rows, passes=1, window=1) == want
