@@ -1,7 +1,9 @@
 """Operator 1: format-preserving Feistel pseudonyms for personal data, with DataFrame functions only.
 
-One regular expression finds candidates from left to right; each is validated by its kind (Luhn, IBAN mod 97, number
-ranges, calendar) and valid ones are replaced by a keyed permutation of their format. Equal values map to equal
+First the valid cards (Luhn) and IBANs (mod 97) of a text are found, at every position and every length that ends with a
+group of characters. Then one regular expression finds values from left to right: these, and the other kinds, whose
+patterns hold their ranges and the calendar, so that no span is skipped for a value that turns out invalid. Valid values
+are replaced by a keyed permutation of their format. Equal values map to equal
 values everywhere, and different values of one kind to different ones, since every Feistel network is a permutation:
 
 * text-shaped values (e-mail addresses, phone numbers, card payloads, secrets): the characters are split in two
@@ -26,20 +28,47 @@ from pyspark.sql import functions as F
 KEY = "knotwork"
 ROUNDS = 8
 
-#: Candidates, in order of preference at one position. Repetitions are bounded.
+
+
+def _days() -> str:
+    """Exactly the dates from 1900-01-01 to 2099-12-31, in each format."""
+    year, leap = "(?:19|20)[0-9]{2}", "(?:19(?:0[48]|[2468][048]|[13579][26])|20(?:0[048]|[2468][048]|[13579][26]))"
+    days = [("(?:0[13578]|1[02])", "(?:0[1-9]|[12][0-9]|3[01])", year), ("(?:0[469]|11)", "(?:0[1-9]|[12][0-9]|30)", year), ("02", "(?:0[1-9]|1[0-9]|2[0-8])", year), ("02", "29", leap)]
+    forms = [f"{y}-{m}-{d}|{d}/{m}/{y}|{m}/{d}/{y}|{d}\\.{m}\\.{y}" for m, d, y in days]
+    return f"(?:{'|'.join(forms)})"
+
+
+_DAY = _days()
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_DATE = rf"{_DAY}(?![0-9]|[./\-][0-9])"
+_SSN = r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9]|-[0-9])"
+_PHONE = r"(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .\-])[2-9][0-9]{2}[ .\-][0-9]{4}(?![0-9])"
+#: Where a value of a fixed format begins after a separator, a card or an international number does not run on.
+_OTHER = rf"(?!{_DATE}|{_SSN}|{_PHONE}|{_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9]))"
+_CARD_AHEAD = r"(?![0-9]{4}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]|[0-9]{4}[ \-]?[0-9]{6}[ \-]?[0-9]{3})"
+_INTL = r"(?:\)?(?:[ \-]%s(?=\(?[0-9]{2}))?\(?[0-9])"
+
+#: The form of each kind, in order of preference at one position.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?(?=[A-Za-z+/_.\-]{0,120}[0-9])[A-Za-z0-9+/_.\-]{8,128}",
     "access_id": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "date": r"(?<![0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./\-][0-9])",
-    "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
+    "date": rf"(?<![0-9./\-]){_DATE}",
+    "ssn": rf"(?<![0-9\-]){_SSN}",
+    "phone": rf"(?<![0-9A-Za-z])(?:\+1[ .\-]?)?{_PHONE}",
+    "intl_phone": rf"(?<![0-9A-Za-z])\+[1-9]{_INTL % ''}{{7,14}}\)?(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+1[ .\-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .\-])[2-9][0-9]{2}[ .\-][0-9]{4}(?![0-9])",
-    "intl_phone": r"(?<![0-9A-Za-z])\+[1-9][0-9]{0,2}(?:[ \-]?\(?[0-9]{2,4}\)?){2,5}(?![0-9])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
 }
-CANDIDATE = "|".join(KINDS.values())
+#: The longest candidates of the kinds whose check sums no pattern can tell, at every position, also inside each other.
+LONGEST = {
+    "iban": rf"(?<![A-Za-z0-9])(?=({KINDS['iban'].removeprefix('(?<![A-Za-z0-9])')}))",
+    "card": rf"(?<![0-9])(?=([0-9](?:[0-9]|[ \-]{_OTHER}[0-9]){{12,18}}(?![0-9])))",
+}
+#: What is searched for; cards and IBANs are searched for as the valid ones of a text. Other kinds are valid by form.
+SEARCH = KINDS | {"intl_phone": rf"(?<![0-9A-Za-z])\+[1-9]{_INTL % ''}{{6}}{_INTL % (_OTHER + _CARD_AHEAD)}{{1,8}}\)?(?![0-9])"}
+CANDIDATE = "|".join(v for k, v in SEARCH.items() if k not in LONGEST)
 #: Every candidate holds one of these.
 HINT = r"[0-9@]"
 
@@ -166,13 +195,18 @@ def _access_id(m: Column, key: str) -> Column:
     return F.concat(m.substr(F.lit(1), F.lit(4)), feistel_text(value, _classes(value), "access_id", key))
 
 
+def valid_iban(plain: Column) -> Column:
+    body, front = plain.substr(F.lit(5), F.length(plain)), plain.substr(F.lit(1), F.lit(4))
+    return (F.length(plain) >= 15) & (F.length(plain) <= 34) & (_mod97(F.concat(body, front)) == 1)
+
+
 def _iban(m: Column, key: str) -> Column:
     return let(F.regexp_replace(m, " ", ""), lambda plain: _plain_iban(m, plain, key))
 
 
 def _plain_iban(m: Column, plain: Column, key: str) -> Column:
     country, body = plain.substr(F.lit(1), F.lit(2)), plain.substr(F.lit(5), F.length(plain))
-    valid = (F.length(plain) >= 15) & (F.length(plain) <= 34) & (_mod97(F.concat(body, plain.substr(F.lit(1), F.lit(4)))) == 1)
+    valid = valid_iban(plain)
     check = lambda new: F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
     return F.when(valid, let(feistel_text(body, _classes(body), "iban", key), lambda new: _refill(m, F.concat(country, check(new), new), "[A-Z0-9]")))
 
@@ -201,13 +235,17 @@ def _ssn(m: Column, key: str) -> Column:
     return F.when(valid, let(feistel_number(x.cast("long"), SSN_A, SSN_B, "ssn", key), shown))
 
 
+def valid_card(digits: Column) -> Column:
+    return (luhn_sum(digits, 1) % 10 == 0) & digits.rlike("[1-9]")
+
+
 def _card(m: Column, key: str) -> Column:
     """The first digit (the kind of issuer) stays, the check digit is computed anew."""
     d = _digits(m)
     body = d.substr(F.lit(2), F.length(d) - 2)
     new = F.concat(d.substr(F.lit(1), F.lit(1)), feistel_text(body, _classes(body), "card", key))
     check = lambda v: ((10 - luhn_sum(v, 0) % 10) % 10).cast("string")
-    return F.when((luhn_sum(d, 1) % 10 == 0) & d.rlike("[1-9]"), let(new, lambda v: _refill(m, F.concat(v, check(v)), "[0-9]")))
+    return F.when(valid_card(d), let(new, lambda v: _refill(m, F.concat(v, check(v)), "[0-9]")))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -252,13 +290,61 @@ def pseudonym(candidate: Column, key: str = KEY) -> Column:
     return out
 
 
+def _valid_values(t: Column) -> tuple[Column, Column]:
+    """The distinct valid IBANs and cards of a text, at every position and length that ends with a group; longest first."""
+
+    def of(kind: str, parts: Callable[[Column], Column], check: Callable[[Column, str], Column]) -> Column:
+        spans = F.array_distinct(F.regexp_extract_all(t, F.lit(LONGEST[kind]), F.lit(1)))
+        valid = F.filter(F.flatten(F.transform(spans, parts)), lambda m: m.rlike(rf"\A(?:{KINDS[kind]})\z") & F.coalesce(check(m), F.lit(False)))
+        by_length = F.array_sort(F.transform(F.array_distinct(valid), lambda m: F.struct((-F.length(m)).alias("n"), m.alias("m"))))
+        return F.transform(by_length, lambda x: x["m"])
+
+    def groups(m: Column) -> Column:
+        return let(F.split(m, " "), lambda g: F.transform(F.sequence(F.lit(1), F.size(g)), lambda j: F.array_join(F.slice(g, F.lit(1), j), " ")))
+
+    def lengths(m: Column) -> Column:
+        return F.array(*[F.regexp_extract(m, rf"\A[0-9](?:[ \-]?[0-9]){{{n - 1}}}(?![0-9])", 0) for n in range(13, 20)])
+
+    return of("iban", groups, lambda m: valid_iban(F.regexp_replace(m, " ", ""))), of("card", lengths, lambda m: valid_card(_digits(m)))
+
+
+def _scanned(t: Column, key: str) -> Column:
+    """(text, found): a text with its values replaced, and (kind, new) of each.
+
+    Every value is valid before the scan, which therefore never skips a span that it then keeps.
+    """
+    ibans, cards = _valid_values(t)
+
+    def literal(values: Column, before: str, after: str) -> Column:
+        return F.when(F.size(values) > 0, F.concat(F.lit(f"|(?<!{before})(?:"), F.array_join(values, "|"), F.lit(f")(?!{after})"))).otherwise(F.lit(""))
+
+    first = "|".join(SEARCH[k] for k in ("email", "secret", "access_id"))
+    rest = "|".join(SEARCH[k] for k in ("date", "ssn", "phone", "intl_phone"))
+
+    def scan(v: Column) -> Column:
+        none = (F.size(v["ibans"]) == 0) & (F.size(v["cards"]) == 0)
+        pattern = F.concat(F.lit(first), literal(v["ibans"], "[A-Za-z0-9]", "[A-Za-z0-9]"), F.lit("|" + rest), literal(v["cards"], "[0-9]", "[0-9]"), F.lit("|" + SEARCH["ipv4"]))
+        found = F.when(none, F.regexp_extract_all(v["t"], F.lit(f"({CANDIDATE})"), F.lit(1))).otherwise(F.regexp_extract_all(v["t"], F.concat(F.lit("("), pattern, F.lit(")")), F.lit(1)))
+        between = F.when(none, F.split(v["t"], CANDIDATE, -1)).otherwise(F.split(v["t"], pattern, -1))
+        new = F.transform(found, lambda m: let(pseudonym(m, key), lambda x: F.struct(x["kind"].alias("kind"), x["new"].alias("new"), F.coalesce(x["new"], m).alias("shown"))))
+        return let(new, lambda n: F.struct(
+            F.concat_ws("", F.zip_with(between, n, lambda p, m: F.concat(p, F.coalesce(m["shown"], F.lit(""))))).alias("text"),
+            F.transform(F.filter(n, lambda f: f["new"].isNotNull()), lambda f: F.struct(f["kind"].alias("kind"), f["new"].alias("new"))).alias("found"),
+        ))
+
+    return let(F.struct(t.alias("t"), ibans.alias("ibans"), cards.alias("cards")), scan)
+
+
 def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", findings: str | None = None) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; ``findings`` names a column for (kind, new) of each one."""
     t = F.col(text)
-    found = F.regexp_extract_all(t, F.lit(f"({CANDIDATE})"), F.lit(1))
-    new = F.transform(found, lambda m: F.coalesce(pseudonym(m, key)["new"], m))
-    joined = F.concat_ws("", F.zip_with(F.split(t, CANDIDATE, -1), new, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))))
-    if findings:
-        kinds = F.filter(F.transform(found, lambda m: pseudonym(m, key)), lambda f: f["new"].isNotNull())
-        docs = docs.withColumn(findings, F.when(t.rlike(HINT), kinds).otherwise(F.array().cast("array<struct<kind:string,new:string>>")))
-    return docs.withColumn(text, F.when(t.rlike(HINT), joined).otherwise(t))
+    none = F.struct(t.alias("text"), F.array().cast("array<struct<kind:string,new:string>>").alias("found"))
+    scanned = F.when(t.rlike(HINT), _scanned(t, key)).otherwise(none)
+    if not findings:
+        return docs.withColumn(text, scanned["text"])
+    # one struct for both columns, so that a text is scanned once
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text, findings)]
+    out = docs.select(*rest, *[F.col(f"`{c}`") for c in docs.columns if c == text], F.array(scanned).alias("__scanned"))
+    x = F.col("__scanned")[0]
+    names = [c for c in docs.columns if c != findings] + [findings]
+    return out.select(*[x["text"].alias(text) if c == text else x["found"].alias(findings) if c == findings else F.col(f"`{c}`") for c in names])

@@ -81,3 +81,30 @@ def test_no_python_in_the_plan(spark):
     df = pii.pseudonymised(spark.createDataFrame([("a",)], "text string"), findings="f")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+ADJACENT = {
+    "4111111111111111 12/25": ["card"],
+    "4111 1111 1111 1111 123 7": ["card"],
+    "12 4111111111111111": ["card"],
+    "4111111111111111 42.144.35.254": ["card", "ipv4"],
+    "4111111111111111 5500005555555559 3782-822463-10005": ["card"] * 3,
+    "555-234-4567 555-287-6543": ["phone", "phone"],
+    "415-555-2671 415-555-2671 415-555-2671": ["phone"] * 3,
+    "415-555-2671 2024-05-06": ["phone", "date"],
+    "415-555-2671 123-45-6789": ["phone", "ssn"],
+    "2021-02-29 4111111111111111": ["card"],
+    "BE68 5390 0754 7034 2024 4111 1111 1111 1111": ["iban", "card"],
+    "BE68 5390 0754 7034 DE89 3704 0044 0532 0130 00": ["iban", "iban"],
+    "BE12 4111 1111 1111 1111": ["card"],
+    "+49 30 1234567 2024-05-06": ["intl_phone", "date"],
+    "+49 30 1234567 4111 1111 1111 1111": ["intl_phone", "card"],
+}
+
+
+def test_adjacent_values(spark):
+    """Each value next to others is found, and gets the value it gets alone."""
+    rows = run(spark, list(ADJACENT))
+    assert {t: [h.kind for h in r["hits"]] for t, r in zip(ADJACENT, rows, strict=True)} == ADJACENT
+    (alone,) = run(spark, ["4111 1111 1111 1111"])[0]["hits"]
+    assert rows[-1]["hits"][1].new == alone.new and rows[0].text.endswith(" 12/25")
