@@ -108,3 +108,12 @@ def test_adjacent_values(spark):
     assert {t: [h.kind for h in r["hits"]] for t, r in zip(ADJACENT, rows, strict=True)} == ADJACENT
     (alone,) = run(spark, ["4111 1111 1111 1111"])[0]["hits"]
     assert rows[-1]["hits"][1].new == alone.new and rows[0].text.endswith(" 12/25")
+
+
+def test_long_secrets_are_replaced_whole(spark):
+    values = ["a1" * 150, "x" * 150 + "7" * 200, ".".join(["eyJ" + "hbGciOi1" * 30] * 3), "q9" * 50_000]
+    rows = run(spark, [f"token={v} end" for v in values])
+    for v, r in zip(values, rows, strict=True):
+        (hit,) = r["hits"]
+        assert hit.kind == "secret" and r.text == f"token={hit.new.removeprefix('token=')} end" and len(r.text) == len(v) + 10
+        assert all(v[i : i + 40] not in r.text for i in range(0, min(len(v), 700) - 40, 20)) and v[-40:] not in r.text
