@@ -40,7 +40,8 @@ def _days() -> str:
 
 _DAY = _days()
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_DATE = rf"{_DAY}(?![0-9]|[./\-][0-9])"
+#: Dates may be joined by a slash or hyphen, as ends of a range.
+_DATE = rf"{_DAY}(?![0-9]|[./\-](?!(?<=[/\-]){_DAY}(?![0-9]))[0-9])"
 _SSN = r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9]|-[0-9])"
 _PHONE = r"(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .\-])[2-9][0-9]{2}[ .\-][0-9]{4}(?![0-9])"
 #: Where a value of a fixed format begins after a separator, a card or an international number does not run on.
@@ -50,11 +51,11 @@ _INTL = r"(?:\)?(?:[ \-]%s(?=\(?[0-9]{2}))?\(?[0-9])"
 
 #: The form of each kind, in order of preference at one position.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?(?=[A-Za-z+/_.\-]*+[0-9])[A-Za-z0-9+/_.\-]{8,}+",
     "access_id": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "date": rf"(?<![0-9./\-]){_DATE}",
+    "date": rf"(?<![0-9])(?:(?<![./\-])|(?<=(?<![0-9./\-]){_DAY}[/\-])){_DATE}",
     "ssn": rf"(?<![0-9\-]){_SSN}",
     "phone": rf"(?<![0-9A-Za-z])(?:\+1[ .\-]?)?{_PHONE}",
     "intl_phone": rf"(?<![0-9A-Za-z])\+[1-9]{_INTL % ''}{{7,14}}\)?(?![0-9])",

@@ -117,3 +117,17 @@ def test_long_secrets_are_replaced_whole(spark):
         (hit,) = r["hits"]
         assert hit.kind == "secret" and r.text == f"token={hit.new.removeprefix('token=')} end" and len(r.text) == len(v) + 10
         assert all(v[i : i + 40] not in r.text for i in range(0, min(len(v), 700) - 40, 20)) and v[-40:] not in r.text
+
+
+def test_values_after_punctuation_and_ranges(spark):
+    cases = {
+        "_john@example.com_": ["email"],
+        "...john@example.com": ["email"],
+        "-a.b@c.de +x_y@z.org": ["email", "email"],
+        "1990-01-02/1991-02-03": ["date", "date"],
+        "01/02/1990-03/02/1990": ["date", "date"],
+        "01.02.2003-04.02.2003": ["date", "date"],
+        "1990-01-02/1991-02-30": [],
+        "1990-01-02-7 1990-01-02.5": [],
+    }
+    assert {t: [h.kind for h in r["hits"]] for t, r in zip(cases, run(spark, list(cases)), strict=True)} == cases
