@@ -504,10 +504,9 @@ def community_threshold(spark, sf_dir):
 
 @query()
 def louvain(spark, sf_dir):
-    """Communities of regions, nations, customers and suppliers."""
+    """Communities of the whole star graph."""
     g = star_graph(spark, sf_dir)
-    names = ("region", "nation", "customer", "supplier")
-    return community.communities(Graph(cut(g.nodes.where(F.col("src").isin(*names))), cut(g.edges.where(F.col("src").isin(*names) & (F.col("type") != "inherits")))))
+    return community.communities(Graph(cut(g.nodes), cut(g.edges)))
 
 
 @query("""
