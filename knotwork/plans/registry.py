@@ -551,7 +551,7 @@ def render_budget(spark, sf_dir):
 
 @query()
 def answer(spark, sf_dir):
-    return _text_rows(spark, render.answer(star_graph(spark, sf_dir), QUESTION, depth=1))
+    return _text_rows(spark, render.answer(star_graph(spark, sf_dir), QUESTION))
 
 
 @query(" SELECT id, name, type, community, degree, src FROM nodes JOIN degrees USING (id)", star=True)

@@ -4,6 +4,7 @@ from pathlib import Path
 
 import pytest
 
+from knotwork.operators import traverse
 from knotwork.plans import registry
 from knotwork.plans.star_graph import star_graph
 
@@ -14,3 +15,11 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the tables are not he
 def test_louvain_covers_every_node(spark):
     got = [r.id for r in registry.QUERIES["louvain"](spark, str(DATA)).collect()]
     assert sorted(got) == sorted(r.id for r in star_graph(spark, str(DATA)).nodes.select("id").collect())
+
+
+def test_answer_runs_at_the_default_depth(spark, monkeypatch):
+    depths = []
+    real = traverse.bfs
+    monkeypatch.setattr(traverse, "bfs", lambda g, first, depth, *rest, **more: depths.append(depth) or real(g, first, depth, *rest, **more))
+    assert registry.QUERIES["answer"](spark, str(DATA)).count() > 1
+    assert depths == [3]
