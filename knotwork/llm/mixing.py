@@ -1,21 +1,27 @@
 """Operator 9: mixing sources to target weights, with DataFrame functions only.
 
-Method. The tokens (here: words) of each source are packed into blocks of ``block_words``. The mix is a list of
-slots dealt to output shards. Which source fills a slot is a multinomial draw conditioned on every source's total
-(the exchangeable form of drawing per-shard counts without replacement): a pseudorandom permutation of all slot
-numbers puts the slots of all sources in random order, so the counts per shard are multinomial up to the fixed
-totals. Slot k of a source takes the block at place k of that source's pseudorandom index permutation, a new one
-for each pass over the source. Documents meet their blocks by an equi-join on (source, block index).
+Method.
+
+1. The tokens (here: words) of each source, its documents in pseudorandom order, are packed into blocks of ``block_words``.
+2. Output shards hold ``shard_slots`` blocks each. ``draws`` gives the number of blocks that each shard takes from each source:
+   multinomial counts conditioned on every source's total, which is drawing without replacement from an urn with all
+   slots of the mix. Targets are therefore met to the word, and no block goes round more often than its source needs.
+3. The draws of a source are numbered through its shards. Its k-th draw takes the block at place k of a pseudorandom
+   permutation of its block indices, a new one for each pass over the source, and an own permutation gives its place
+   in the shard (``slots``).
+4. Blocks are joined by (source, index) with the pieces of documents that they hold (``mixed_blocks``); the words that the
+   mix takes of a document are the sum over its pieces (``mix``).
 
 Permutations are swap-or-not shuffles (Hoang, Morris and Rogaway 2012) keyed by ``xxhash64``: exact permutations of
 [0, n) for any n, without sorting and without cycle walking.
 
-Skew. No window or group spans a source: the documents of a source of n rows are dealt to about sqrt(n) buckets;
-prefix sums run inside buckets and over bucket totals, so no task sees more than about sqrt(n) rows of one source.
+Skew. No window or group spans the documents or shards of a source: the n documents (draws) of a source are dealt to
+about sqrt(n) buckets; prefix sums run inside buckets and over bucket totals. A block occurs once in each pass, so its join
+key is never hot. Only the targets and the list of sources, one row a source, are ranked in a single task.
 
 Defined results. Null text or text without words: size 0, taken 0. Null source: a source of its own, last in order.
-Repeated rows are separate documents. Empty input: empty output. Extra columns are ignored. Equal rows may swap
-their results, the rows returned stay the same as a whole.
+Repeated rows are separate documents. Texts of any length are counted and packed whole. Empty input: empty output. Extra
+columns are ignored. Equal rows may swap their results, the rows returned stay the same as a whole.
 """
 
 from __future__ import annotations
@@ -78,34 +84,58 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return per.withColumn("target", F.least("cap", F.coalesce(level * F.col("weight"), F.col("cap")))).select("src", "source", "n_docs", "source_size", "target")
 
 
-def slots(per_source: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 42) -> DataFrame:
-    """One row a slot of the mix: shard, place (in the shard), src, block (index in the source), words, whole.
+def planned(per_source: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """One row for each source with slots: its full and all blocks, words of its last pass, slots, and all slots of the mix.
 
     A source's slots hold floor(target) words exactly: whole passes over its blocks, then part of one more, whose
-    last slot takes only the leading ``words`` of its block (whole is false there).
+    last slot takes only the leading words of its block.
     """
     size, want = F.col("source_size"), F.floor("target")
     s = per_source.where(want > 0).withColumn("n_full", F.floor(size / block_words)).withColumn("n_blocks", F.ceil(size / block_words))
     s = s.withColumn("rem", want % size).withColumn("n_slots", F.floor(want / size) * F.col("n_blocks") + F.ceil(F.col("rem") / block_words))
     s = s.withColumn("first", F.sum("n_slots").over(Window.orderBy("src")) - F.col("n_slots"))
     s = s.withColumn("all_slots", F.sum("n_slots").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    chunks = s.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(SLOT_CHUNK).cast("long"))).alias("lo"))
+    return s.withColumn("groups", F.ceil(F.sqrt(F.col("all_slots") / shard_slots)))
+
+
+def draws(plan: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 42) -> DataFrame:
+    """(shard, src, n): how many blocks each shard takes from each source, with ``groups`` of the plan.
+
+    The urn holds each slot of the plan once; a pseudorandom permutation deals its slots to the shards.
+    """
+    chunks = plan.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(SLOT_CHUNK).cast("long"))).alias("lo"))
     # a fixed number, since few rows that become many would be put together again at run time
-    chunks = chunks.repartition(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "lo")
-    k = F.explode(F.sequence("lo", F.least(F.col("lo") + SLOT_CHUNK, "n_slots") - 1)).alias("k")
-    x = chunks.select("*", k).withColumn("pass", F.floor(F.col("k") / F.col("n_blocks"))).withColumn("i", F.col("k") % F.col("n_blocks"))
-    key = (F.lit(seed), F.col("src"), F.col("pass"))
-    block = F.when(F.col("i") < F.col("n_full"), permuted(F.col("i"), F.col("n_full"), *key)).otherwise(F.col("i"))
-    partial = (F.col("k") == F.col("n_slots") - 1) & (F.col("rem") > 0) & ((F.col("i") == F.col("n_full")) & (F.col("rem") < size) | (F.col("i") < F.col("n_full")) & (F.col("rem") % block_words > 0))
-    length = F.when(F.col("i") < F.col("n_full"), F.lit(block_words).cast("long")).otherwise(size - F.col("n_full") * block_words)
+    chunks = chunks.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "lo")
+    drawn = chunks.select("*", F.explode(F.sequence("lo", F.least(F.col("lo") + SLOT_CHUNK, "n_slots") - 1)).alias("k"))
     at = permuted(F.col("first") + F.col("k"), F.col("all_slots"), F.lit(seed), F.lit("shards"))
+    drawn = drawn.select("src", "groups", F.floor(at / shard_slots).alias("shard"))
+    return drawn.groupBy("shard", "src").agg(F.count("*").alias("n"), F.first("groups").alias("groups"))
+
+
+def slots(per_source: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 42) -> DataFrame:
+    """One row a slot of the mix: shard, place (in the shard), src, block (index in the source), words (its leading ones)."""
+    plan = cut(planned(per_source, block_words, shard_slots))
+    drawn = cut(draws(plan, shard_slots, seed)).withColumn("group", F.floor(F.col("shard") / F.col("groups")))
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    shard = Window.partitionBy("shard")
+    drawn = drawn.withColumn("lead", F.sum("n").over(up_to(shard.orderBy("src"))) - F.col("n")).withColumn("shard_size", F.sum("n").over(shard))
+    totals = drawn.groupBy("src", "group").agg(F.sum("n").alias("base"))
+    totals = totals.withColumn("base", F.sum("base").over(up_to(Window.partitionBy("src").orderBy("group"))) - F.col("base"))
+    inner = F.sum("n").over(up_to(Window.partitionBy("src", "group").orderBy("shard"))) - F.col("n")
+    drawn = drawn.withColumn("inner", inner).join(totals, ["src", "group"]).join(plan.drop("groups"), "src")
+    # the draws of a shard and source are shard_slots at most
+    x = drawn.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j")).withColumn("k", F.col("base") + F.col("inner") + F.col("j"))
+    x = x.withColumn("pass", F.floor(F.col("k") / F.col("n_blocks"))).withColumn("i", F.col("k") % F.col("n_blocks"))
+    full, size = F.col("i") < F.col("n_full"), F.col("source_size")
+    block = F.when(full, permuted(F.col("i"), F.col("n_full"), F.lit(seed), F.col("src"), F.col("pass"))).otherwise(F.col("i"))
+    length = F.when(full, F.lit(block_words).cast("long")).otherwise(size - F.col("n_full") * block_words)
+    last = (F.col("k") == F.col("n_slots") - 1) & (F.col("rem") % block_words > 0)
     return x.select(
-        F.floor(at / shard_slots).alias("shard"),
-        (at % shard_slots).alias("place"),
+        "shard",
+        permuted(F.col("lead") + F.col("j"), F.col("shard_size"), F.lit(seed), F.col("shard"), F.lit("places")).alias("place"),
         "src",
         block.cast("long").alias("block"),
-        F.when(partial, F.col("rem") % block_words).otherwise(length).alias("words"),
-        (~partial).alias("whole"),
+        F.when(last, F.least(F.col("rem") % block_words, length)).otherwise(length).alias("words"),
     )
 
 
@@ -121,25 +151,36 @@ def _located(sizes: DataFrame, per_source: DataFrame, seed: int) -> DataFrame:
     return x.join(totals.select("src", "bucket", "base"), ["src", "bucket"]).withColumn("start", F.col("base") + F.col("inner"))
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 42, **shares) -> DataFrame:
-    """One row a document: doc_id, size, source_size, target (of its source), taken (its words in the mix)."""
-    sizes = measured(docs)
-    per = targets(sizes, **shares)
+def pieces(sizes: DataFrame, per_source: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 42) -> DataFrame:
+    """Documents by the blocks they are packed into: block, and [lo, hi) of the block's words; null where a document has no words."""
     L = F.lit(block_words).cast("long")
-    pieces = _located(sizes, per, seed).withColumn(
-        "block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / L), F.floor((F.col("start") + F.col("size") - 1) / L))))
-    )
+    blocks = F.sequence(F.floor(F.col("start") / L), F.floor((F.col("start") + F.col("size") - 1) / L))
+    x = _located(sizes, per_source, seed).withColumn("block", F.explode_outer(F.when(F.col("size") > 0, blocks)))
     lo = F.greatest(F.col("start") - F.col("block") * L, F.lit(0).cast("long"))
-    hi = F.least(F.col("start") + F.col("size") - F.col("block") * L, L)
-    pieces = pieces.withColumn("lo", lo).withColumn("hi", hi)
-    used = slots(per, block_words, seed=seed).groupBy("src", "block").agg(
-        F.sum(F.when(F.col("whole"), 1).otherwise(0)).alias("uses"), F.max(F.when(~F.col("whole"), F.col("words")).otherwise(0)).alias("lead")
-    )
-    got = F.col("uses") * (F.col("hi") - F.col("lo")) + F.greatest(F.least("hi", "lead") - F.col("lo"), F.lit(0).cast("long"))
-    keys = ["src", "bucket", "nth", "doc_id", "size", "source_size", "target"]
+    return x.withColumn("lo", lo).withColumn("hi", F.least(F.col("start") + F.col("size") - F.col("block") * L, L))
+
+
+def _joined(docs: DataFrame, block_words: int, shard_slots: int, seed: int, how: str, **shares) -> DataFrame:
+    """Pieces of documents joined by block with the slots that take them; ``got`` is the number of words taken."""
+    sizes = measured(docs)
+    per = cut(targets(sizes, **shares))
+    got = F.when(F.col("words").isNotNull(), F.greatest(F.least("hi", "words") - F.col("lo"), F.lit(0).cast("long")))
     # a merge join by name: after explode, estimates take the slots for a few rows and would broadcast them
-    out = pieces.join(used.hint("merge"), ["src", "block"], "left").groupBy(*keys).agg(F.coalesce(F.sum(got), F.lit(0)).cast("long").alias("taken"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return pieces(sizes, per, block_words, seed).join(slots(per, block_words, shard_slots, seed).hint("merge"), ["src", "block"], how).withColumn("got", got)
+
+
+def mixed_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 42, **shares) -> DataFrame:
+    """The mix by output shard: shard, place, at (in the block), source rank src, block, doc_id, from_word and n_words of the document."""
+    x = _joined(docs, block_words, shard_slots, seed, "inner", **shares).where("got > 0")
+    from_word = F.col("block") * block_words + F.col("lo") - F.col("start")
+    return x.select("shard", "place", F.col("lo").alias("at"), "src", "block", "doc_id", from_word.alias("from_word"), F.col("got").alias("n_words"))
+
+
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 42, **shares) -> DataFrame:
+    """One row a document: doc_id, size, source_size, target (of its source), taken (its words in the mix)."""
+    keys = ["src", "bucket", "nth", "doc_id", "size", "source_size", "target"]
+    x = _joined(docs, block_words, shard_slots, seed, "left", **shares).groupBy(*keys).agg(F.coalesce(F.sum("got"), F.lit(0)).cast("long").alias("taken"))
+    return x.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def expected_copies(docs: DataFrame, **options) -> DataFrame:
