@@ -3,19 +3,27 @@
 First the valid cards (Luhn) and IBANs (mod 97) of a text are found, at every position and every length that ends with a
 group of characters. Then one regular expression finds values from left to right: these, and the other kinds, whose
 patterns hold their ranges and the calendar, so that no span is skipped for a value that turns out invalid. Valid values
-are replaced by a keyed permutation of their format. Equal values map to equal
-values everywhere, and different values of one kind to different ones, since every Feistel network is a permutation:
+are replaced by a keyed permutation of their format, so equal values map to equal values everywhere, and different values
+of one kind to different ones:
 
 * text-shaped values (e-mail addresses, phone numbers, card payloads, secrets): the characters are split in two
   halves; each round adds to every character of one half, inside its own alphabet (digits, 2-9, a-z, A-Z), a keyed
   function of the other half. Check digits are computed anew.
-* numeric values (dates, social security numbers, IPv4 addresses): x = a * B + b with a in [0, A) and b in [0, B)
-  for the exact number of valid values A * B, so every result is valid and no cycle walking is needed.
+* numeric values (dates, social security numbers, IPv4 addresses): x = a * B + b with a in [0, A) and b in [0, B), where
+  A * B is the exact number of valid values, or, for days after a month's twelfth, slightly above it with cycle walking.
 
-The keyed function is SHA-256 over key, kind, round and the other half.
+Linked spellings. Letters of e-mail addresses are permuted in lower case and get their case back. Phone numbers, cards and
+IBANs are permuted without their separators, numbers with +1 or +49 like those with 001 or 0049. All formats of a date
+share one permutation of days: 2001-02-03, 03.02.2001 and 03/02/2001 become one day. A date with slashes is dd/mm/yyyy,
+or mm/dd/yyyy if the second number is above 12. The permutation keeps days up to the twelfth of a month among themselves,
+since only later days have two spellings with slashes; so different dates with slashes stay different.
+
+The keyed function is SHA-256 over key, kind, round and the other half. The key is an argument without default: whoever
+knows it can invert every pseudonym.
 
 Defined results. Null text stays null, other texts without a finding stay as they are, byte for byte. Values that
-fail validation stay. Other columns, rows and their order are untouched.
+fail validation stay. Texts of any length are searched whole. Repeated rows give repeated results, an empty table an
+empty one. Other columns, rows and their order are untouched; a column named like ``findings`` is replaced.
 """
 
 from __future__ import annotations
@@ -25,11 +33,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "knotwork"
 ROUNDS = 8
 
 
-
 def _days() -> str:
     """Exactly the dates from 1900-01-01 to 2099-12-31, in each format."""
     year, leap = "(?:19|20)[0-9]{2}", "(?:19(?:0[48]|[2468][048]|[13579][26])|20(?:0[048]|[2468][048]|[13579][26]))"
@@ -48,6 +54,8 @@ _PHONE = r"(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .\-])[2-9][0-9]{2}[ .\-][0-9]{4
 _OTHER = rf"(?!{_DATE}|{_SSN}|{_PHONE}|{_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9]))"
 _CARD_AHEAD = r"(?![0-9]{4}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]|[0-9]{4}[ \-]?[0-9]{6}[ \-]?[0-9]{3})"
 _INTL = r"(?:\)?(?:[ \-]%s(?=\(?[0-9]{2}))?\(?[0-9])"
+#: 00 in place of a plus, if the country's number stands apart.
+_ABROAD = r"(?:\+|00(?=[1-9][0-9]{0,2}[ \-]))"
 
 #: The form of each kind, in order of preference at one position.
 KINDS = {
@@ -57,8 +65,8 @@ KINDS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": rf"(?<![0-9])(?:(?<![./\-])|(?<=(?<![0-9./\-]){_DAY}[/\-])){_DATE}",
     "ssn": rf"(?<![0-9\-]){_SSN}",
-    "phone": rf"(?<![0-9A-Za-z])(?:\+1[ .\-]?)?{_PHONE}",
-    "intl_phone": rf"(?<![0-9A-Za-z])\+[1-9]{_INTL % ''}{{7,14}}\)?(?![0-9])",
+    "phone": rf"(?<![0-9A-Za-z])(?:(?:\+|00)1[ .\-]?)?{_PHONE}",
+    "intl_phone": rf"(?<![0-9A-Za-z]){_ABROAD}[1-9]{_INTL % ''}{{7,14}}\)?(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
 }
@@ -68,14 +76,18 @@ LONGEST = {
     "card": rf"(?<![0-9])(?=([0-9](?:[0-9]|[ \-]{_OTHER}[0-9]){{12,18}}(?![0-9])))",
 }
 #: What is searched for; cards and IBANs are searched for as the valid ones of a text. Other kinds are valid by form.
-SEARCH = KINDS | {"intl_phone": rf"(?<![0-9A-Za-z])\+[1-9]{_INTL % ''}{{6}}{_INTL % (_OTHER + _CARD_AHEAD)}{{1,8}}\)?(?![0-9])"}
+SEARCH = KINDS | {"intl_phone": rf"(?<![0-9A-Za-z]){_ABROAD}[1-9]{_INTL % ''}{{6}}{_INTL % (_OTHER + _CARD_AHEAD)}{{1,8}}\)?(?![0-9])"}
 CANDIDATE = "|".join(v for k, v in SEARCH.items() if k not in LONGEST)
 #: Every candidate holds one of these.
 HINT = r"[0-9@]"
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Days from 1900-01-01 to 2099-12-31: 73049 = 319 * 229.
-DAY_0, DAY_A, DAY_B = "1900-01-01", 319, 229
+#: Years of valid dates.
+YEARS = (1900, 2100)
+#: Days up to the twelfth of a month: 200 years of 144 = 160 * 180. Later days: 200 years of 221 and 49 leap days, just below 210 * 211.
+LOW_A, LOW_B, HIGH, HIGH_A, HIGH_B = 160, 180, 200 * 221 + 49, 210, 211
+#: Later days of a year before each month, in common years.
+HIGH_BEFORE = (0, 19, 35, 54, 72, 91, 109, 128, 147, 165, 184, 202)
 #: Valid area numbers (001-899 without 666) by valid groups and serials (01-99 by 0001-9999).
 SSN_A, SSN_B = 898, 99 * 9999
 #: IPv4 first octets 1-223 without 10 and 127, by 256, and 65536 lower addresses.
@@ -182,9 +194,12 @@ def _mod97(text: Column) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
+    """All but the top-level domain, without regard to case."""
     dot = F.length(m) - F.length(F.substring_index(m, ".", -1)) - 1
     head = m.substr(F.lit(1), dot)
-    return F.concat(feistel_text(head, _classes(head), "email", key), m.substr(dot + 1, F.length(m)))
+    low = F.lower(head)
+    cased = F.zip_with(F.split(feistel_text(low, _classes(low), "email", key), ""), F.split(head, ""), lambda n, o: F.when(o.rlike("[A-Z]"), F.upper(n)).otherwise(n))
+    return F.concat(F.concat_ws("", cased), m.substr(dot + 1, F.length(m)))
 
 
 def _secret(m: Column, key: str) -> Column:
@@ -214,15 +229,64 @@ def _plain_iban(m: Column, plain: Column, key: str) -> Column:
     return F.when(valid, let(feistel_text(body, _classes(body), "iban", key), lambda new: _refill(m, F.concat(country, check(new), new), "[A-Z0-9]")))
 
 
+def _leaps(year: Column) -> Column:
+    """Leap years from 1900 to before this year (up to 2100)."""
+    return F.greatest(F.floor((year - 1901) / 4), F.lit(0))
+
+
+def _high_before(leap: Column, month: int) -> Column:
+    return F.lit(HIGH_BEFORE[month]) + F.when(leap, 1 if month > 1 else 0).otherwise(0)
+
+
+def _other_day(y: Column, m: Column, d: Column, key: str) -> Column:
+    """(y, m, d) of the day that the permutation gives for a valid day."""
+
+    def low() -> Column:
+        x = feistel_number((y - YEARS[0]).cast("long") * 144 + (m - 1) * 12 + d - 1, LOW_A, LOW_B, "date low", key)
+        return let(x, lambda v: F.struct((F.floor(v / 144) + YEARS[0]).alias("y"), (F.floor(v / 12) % 12 + 1).alias("m"), (v % 12 + 1).alias("d")))
+
+    def high() -> Column:
+        before = F.array(*[_high_before(_is_leap(y), k) for k in range(12)])
+        turn = lambda v: feistel_number(v, HIGH_A, HIGH_B, "date high", key)
+        # at most HIGH_A * HIGH_B - HIGH numbers in a row are none of a day
+        walk = F.aggregate(F.sequence(F.lit(1), F.lit(HIGH_A * HIGH_B - HIGH)), turn((y - YEARS[0]).cast("long") * 221 + _leaps(y) + F.get(before, m - 1) + d - 13), lambda v, _: F.when(v < HIGH, v).otherwise(turn(v)))
+
+        def in_year(v: Column, year: Column) -> Column:
+            rest, starts = v - _first(year), F.array(*[_high_before(_is_leap(year), k) for k in range(12)])
+            month = F.size(F.filter(starts, lambda s: s <= rest))
+            return F.struct(year.cast("long").alias("y"), month.cast("long").alias("m"), (rest - F.get(starts, month - 1) + 13).cast("long").alias("d"))
+
+        def of(v: Column) -> Column:
+            guess = F.floor(v / 221) + YEARS[0]
+            return let(F.struct(v.alias("v"), F.when(_first(guess) <= v, guess).otherwise(guess - 1).alias("y")), lambda s: in_year(s["v"], s["y"]))
+
+        return let(walk, of)
+
+    return F.when(d <= 12, low()).otherwise(high())
+
+
+def _is_leap(year: Column) -> Column:
+    """Inside the years of valid dates."""
+    return (year % 4 == 0) & (year != 1900)
+
+
+def _first(year: Column) -> Column:
+    """Later days before this year."""
+    return (year - YEARS[0]) * 221 + _leaps(year)
+
+
 def _date(m: Column, key: str) -> Column:
-    """ISO, dd/mm/yyyy (mm/dd/yyyy where only that is a date) and dd.mm.yyyy, from 1900 to 2099."""
-    out = F.lit(None).cast("string")
-    for fmt, shape in (("MM/dd/yyyy", "__/__/____"), ("dd/MM/yyyy", "__/__/____"), ("dd.MM.yyyy", "__.__.____"), ("yyyy-MM-dd", "____-__-__")):
-        parsed = F.try_to_timestamp(m, F.lit(fmt)).cast("date")
-        day = F.datediff(parsed, F.lit(DAY_0).cast("date"))
-        new = F.date_add(F.lit(DAY_0).cast("date"), feistel_number(day, DAY_A, DAY_B, f"date {fmt}", key).cast("int"))
-        out = F.when(m.like(shape) & parsed.isNotNull() & (day >= 0) & (day < DAY_A * DAY_B), F.date_format(new, fmt)).otherwise(out)
-    return out
+    """ISO, dd.mm.yyyy and dd/mm/yyyy (mm/dd/yyyy where the second number is above 12); the patterns hold the calendar."""
+    n = lambda at, size=2: m.substr(F.lit(at), F.lit(size)).cast("int")
+    iso, us = m.like("____-__-__"), m.like("__/__/____") & (n(4) > 12)
+
+    def new(v: Column) -> Column:
+        text = lambda c: F.lpad(c.cast("string"), 2, "0")
+        y, mo, d = v["y"].cast("string"), text(v["m"]), text(v["d"])
+        return F.when(iso, F.concat_ws("-", y, mo, d)).when(us, F.concat_ws("/", mo, d, y)).when(m.like("__/__/____"), F.concat_ws("/", d, mo, y)).otherwise(F.concat_ws(".", d, mo, y))
+
+    given = F.when(iso, F.struct(n(1, 4).alias("y"), n(6).alias("m"), n(9).alias("d"))).when(us, F.struct(n(7, 4).alias("y"), n(1).alias("m"), n(4).alias("d"))).otherwise(F.struct(n(7, 4).alias("y"), n(4).alias("m"), n(1).alias("d")))
+    return let(given, lambda g: let(_other_day(g["y"], g["m"], g["d"], key), new))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -253,16 +317,17 @@ def _card(m: Column, key: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     """North American numbers: area and exchange keep a first digit from 2 to 9."""
-    country = F.regexp_extract(m, r"^(\+1[ .\-]?)?", 0)
+    country = F.regexp_extract(m, r"^((?:\+|00)1[ .\-]?)?", 0)
     local = m.substr(F.length(country) + 1, F.length(m))
     return F.concat(country, _refill(local, feistel_text(_digits(local), F.lit("nddndddddd"), "phone", key), "[0-9]"))
 
 
 def _intl_phone(m: Column, key: str) -> Column:
-    """The first two digits stay with the country, from 8 to 15 digits in all."""
-    d = _digits(m)
+    """The first two digits stay with the country, from 8 to 15 digits in all, without a leading 00."""
+    dial = F.when(m.startswith("00"), F.lit("00")).otherwise(F.lit(""))
+    d = _digits(m).substr(F.length(dial) + 1, F.length(m))
     body = d.substr(F.lit(3), F.length(d))
-    new = F.concat(d.substr(F.lit(1), F.lit(2)), feistel_text(body, _classes(body), "intl_phone", key))
+    new = F.concat(dial, d.substr(F.lit(1), F.lit(2)), feistel_text(body, _classes(body), "intl_phone", key))
     return F.when((F.length(d) >= 8) & (F.length(d) <= 15), _refill(m, new, "[0-9]"))
 
 
@@ -283,7 +348,7 @@ def _ipv4(m: Column, key: str) -> Column:
 REPLACE = {"email": _email, "secret": _secret, "access_id": _access_id, "iban": _iban, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone, "intl_phone": _intl_phone, "ipv4": _ipv4}
 
 
-def pseudonym(candidate: Column, key: str = KEY) -> Column:
+def pseudonym(candidate: Column, key: str) -> Column:
     """(kind, new) of one candidate; new is null where it fails its kind's validation."""
     none = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("new"))
     out = none
@@ -338,7 +403,7 @@ def _scanned(t: Column, key: str) -> Column:
     return let(F.struct(t.alias("t"), ibans.alias("ibans"), cards.alias("cards")), scan)
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", findings: str | None = None) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, text: str = "text", findings: str | None = None) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; ``findings`` names a column for (kind, new) of each one."""
     t = F.col(text)
     none = F.struct(t.alias("text"), F.array().cast("array<struct<kind:string,new:string>>").alias("found"))

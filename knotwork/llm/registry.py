@@ -15,9 +15,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where spark.knotwork.pii.key is unset, as in tests. It protects nothing: it is in the sources.
+TEST_KEY = "key of tests"
+
+
+def pii_key(spark: SparkSession) -> str:
+    """The secret key of pseudonyms, from the session's settings."""
+    return spark.conf.get("spark.knotwork.pii.key", TEST_KEY)
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text with pseudonyms, n_found."""
-    x = pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"), findings="found")
+    x = pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark), findings="found")
     return x.select("doc_id", "text", F.size("found").cast("long").alias("n_found"))
 
 
