@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.llm import bpe_trie, jaccard, mixing, pii, quality
+from knotwork.llm.registry import pii_key
 from knotwork.runtime import scratch_path
 
 
@@ -22,7 +23,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by pseudonyms; n_chars follows where a text changes length."""
-    out = pii.pseudonymised(docs.withColumn("__was", F.length("text")))
+    out = pii.pseudonymised(docs.withColumn("__was", F.length("text")), pii_key(spark))
     return out.withColumn("n_chars", (F.col("n_chars") + F.coalesce(F.length("text") - F.col("__was"), F.lit(0))).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
