@@ -117,12 +117,13 @@ def slots(per_source: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: in
     plan = cut(planned(per_source, block_words, shard_slots))
     drawn = cut(draws(plan, shard_slots, seed)).withColumn("group", F.floor(F.col("shard") / F.col("groups")))
     up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    shard = Window.partitionBy("shard")
-    drawn = drawn.withColumn("lead", F.sum("n").over(up_to(shard.orderBy("src"))) - F.col("n")).withColumn("shard_size", F.sum("n").over(shard))
     totals = drawn.groupBy("src", "group").agg(F.sum("n").alias("base"))
     totals = totals.withColumn("base", F.sum("base").over(up_to(Window.partitionBy("src").orderBy("group"))) - F.col("base"))
     inner = F.sum("n").over(up_to(Window.partitionBy("src", "group").orderBy("shard"))) - F.col("n")
     drawn = drawn.withColumn("inner", inner).join(totals, ["src", "group"]).join(plan.drop("groups"), "src")
+    # a fixed number again, for the same reason
+    drawn, shard = drawn.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard"), Window.partitionBy("shard")
+    drawn = drawn.withColumn("lead", F.sum("n").over(up_to(shard.orderBy("src"))) - F.col("n")).withColumn("shard_size", F.sum("n").over(shard))
     # the draws of a shard and source are shard_slots at most
     x = drawn.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j")).withColumn("k", F.col("base") + F.col("inner") + F.col("j"))
     x = x.withColumn("pass", F.floor(F.col("k") / F.col("n_blocks"))).withColumn("i", F.col("k") % F.col("n_blocks"))
