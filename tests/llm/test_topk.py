@@ -28,6 +28,8 @@ def run(spark, rows, queries, k=10):
 def test_equals_brute_force(spark, scale, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 40)
     monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "GROW", 3)
+    monkeypatch.setattr(topk, "ROWS", 2)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(6, 8))
     rows = [(i, (scale * (centres[i % 6] + 0.2 * rng.normal(size=8)) * rng.uniform(0.1, 2)).tolist()) for i in range(400)]
@@ -50,3 +52,44 @@ def test_edges(spark):
 def test_large_numbers_stay_exact():
     a, b = np.array([[2**31, 2**30 + 1]]), np.array([[2**30 - 3, 2**31 - 5]])
     assert topk.products(a, b)[0, 0] == 2**31 * (2**30 - 3) + (2**30 + 1) * (2**31 - 5)
+
+
+def test_unclustered(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 24)))]
+    assert run(spark, rows, [0, 100, 200]) == brute(rows, [0, 100, 200], 10)
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(3)
+    for scale in (1, 1000):
+        x = np.floor(scale * rng.normal(size=(500, 5)) + scale * rng.integers(-2, 3, size=(500, 1))).astype(int)
+        q = np.floor(scale * rng.normal(size=(40, 7))).astype(int)
+        pivots = topk.choose_pivots(x, 7)
+        pivots[3] = 0
+        d = topk._distances(x, pivots)
+        cell = d.argmin(1) * topk.ANNULI + rng.integers(0, topk.ANNULI, len(x))
+        r, norm = d.min(1), topk._norms(x)
+        cells = np.array([(c, r[cell == c].min(), r[cell == c].max(), norm[cell == c].min(), norm[cell == c].max(), (cell == c).sum()) for c in np.unique(cell)])
+        bound, true = topk.bounds(q, pivots, cells), topk.products(q, x)
+        for i, c in enumerate(cells[:, 0]):
+            assert (true[:, cell == c].max(1) <= bound[:, i]).all()
+
+
+def test_index_excludes_most_products(spark):
+    """Clustered vectors: a query multiplies a small share of the table, however large."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 32))
+    x = np.repeat(centres, 100, axis=0) + 0.05 * rng.normal(size=(4000, 32))
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    made = []
+    topk.top_k(df, df.where("vec_id % 100 = 0"), 10, products_made=made).count()
+    assert sum(made) < 0.2 * 40 * 4000
+
+
+def test_shelves():
+    cells = np.zeros((5, 6))
+    cells[:, 5] = [30, 30, 50, 250, 10]
+    shelf, blocks = topk.shelves(cells, 100)
+    assert shelf.tolist() == [0, 0, 1, 2, 3] and blocks.tolist() == [1, 1, 3, 1]
