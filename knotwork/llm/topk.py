@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 def packed(column: pa.Array) -> pa.Array:
     """Lists of integers as bytes: the size of an integer in bytes, then the integers of that size."""
-    values, bounds = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *pa.compute.list_value_length(column).to_numpy()])
+    values, bounds = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *pc.list_value_length(column).to_numpy()])
     low, high = values.min(initial=0), values.max(initial=0)
     size = next(s for s in (2, 4, 8) if -(1 << (8 * s - 1)) <= low and high < 1 << (8 * s - 1))
     data, mark = values.astype(f"<i{size}").tobytes(), bytes([size])
@@ -258,7 +259,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, products_made: li
             held, start = np.unique(cell, return_index=True)
             end = np.append(start[1:], len(cell))
             lists = q.column("cells").combine_chunks()
-            owner = np.repeat(np.arange(q.num_rows), pa.compute.list_value_length(lists).to_numpy())
+            owner = np.repeat(np.arange(q.num_rows), pc.list_value_length(lists).to_numpy())
             spot = np.searchsorted(held, lists.flatten().to_numpy())
             there = (spot < len(held)) & (held[np.minimum(spot, len(held) - 1)] == lists.flatten().to_numpy())
             asks = np.zeros((q.num_rows, len(held)), bool)
