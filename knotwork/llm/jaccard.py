@@ -3,18 +3,17 @@
 A document is the set of its distinct 5-word shingles (as 64-bit hashes). Two documents link when their sets have
 Jaccard similarity of 0.8 or more; the operator returns the components of these links.
 
-1. One pass over the texts gives each document's set size, a digest of its set, a few minimum hashes, and a sketch of
-   fixed size that counts shingles by hash bucket over all documents. Documents with equal sets form one class.
-2. Quick links: classes sorted by minimum hashes; neighbours are compared exactly. This only saves work: groups of near
-   copies are joined before the full search, which then skips pairs of one component.
-3. Full search, exact (after Deng, Tao and Li 2018). In every set shingles are ordered by the sketch's counts, rarest
+1. One pass over the texts gives each document's set size, a digest of its set, and a sketch that counts shingles by hash
+   bucket over all documents; its bounded size follows the length of all texts. Documents with equal sets form one class.
+2. Exact join (after Deng, Tao and Li 2018). In every set shingles are ordered by the sketch's counts, rarest
    first, then by hash. If sets A and B link, the first |A| - ceil(0.8 |A|) + k shingles of A and those of B
    share k shingles. Large sets scan inverted lists: all sets post the shingles for k = 1, and pairs with a large set are
    read off the lists. Small sets enumerate all 2-subsets of their shingles for k = 2; equal subsets give the pairs of
    small sets. The boundary between small and large is the one of least estimated cost, from the histogram of set sizes
    and the sketch. Sizes and places in the order rule out most pairs in a list before they are compared. Long lists are
-   searched twice: first rows near each other, whose links unite most of the list; then all pairs still apart.
-4. Candidates that share too few of their leading shingles go; every other one is compared exactly on whole sets, and
+   scanned twice: first rows near each other in one order for all lists, whose links unite most of a list; then all pairs still
+   apart, in pairs of blocks of the list's exact length.
+3. Candidates that share too few of their leading shingles go; every other one is compared exactly on whole sets, and
    components are united over all links.
 
 Skew. Equal sets cost one row for each task after partial aggregation. Lists that the sketch shows to be long are dealt
@@ -46,10 +45,8 @@ from knotwork.llm.components import components
 from knotwork.runtime import cut, release, ship_package, trimmed
 
 WORDS = 5
-#: Minimum hashes of a set; buckets and parts of the sketch; groups that sum the sketches of tasks.
-MINIMA, SKETCH_BITS, PARTS, SALTS = 16, 22, 16, 256
-#: Quick links: orders by minimum hashes, following neighbours tried in each, minimum hashes in common at least.
-ORDERS, NEXT, AGREE = 4, 4, 11
+#: Buckets of the sketch, at least and at most; its parts; sketches that one task sums.
+SKETCH_BITS, PARTS, FAN = (22, 24), 16, 64
 #: Rows of an inverted list that meet in one group; characters handled at once; bits of the filter of candidate ids.
 LIST, CHUNK, FILTER_BITS = 2048, 1 << 20, 24
 #: Bytes from which a word is hashed by a digest; ids of a clump of candidates that meet at once.
@@ -163,32 +160,31 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return n > 0 and 100 * n >= 80 * (len(a) + len(b) - n)
 
 
-SIGNATURES = "doc_id long, n long, d0 long, d1 long, minima array<long>, task int, part int, counts binary"
+SIGNATURES = "doc_id long, n long, d0 long, d1 long, task int, part int, counts binary"
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """Rows of documents (size, digest, minimum hashes) and, with ``part`` set, of each task's sketch."""
+def sketch_bits(docs: DataFrame) -> int:
+    """Buckets for about 16 shingles each, inside the bounds of the sketch."""
+    characters = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(SKETCH_BITS[0], min(SKETCH_BITS[1], (characters // 100).bit_length()))
+
+
+def signatures(docs: DataFrame, bits: int = SKETCH_BITS[0]) -> DataFrame:
+    """Rows of documents (size, digest) and, with ``part`` set, of each task's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns = mixed(np.arange(1, MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
-        counts, seen = np.zeros(1 << SKETCH_BITS, np.int32), []
+        counts, seen = np.zeros(1 << bits, np.int32), []
         for batch in batches:
             for part, sets in in_chunks(batch):
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                seen.append(_bucket(flat))
+                seen.append(_bucket(np.concatenate(sets) if sets else np.zeros(0, np.uint64), bits))
                 if sum(map(len, seen)) > len(counts):
                     counts += np.bincount(np.concatenate(seen), minlength=len(counts)).astype(np.int32)
                     seen = []
-                minima = np.zeros((len(sets), MINIMA), np.uint64)
-                full = np.array([len(s) > 0 for s in sets], bool)
-                offsets = np.cumsum([0, *(len(s) for s in sets)])[:-1][full]
-                for k in range(MINIMA if len(flat) else 0):
-                    minima[full, k] = np.minimum.reduceat(flat * turns[k], offsets)
                 digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
                 none = pa.nulls(len(sets), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(list(minima.view(np.int64)), pa.list_(pa.int64())), none, none, pa.nulls(len(sets), pa.binary())],
-                    names=["doc_id", "n", "d0", "d1", "minima", "task", "part", "counts"],
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), none, none, pa.nulls(len(sets), pa.binary())],
+                    names=["doc_id", "n", "d0", "d1", "task", "part", "counts"],
                 )
         if seen:
             counts += np.bincount(np.concatenate(seen), minlength=len(counts)).astype(np.int32)
@@ -196,50 +192,33 @@ def signatures(docs: DataFrame) -> DataFrame:
             task, pieces = TaskContext.get().partitionId(), np.split(counts, PARTS)
             none = pa.nulls(PARTS, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.nulls(PARTS, pa.list_(pa.int64())), pa.array([task] * PARTS, pa.int32()), pa.array(range(PARTS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in pieces], pa.binary())],
-                names=["doc_id", "n", "d0", "d1", "minima", "task", "part", "counts"],
+                [none, none, none, none, pa.array([task] * PARTS, pa.int32()), pa.array(range(PARTS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in pieces], pa.binary())],
+                names=["doc_id", "n", "d0", "d1", "task", "part", "counts"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), SIGNATURES)
 
 
-def sketch_of(table: DataFrame) -> np.ndarray:
-    """The sum of all tasks' sketches, of fixed size."""
+def sketch_of(table: DataFrame, bits: int = SKETCH_BITS[0]) -> np.ndarray:
+    """The sum of all tasks' sketches, of fixed size; by a tree, so that no task sums more than ``FAN`` of them."""
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = sum(np.frombuffer(zlib.decompress(c), np.int64 if wide else np.int32).astype(np.int64) for c, wide in zip(pdf["counts"], pdf["wide"], strict=True))
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "counts": [zlib.compress(s.tobytes(), 1)], "wide": [True]})
-
-    parts = table.where("part IS NOT NULL").select("part", "counts", F.lit(False).alias("wide"), (F.col("task") % SALTS).alias("salt"))
-    parts = parts.groupBy("part", "salt").applyInPandas(total, "part int, counts binary, wide boolean").groupBy("part").applyInPandas(total, "part int, counts binary, wide boolean")
-    rows = {r.part: np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64) for r in parts.collect()}
-    width = (1 << SKETCH_BITS) // PARTS
+        s = np.zeros((1 << bits) // PARTS, np.int64)
+        for c, wide in zip(pdf["counts"], pdf["wide"], strict=True):
+            s += np.frombuffer(zlib.decompress(c), np.int64 if wide else np.int32)
+        return pd.DataFrame({"task": [pdf["task"].iloc[0] // FAN], "part": [pdf["part"].iloc[0]], "counts": [zlib.compress(s.tobytes(), 1)], "wide": [True]})
+
+    sums = table.where("part IS NOT NULL").select("task", "part", "counts", F.lit(False).alias("wide"))
+    tasks = (sums.agg(F.max("task")).first()[0] or 0) + 1
+    while True:
+        sums, tasks = sums.groupBy("part", F.floor(F.col("task") / FAN)).applyInPandas(total, "task int, part int, counts binary, wide boolean"), -(-tasks // FAN)
+        if tasks == 1:
+            break
+    rows = {r.part: np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64) for r in sums.select("part", "counts").collect()}
+    width = (1 << bits) // PARTS
     return np.concatenate([rows.get(p, np.zeros(width, np.int64)) for p in range(PARTS)])
 
 
-def near_pairs(classes: DataFrame) -> DataFrame:
-    """(a, b): near neighbours in orders by minimum hashes, of classes (rep, n, minima), with ``AGREE`` of them in common."""
-    orders = [F.struct(F.lit(k).alias("k"), *[F.get("minima", F.lit((k + ORDERS * j) % MINIMA)).alias(f"m{j}") for j in range(3)]) for k in range(ORDERS)]
-    x = classes.select("rep", "n", "minima", F.explode(F.array(*orders)).alias("t")).select("t.*", "n", "rep", "minima")
-    by = ["k", "m0", "m1", "m2", "n", "rep"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            b = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0] if last is not None else b
-            k, m, n, rep = (b.column(c).to_numpy() for c in ("k", "m0", "n", "rep"))
-            minima = b.column("minima").flatten().to_numpy().reshape(-1, MINIMA)
-            for d in range(1, min(NEXT + 1, len(k))):
-                i = np.flatnonzero((k[d:] == k[:-d]) & (m[d:] == m[:-d]) & (5 * np.minimum(n[d:], n[:-d]) >= 4 * np.maximum(n[d:], n[:-d])))
-                i = i[(minima[i] == minima[i + d]).sum(1) >= AGREE]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[i + d])), pa.array(np.maximum(rep[i], rep[i + d]))], names=["a", "b"])
-            last = b.slice(max(0, b.num_rows - NEXT))
-
-    return x.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(trimmed(run), "a long, b long").where("a <> b").distinct()
-
-
 def _filter(ids: DataFrame) -> np.ndarray:
     """A bit filter of fixed size that holds all ids; it only saves shuffling, joins decide."""
 
@@ -354,7 +333,7 @@ def leads(docs: DataFrame, roots: DataFrame, sketch: np.ndarray) -> DataFrame:
             for part, sets in in_chunks(b.filter(pa.compute.is_valid(b.column("doc_id")))):
                 lead = []
                 for s in sets:
-                    c = np.maximum(counts[_bucket(s)], floor)
+                    c = np.maximum(_counts(s, counts), floor)
                     # s is sorted, so a stable sort by count leaves ties in order of hash
                     lead.append(s[np.argsort(c, kind="stable")[: int(prefix(len(s), 2))]].tobytes())
                 digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
@@ -369,8 +348,13 @@ def _sent(spark: SparkSession, sketch: np.ndarray) -> Broadcast:
     return spark.sparkContext.broadcast(sketch.astype(np.int32) if sketch.max(initial=0) < 2**31 else sketch)
 
 
-def _bucket(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _bucket(s: np.ndarray, bits: int) -> np.ndarray:
+    return (s >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _counts(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """What the sketch, of 2 ^ bits buckets, has of these shingles."""
+    return sketch[_bucket(s, len(sketch).bit_length() - 1)]
 
 
 def postings(lead: DataFrame, sketch: np.ndarray, small: int, only: np.ndarray | None = None) -> DataFrame:
@@ -391,10 +375,10 @@ def postings(lead: DataFrame, sketch: np.ndarray, small: int, only: np.ndarray |
                     lead = np.frombuffer(lead.as_buffer(), np.uint64)
                     if n <= small:
                         i, j = np.triu_indices(len(lead), 1)
-                        add(columns, mixed(np.minimum(lead[i], lead[j]) ^ mixed(np.maximum(lead[i], lead[j]))), counts[_bucket(lead[i])], i, n, rep, root, even, False)
+                        add(columns, mixed(np.minimum(lead[i], lead[j]) ^ mixed(np.maximum(lead[i], lead[j]))), _counts(lead[i], counts), i, n, rep, root, even, False)
                     if 5 * n >= 4 * (small + 1):
                         one = lead[: int(prefix(n, 1))]
-                        add(columns, one, counts[_bucket(one)], np.arange(len(one)), n, rep, root, even, True)
+                        add(columns, one, _counts(one, counts), np.arange(len(one)), n, rep, root, even, True)
                 if columns[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["key", "spot", "before", "earlier", "rep", "root"])
 
@@ -431,9 +415,9 @@ def promising(pairs: DataFrame, lead: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(posts: DataFrame, small: int, near: int | None) -> DataFrame:
-    """(a, b, open): pairs of a list that sizes and places do not rule out, of different components; small sets only by
+    """(a, b, open, size): pairs of a list that sizes and places do not rule out, of different components; small sets only by
     subsets. With ``near``, lists of more than ``MANY`` rows, in an order of chance, give the pairs of rows up to ``near``
-    apart alone, and their key as ``open``.
+    apart alone, and their key as ``open`` with the number of rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,7 +446,8 @@ def candidate_pairs(posts: DataFrame, small: int, near: int | None) -> DataFrame
         reach = np.repeat(np.where(partly, near or 0, size), size)
         if partly.any():
             keys = key[start[partly]]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64()), pa.array(keys)], names=["a", "b", "open"])
+            none = pa.nulls(len(keys), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(keys), pa.array(size[partly].astype(np.int64))], names=["a", "b", "open", "size"])
         i = np.flatnonzero(np.arange(len(key)) + 1 < end)
         d, found, held = 1, [], 0
         while len(i):
@@ -487,47 +472,58 @@ def candidate_pairs(posts: DataFrame, small: int, near: int | None) -> DataFrame
         order = np.lexsort((hi, lo))
         lo, hi = lo[order], hi[order]
         new = np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-        return pa.RecordBatch.from_arrays([pa.array(lo[new]), pa.array(hi[new]), pa.nulls(int(new.sum()), pa.int64())], names=["a", "b", "open"])
+        none = pa.nulls(int(new.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(lo[new]), pa.array(hi[new]), none, none], names=["a", "b", "open", "size"])
 
     x = posts.repartition("key").sortWithinPartitions("key", F.xxhash64("rep", F.lit(near or 0)))
-    return x.mapInArrow(trimmed(run), "a long, b long, open long").where("a IS NULL OR a <> b").distinct()
+    return x.mapInArrow(trimmed(run), "a long, b long, open long, size long").where("a IS NULL OR a <> b").distinct()
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def joined(docs: DataFrame, links_by_phase: dict[str, int] | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document; ``links_by_phase``, if given, gets the links that each scan found."""
     spark = docs.sparkSession
     ship_package(spark)
-    table = cut(signatures(docs))
-    sketch = sketch_of(table)
-    rows = table.where("part IS NULL").select("doc_id", "n", "d0", "d1", "minima")
-    classes = cut(rows.where("n > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("minima").alias("minima")).where("rep IS NOT NULL"))
-    quick = cut(verified(docs, cut(near_pairs(classes))))
-    united = components(quick)
-    roots = cut(classes.join(united, classes["rep"] == united["id"], "left").select("rep", "d0", "n", F.coalesce("component", "rep").alias("root")))
+    bits = sketch_bits(docs)
+    table = cut(signatures(docs, bits))
+    sketch = sketch_of(table, bits)
+    rows = table.where("part IS NULL").select("doc_id", "n", "d0", "d1")
+    classes = rows.where("n > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).where("rep IS NOT NULL")
+    roots = cut(classes.withColumn("root", F.col("rep")))
     sizes = roots.groupBy(F.least("n", F.lit(SIZES)).alias("n")).count().collect()  # at most SIZES rows
     small = boundary({int(r.n): r["count"] for r in sizes}, sketch)
     release(spark)
     lead = cut(leads(docs, roots, sketch))
     found = cut(candidate_pairs(postings(lead, sketch, small), small, NEAR))
     release(spark)
-    links = cut(quick.unionByName(verified(docs, cut(promising(found.where("a IS NOT NULL").select("a", "b"), lead)))))
-    open_lists = found.where("open IS NOT NULL").select(F.col("open").alias("id"))
+    links = cut(verified(docs, cut(promising(found.where("a IS NOT NULL").select("a", "b"), lead))))
+    open_lists = found.where("open IS NOT NULL").groupBy(F.col("open").alias("id")).agg(F.max("size").alias("size"))
+    if links_by_phase is not None:
+        links_by_phase["near rows of long lists, short lists"] = links.count()
     if not open_lists.isEmpty():
-        links = _closed(docs, links, lead, postings(lead, sketch, small, _filter(open_lists)), small)
+        rest = _closed(docs, links, lead, postings(lead, sketch, small, _filter(open_lists.select("id"))), open_lists, small)
+        if links_by_phase is not None:
+            rest = cut(rest)
+            links_by_phase["pairs of long lists still apart"] = rest.count()
+        links = links.unionByName(rest)
     final = components(links)
-    member = rows.join(classes.select("d0", "d1", "rep"), ["d0", "d1"], "left").select("doc_id", "n", "rep")
+    member = rows.join(roots.select("d0", "d1", "rep"), ["d0", "d1"], "left").select("doc_id", "n", "rep")
     # a row of no class (an empty set) keeps its own id
     out = member.join(final.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
-def _closed(docs: DataFrame, links: DataFrame, lead: DataFrame, posts: DataFrame, small: int) -> DataFrame:
-    """The links with those that long lists still hold: all pairs still apart, now that most of their rows are united."""
+def _closed(docs: DataFrame, links: DataFrame, lead: DataFrame, posts: DataFrame, open_lists: DataFrame, small: int) -> DataFrame:
+    """The links that long lists still hold: all pairs still apart, now that most of their rows are united."""
     united = components(links).select(F.col("id").alias("rep"), "component")
-    now = posts.join(united, "rep", "left").withColumn("root", F.coalesce("component", "root")).select(*posts.columns)
-    found = cut(candidate_pairs(now, small, None).select("a", "b"))
+    now = posts.join(united, "rep", "left").withColumn("root", F.coalesce("component", "root"))
+    # lists longer than the sketch told are dealt to blocks by their length: a row goes to all pairs of blocks that hold its own
+    long = open_lists.where(F.col("size") > LIST).select(F.col("id").alias("key"), F.ceil(F.col("size") / LIST).alias("blocks"))
+    now = now.join(long, "key", "left").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    now = now.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+    key = F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    found = cut(candidate_pairs(now.withColumn("key", key).select(*posts.columns), small, None).select("a", "b"))
     release(docs.sparkSession)
-    return links.unionByName(verified(docs, cut(promising(found, lead))))
+    return verified(docs, cut(promising(found, lead)))
 
 
 def representatives(docs: DataFrame) -> DataFrame:

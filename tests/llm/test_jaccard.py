@@ -68,14 +68,16 @@ def test_equals_brute_force(spark, n, seed, longest):
 
 @pytest.mark.parametrize("small", [0, 5, 30, 64])
 def test_any_boundary_gives_the_same(spark, monkeypatch, small):
-    """Subsets alone, lists alone, and both; long lists in blocks; without quick links."""
+    """Subsets alone, lists alone, and both; long lists in blocks."""
     monkeypatch.setattr(jaccard, "boundary", lambda *_: small)
-    monkeypatch.setattr(jaccard, "near_pairs", lambda classes: classes.sparkSession.createDataFrame([], "a long, b long"))
     rows = corpus(250, 5, 40)
     assert run(spark, rows) == brute(rows)
 
 
-def test_hot_groups(spark):
+@pytest.mark.parametrize("length", [20, 2048])
+def test_hot_groups(spark, monkeypatch, length):
+    """Long lists; also dealt to blocks by their exact lengths."""
+    monkeypatch.setattr(jaccard, "LIST", length)
     rnd = random.Random(9)
     base = [f"b{k}" for k in range(50)]
     rows = [(i, " ".join(base)) for i in range(200)]
@@ -135,3 +137,20 @@ def test_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: find(i) for a, b in links if a != b for i in (a, b)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sketches_are_summed_by_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FAN", 2)
+    docs = spark.createDataFrame([(i, f"a b c d e f{i}") for i in range(40)], "doc_id long, text string").repartition(7)
+    sketch = jaccard.sketch_of(jaccard.signatures(docs))
+    assert sketch.sum() == 80 and sketch.max() >= 40 and len(sketch) == 1 << 22
+
+
+def test_the_join_finds_the_links(spark):
+    phases = {}
+    rows = corpus(200, 6, 60)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    jaccard.joined(df, phases).count()
+    sets = {i: frozenset(shingles(t)) for i, t in rows}
+    different = {c for _, _, c in brute(rows)}
+    assert sum(phases.values()) >= len(set(sets.values()) - {frozenset()}) - len({c for c in different if sets[c]})
