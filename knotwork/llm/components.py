@@ -28,21 +28,30 @@ def _stars(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, component): for each id with a link, the smallest id it reaches; ``links`` has (a, b), in any order.
+def _is_open(edges: DataFrame) -> bool:
+    """Whether any node has two smaller neighbours, or a smaller and a larger one."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("low"), F.lit(0).alias("high")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("low"), F.lit(1).alias("high")))
+    per = ends.groupBy("id").agg(F.sum("low").alias("low"), F.max("high").alias("high"))
+    return not per.where("low > 1 OR (low > 0 AND high > 0)").isEmpty()
+
+
+def stars(links: DataFrame) -> DataFrame:
+    """(u, v): for each id with a smaller id in reach, the smallest one; ``links`` has (a, b), in any order.
 
     Each round is two aggregations and joins on node ids. Aggregations are partial before the shuffle, and hubs are joined by
     broadcasting at most 1 / SHARE of them, so no task gets all edges of a hub; rounds grow with the logarithm of the longest
-    path. Only a checksum reaches the driver.
+    path. Only counts reach the driver.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
-    while True:
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
-            break
-        seen = mark
-        # the large operation keeps the number of nodes with edges and makes no more edges than it gets
-        edges = cut(_stars(cut(_stars(edges, True, mark[0])), False, mark[0]))
+    while _is_open(edges):
+        rows = edges.count()
+        # neither operation makes more edges than it gets
+        edges = cut(_stars(cut(_stars(edges, True, rows)), False, rows))
         release(edges.sparkSession)
+    return edges
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, component): for each id with a link, the smallest id it reaches; ``links`` has (a, b), in any order."""
+    edges = stars(links)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -38,13 +38,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.components import components
+from knotwork.llm.components import components, stars
 from knotwork.runtime import cut, give_back, release, ship_package, trimmed
 
 THRESHOLD = 0.93
 BITS, WINDOW, RECALL = 48, 256, 0.999
 #: Passes of one round.
-ROUND = 3
+ROUND = 4
 #: Vectors that centres of labels are drawn from, and the fewest of a label that give one.
 SAMPLE, CENTRE = 4096, 8
 #: Rows and vector components in a block of the exact counts; a row is shuffled once for every block of its component.
@@ -236,7 +236,7 @@ def compared(pairs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def links_of(reps: DataFrame, threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW, recall: float = RECALL) -> tuple[DataFrame, int]:
-    """(a, b), which connect every component found, and the number of passes made."""
+    """(a, b): each class that is not the smallest of its component, and that one; and the number of passes made."""
     n = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     centres = centres_of(reps)
 
@@ -247,22 +247,23 @@ def links_of(reps: DataFrame, threshold: float = THRESHOLD, passes: int | None =
             sure, doubt = x.where("sure").select("a", "b"), x.where("NOT sure").select("a", "b")
             x = sure if doubt.isEmpty() else sure.unionByName(compared(doubt, reps, threshold))
             out = x if out is None else out.unionByName(x)
-        return cut(out.distinct())
+        return out
 
-    def unions(links: DataFrame) -> int:
-        return components(links).where("id <> component").count()
+    def united(links: DataFrame) -> tuple[DataFrame, int]:
+        x = stars(links).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        return x, x.count()
 
-    half = max(1, -(-(passes or planned(n, window, threshold, recall)) // 2))
-    links, more = run(range(half)), run(range(half, 2 * half))
-    made, before = 2 * half, unions(links)
+    made = max(2, passes or planned(n, window, threshold, recall))
+    if n <= window + 1:
+        return united(run(range(1)))[0], 1  # a window holds a whole label
+    links, before = united(run(range(-(-made // 2))))
+    links, after = united(links.unionByName(run(range(-(-made // 2), made))))
     while True:
-        both = cut(links.unionByName(more).distinct())
-        after = unions(both)
         missed = (after - before) / max(1, before)  # of a half: g / (1 - g) where the other adds g of all
-        if missed**2 <= 1 - recall or n <= window:
-            return both, made
-        links, before = both, after
-        more = run(range(made, 2 * made))
+        if missed**2 <= 1 - recall:
+            return links, made
+        before = after
+        links, after = united(links.unionByName(run(range(made, 2 * made))))
         made *= 2
 
 
