@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import fnmatch
 import re
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,21 +33,30 @@ def short_name(name: Column) -> Column:
     return F.substring_index(F.substring_index(name, ".", -1), "::", -1)
 
 
-def term_score(term: str, name: Column, short: Column, node_id: Column) -> Column:
-    """Score of one term against lower-case names: equal 10, in the name 5, in the id 2, shared prefix 3."""
-    t = F.lit(term)
-    overlap = F.greatest(prefix_overlap(t, short), prefix_overlap(t, name))
-    enough = (overlap >= 4) & (overlap >= F.floor(F.least(F.length(t), F.length(short)) / 2))
-    return F.when((name == t) | (short == t), 10).when(F.contains(name, t), 5).when(F.contains(node_id, t), 2).when(enough, 3).otherwise(0)
+def term_score(term: Column, name: Column, short: Column, node_id: Column) -> Column:
+    """Score of one term against lower-case names: equal 10, in the name 5, in the id 2, shared prefix 3.
 
+    A prefix is long enough with four characters and half of the shorter one of term and short name, so one comparison of
+    that length tells.
+    """
+    k = F.greatest(F.lit(4), F.floor(F.least(F.length(term), F.length(short)) / 2).cast("int"))
+    same = lambda s: (F.length(s) >= k) & (F.length(term) >= k) & (F.left(s, k) == F.left(term, k))
+    return F.when((name == term) | (short == term), 10).when(F.contains(name, term), 5).when(F.contains(node_id, term), 2).when(same(short) | same(name), 3).otherwise(0)
 
-def node_score(search: list[str], name: Column, node_id: Column, node_type: Column) -> Column:
-    """Sum over the terms; one more for a match of a favoured type."""
+
+def may_score(search: list[str], name: Column, short: Column, node_id: Column) -> Column:
+    """Whether any term can score: three compiled patterns, which keep most nodes from the term by term comparison."""
+    inside, begins = "|".join(search), "|".join({t[:4] for t in search if len(t) >= 4})
+    begins = rf"\A(?:{begins})" if begins else r"\z\A."
+    return name.rlike(f"{inside}|{begins}") | short.rlike(begins) | node_id.rlike(inside)
+
+
+def node_score(search: list[str], name: Column, short: Column, node_id: Column, node_type: Column) -> Column:
+    """Sum over the terms, folded over one array so that the plan does not grow with them; one more for a favoured type."""
     if not search:
         return F.lit(0)
-    low, nid = F.lower(F.coalesce(name, node_id)), F.lower(node_id)
-    total = reduce(lambda s, t: s + term_score(t, low, short_name(low), nid), search, F.lit(0))
-    return total + F.when((total > 0) & node_type.isin(*V.FAVOURED_TYPES), 1).otherwise(0)
+    total = F.aggregate(F.array(*map(F.lit, search)), F.lit(0), lambda s, t: s + term_score(t, name, short, node_id))
+    return F.transform(F.array(total), lambda n: n + F.when((n > 0) & node_type.isin(*V.FAVOURED_TYPES), 1).otherwise(0))[0]
 
 
 def kind_of(path: Column) -> Column:

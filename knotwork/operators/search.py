@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork import fixed_values as V
-from knotwork.functions.text import node_score, terms_of
+from knotwork.functions.text import may_score, node_score, short_name, terms_of
 from knotwork.schema import Graph
 
 
 def scored(nodes: DataFrame, terms: list[str]) -> DataFrame:
     """(id, score) of every node that matches a term."""
-    return nodes.select("id", node_score(terms, F.col("name"), F.col("id"), F.col("type")).cast("long").alias("score")).where("score > 0")
+    low = F.lower(F.coalesce("name", "id"))
+    # names are made once, then compared with every term
+    x = nodes.select("id", "type", low.alias("low"), short_name(low).alias("short"), F.lower("id").alias("low_id"))
+    x = x.where(may_score(terms, F.col("low"), F.col("short"), F.col("low_id"))) if terms else x
+    return x.select("id", node_score(terms, F.col("low"), F.col("short"), F.col("low_id"), F.col("type")).cast("long").alias("score")).where("score > 0")
 
 
 def seeds(nodes: DataFrame, terms: list[str], k: int = V.SEEDS) -> DataFrame:

@@ -1,7 +1,9 @@
 """Bounded traversals: level-synchronous frontier joins.
 
-Each level joins the frontier with the edge table and removes what was seen. The frontier is broadcast while its counted
-size is small, else both sides are shuffled. Levels are cut with reliable checkpoints, so plans stay short.
+Each level joins the frontier with the ends of the edge table, once for each direction, and removes what was seen; no
+closure of the edges is built, the aggregation by node drops what is reached twice. The frontier is broadcast while its
+counted size is small, else both sides are shuffled. A level is cut with one reliable checkpoint, so plans stay short.
+Every node carries the way it was reached first, which orders nodes without numbering a level before the next.
 """
 
 from __future__ import annotations
@@ -23,11 +25,6 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct()
 
 
-def reversed_edges(edges: DataFrame) -> DataFrame:
-    """(a, b): from each node to those that point at it."""
-    return edges.select(F.col("target").alias("a"), F.col("source").alias("b")).distinct()
-
-
 def neighbours(edges: DataFrame, ids: DataFrame, directed: str = "both") -> DataFrame:
     """(id, neighbour, direction) of one hop from ``ids`` (id)."""
     out = edges.join(ids, edges["source"] == ids["id"]).select("id", F.col("target").alias("neighbour"), F.lit("out").alias("direction"))
@@ -40,55 +37,83 @@ def seeds_table(spark: SparkSession, ids: list[str]) -> DataFrame:
     return spark.createDataFrame([(x, i) for i, x in enumerate(dict.fromkeys(ids))], "id string, pos long")
 
 
-def expand(steps: DataFrame, seeds: DataFrame, depth: int, order: DataFrame | None = None, until: str | None = None) -> DataFrame:
-    """Breadth-first expansion over ``steps`` (a, b) from ``seeds`` (id, pos): id, depth, pos, parent.
+#: Directions of a step: from source to target, from target to source.
+OUT, IN = ("source", "target"), ("target", "source")
+
 
-    Positions follow level, then the smallest position among parents, then id (or ``order``: id, key). ``until``
-    stops after the level that reaches that id. Levels stop at ``depth``, included, or at an empty frontier.
+class Levels:
+    """A breadth-first expansion from ``seeds`` (id, key), level by level, over ``edges`` in the given ``directions``.
+
+    ``front`` is the last level (id, key) and ``count`` its rows. ``grow`` gives the key of a node from the smallest key among
+    its neighbours of the level before.
     """
-    steps = steps.persist()
-    level = cut(seeds.select("id", F.lit(0).alias("depth"), F.col("pos").cast("long").alias("pos"), F.lit(None).cast("string").alias("parent")))
-    levels, count, total = [level], level.count(), 0
-    for d in range(1, depth + 1):
-        if not count or until and not level.where(F.col("id") == until).isEmpty():
+
+    def __init__(self, edges: DataFrame, seeds: DataFrame, directions: tuple[tuple[str, str], ...], grow, order: DataFrame | None = None) -> None:
+        self.edges, self.directions, self.grow, self.order = edges, directions, grow, order
+        self.front = cut(seeds)
+        self.all, self.count = [self.front], self.front.count()
+
+    def seen(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [x.select("id") for x in self.all])
+
+    def step(self) -> None:
+        few, front = self.count <= BROADCAST_ROWS, self.front.select(F.col("id").alias("from"), "key")
+        ways = []
+        for a, b in self.directions:
+            ends = self.edges.select(F.col(a).alias("from"), F.col(b).alias("id"))
+            ways.append(ends.join(F.broadcast(front) if few else front, "from").select("id", "key"))
+        reached = reduce(DataFrame.unionByName, ways).groupBy("id").agg(F.min("key").alias("key"))
+        new = reached.join(self.seen(), "id", "left_anti")
+        new = new if self.order is None else new.join(self.order, "id", "left")
+        self.front = cut(new.select("id", self.grow(F.col("key")).alias("key")))
+        self.count = self.front.count()
+        self.all.append(self.front)
+
+
+def expand(edges: DataFrame, seeds: DataFrame, depth: int, directions: tuple[tuple[str, str], ...] = (OUT, IN), order: DataFrame | None = None) -> DataFrame:
+    """Breadth-first expansion from ``seeds`` (id, pos): id, depth, pos.
+
+    Positions follow level, then the smallest position among parents, then id (or ``order``: id, ord, then id). Levels stop
+    at ``depth``, included, or at an empty frontier. A key is the position of a seed and the nodes on the way from it.
+    """
+    edges = edges.select("source", "target").persist()
+    link = F.struct(F.col("ord").alias("o"), F.col("id").alias("i")) if order is not None else F.col("id")
+    # the type of a way, from columns of the right types
+    kind = "string" if order is None else f"struct<o:{order.schema['ord'].dataType.simpleString()},i:string>"
+    first = seeds.select("id", F.struct(F.col("pos").cast("long").alias("seed"), F.array().cast(f"array<{kind}>").alias("way")).alias("key"))
+    levels = Levels(edges, first, directions, lambda key: F.struct(key["seed"].alias("seed"), F.concat(key["way"], F.array(link)).alias("way")), order)
+    total = levels.count
+    for _ in range(depth):
+        if not levels.count:
             break
-        total += count
-        front = level.select(F.col("id").alias("a"), F.col("pos").alias("parent_pos"))
-        reached = steps.join(F.broadcast(front) if count <= BROADCAST_ROWS else front, "a")
-        reached = reached.groupBy(F.col("b").alias("id")).agg(F.min("parent_pos").alias("parent_pos"), F.min("a").alias("parent"))
-        seen = reduce(DataFrame.unionByName, levels).select("id")
-        new = reached.join(seen, "id", "left_anti")
-        if order is not None:
-            new = new.join(order, "id", "left")
-        new = cut(new)
-        count = new.count()
-        level = cut(_numbered(new, ["parent_pos", *(["key"] if order is not None else []), "id"], total).select("id", F.lit(d).alias("depth"), "pos", "parent"))
-        levels.append(level)
-    steps.unpersist()
-    return reduce(DataFrame.unionByName, levels)
-
-
-def _numbered(rows: DataFrame, by: list[str], start: int) -> DataFrame:
-    """``pos`` in the order of ``by`` from ``start`` on, without a single-task sort: rows are numbered inside the parents'
-    positions, parents by running totals over ranges of positions."""
-    inside = Window.partitionBy("parent_pos").orderBy(*by[1:])
-    per = rows.groupBy("parent_pos").agg(F.count("*").alias("n")).withColumn("span", F.floor(F.col("parent_pos") / 4096))
-    spans = per.groupBy("span").agg(F.sum("n").alias("n"))
-    spans = spans.withColumn("base", F.sum("n").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).drop("n")
-    per = per.withColumn("inner", F.sum("n").over(Window.partitionBy("span").orderBy("parent_pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    first = per.join(spans, "span").select("parent_pos", (F.col("base") + F.col("inner")).alias("first"))
-    x = rows.withColumn("rn", F.row_number().over(inside)).join(first, "parent_pos")
-    return x.withColumn("pos", F.lit(start) + F.col("first") + F.col("rn") - 1)
+        levels.step()
+        total += levels.count
+    edges.unpersist()
+    rows = [x.select("id", F.lit(d).alias("depth"), "key") for d, x in enumerate(levels.all)]
+    return _numbered(reduce(DataFrame.unionByName, rows), ["depth", "key", "id"], total).drop("key")
+
+
+def _numbered(rows: DataFrame, by: list[str], total: int) -> DataFrame:
+    """``pos`` from 0 in the order of ``by``: in one task while the counted rows are few, else by ranges, each from where the ranges
+    before it end."""
+    if total <= BROADCAST_ROWS:
+        return rows.withColumn("pos", F.row_number().over(Window.orderBy(*by)).cast("long") - 1)
+    # the identifier of a row is its range and, in the lower 33 bits, its place in it
+    x = cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id()))
+    sizes = x.groupBy(F.shiftright("at", 33).alias("range")).count()  # one row for each range
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    return x.join(F.broadcast(starts), F.shiftright("at", 33) == F.col("range")).withColumn("pos", F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at", "range", "start")
 
 
 def bfs(graph: Graph, seeds: DataFrame, depth: int) -> DataFrame:
     """Nodes within ``depth`` hops of any seed, edges taken both ways."""
-    return expand(undirected(graph.edges), seeds, depth)
+    return expand(graph.edges, seeds, depth)
 
 
 def affected(graph: Graph, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """Nodes that reach a seed within ``depth`` edges; siblings in order of first sighting."""
-    return expand(reversed_edges(graph.edges), seeds, depth, graph.nodes.select("id", F.col("ord").alias("key")))
+    return expand(graph.edges, seeds, depth, (IN,), graph.nodes.select("id", "ord"))
 
 
 def ego(graph: Graph, node_id: str) -> DataFrame:
@@ -102,28 +127,39 @@ def ego(graph: Graph, node_id: str) -> DataFrame:
 
 
 def shortest_path(graph: Graph, source: str, target: str, most: int = 1 << 20) -> list[str]:
-    """A shortest undirected path, the parent with the smallest id at every step; empty if there is none."""
+    """A shortest undirected path, from the target on the neighbour with the smallest id at every step; empty if there is none.
+
+    Levels grow from both ends, the smaller frontier first, until they meet. From the target a node carries the smallest way to
+    it, from the source the way back by smallest ids, so the path comes from one join of the levels that meet.
+    """
     spark = graph.edges.sparkSession
     if graph.nodes.where(F.col("id").isin(source, target)).select("id").distinct().count() < len({source, target}):
         return []
-    tree = expand(undirected(graph.edges), seeds_table(spark, [source]), most, until=target)
-    path, at = [], target
+    edges = graph.edges.select("source", "target").persist()
+    me = lambda x: spark.createDataFrame([(x, [x])], "id string, key array<string>")
+    back = Levels(edges, me(source), (OUT, IN), lambda key: F.concat(F.array("id"), key))
+    ahead = Levels(edges, me(target), (OUT, IN), lambda key: F.concat(key, F.array("id")))
+    path: list[str] = []
     for _ in range(most):
-        row = tree.where(F.col("id") == at).select("parent", "depth").head()
-        if row is None:
-            return []
-        path.append(at)
-        if not row.depth:
+        meet = back.front.select("id", F.col("key").alias("home")).join(ahead.front.select("id", "key"), "id")
+        best = meet.agg(F.min(F.struct("key", "home")).alias("best")).first().best
+        if best is not None:
+            path = list(reversed(best["home"])) + list(reversed(best["key"]))[1:]
+            break
+        side = back if back.count <= ahead.count else ahead
+        if not side.count:
             break
-        at = row.parent
-    return path[::-1]
+        side.step()
+    edges.unpersist()
+    return path
 
 
 def dfs(graph: Graph, seeds: list[str], depth: int) -> list[str]:
     """Depth-first preorder: successors in edge order, then predecessors in node order, depth tested on entry.
 
-    Preorder with a depth bound is sequential by nature. The ball around the seeds is found by joins; only its
-    induced edges, in order, come to the driver.
+    Preorder with a depth bound is sequential by nature. The ball around the seeds is found by joins; its
+    induced edges, in order, come to the driver, which must hold them: what they are bounded by is the depth alone, since a
+    budget shows only part of the nodes but every edge among all of them.
     """
     spark = graph.edges.sparkSession
     ball = cut(bfs(graph, seeds_table(spark, seeds), depth).select("id"))
