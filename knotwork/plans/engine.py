@@ -12,11 +12,13 @@ from knotwork.operators import community, merge, render
 from knotwork.runtime import cut
 from knotwork.schema import Graph
 from knotwork.sources import discover, extract, nodelink, sinks, store
+from knotwork.sources.files import Folder
 
 
-def output_dir(override: str | Path | None = None) -> Path:
-    """The given directory, else KNOTWORK_OUT, else knotwork-out in the working directory."""
-    return Path(override or os.environ.get("KNOTWORK_OUT") or Path.cwd() / "knotwork-out").expanduser().resolve()
+def output_dir(override: str | Path | None = None) -> str | Path:
+    """The given directory, else KNOTWORK_OUT, else knotwork-out in the working directory; a URI of any store stays as it is."""
+    given = override or os.environ.get("KNOTWORK_OUT") or Path.cwd() / "knotwork-out"
+    return given if "://" in str(given) else Path(given).expanduser().resolve()
 
 
 class ShrinkError(RuntimeError):
@@ -26,7 +28,8 @@ class ShrinkError(RuntimeError):
 class Engine:
     def __init__(self, spark: SparkSession, out: str | Path | None = None, cache_by_content: bool = False):
         self.spark, self.out = spark, output_dir(out)
-        self.cache = store.Cache(spark, self.out / "cache", cache_by_content)
+        self.folder = Folder(spark, self.out)
+        self.cache = store.Cache(spark, Folder(spark, self.folder.at("cache")), cache_by_content)
 
     # state
 
@@ -34,13 +37,13 @@ class Engine:
         """The stored graph, or the one of a node-link file."""
         if path is not None:
             return nodelink.load(self.spark, path)
-        if not store.has_graph(self.out):
+        if not store.has_graph(self.folder):
             raise FileNotFoundError(f"no graph in {self.out}; build one first")
-        return store.load_graph(self.spark, self.out)
+        return store.load_graph(self.spark, self.folder)
 
     def _extraction(self, root: str | Path) -> tuple[DataFrame, int, int]:
         """Extraction rows of the tree, number of files, number of files that were not cached."""
-        files = discover.discover(self.spark, root, frozenset({os.path.realpath(self.out)}))
+        files = discover.discover(self.spark, root, frozenset() if "://" in str(self.out) else frozenset({os.path.realpath(self.out)}))
         contents = cut(discover.with_contents(files))
         hits, misses = self.cache.split(contents)
         hits, misses = cut(hits), cut(misses)
@@ -53,25 +56,24 @@ class Engine:
     def _write(self, graph: Graph, communities: DataFrame | None, root: str | Path, viz: bool, stats: dict) -> dict:
         if communities is not None:
             graph = Graph(community.attached(graph.nodes, communities), graph.edges)
-        graph = store.save_graph(graph, self.out)
-        nodelink.save(graph, self.out / "graph.json")
-        (self.out / "GRAPH_REPORT.md").write_text(sinks.report(graph, communities), encoding="utf-8")
+        graph = store.save_graph(graph, self.folder)
+        nodelink.save(graph, self.folder.at("graph.json"))
+        self.folder.write("GRAPH_REPORT.md", sinks.report(graph, communities))
         if viz:
-            (self.out / "graph.html").write_text(sinks.to_html(graph, communities), encoding="utf-8")
+            self.folder.write("graph.html", sinks.to_html(graph, communities))
         count = communities.select("community").distinct().count() if communities is not None else 0
         stats = {"nodes": graph.nodes.count(), "edges": graph.edges.count(), "communities": count} | stats
-        sinks.write_manifest(self.out, str(Path(root).resolve()), stats)
+        sinks.write_manifest(self.folder, str(Path(root).resolve()), stats)
         return stats
 
     # commands
 
     def build(self, root: str | Path = ".", viz: bool = True, cluster: bool = True, force: bool = False) -> dict:
         """Scan, extract, merge, cluster and write everything; refuses to replace a much larger graph unless forced."""
-        self.out.mkdir(parents=True, exist_ok=True)
         rows, n_files, changed = self._extraction(root)
         built = merge.build(extract.nodes_of(rows), extract.edges_of(rows))
         graph = Graph(cut(built.nodes), cut(built.edges))
-        if store.has_graph(self.out) and not force:
+        if store.has_graph(self.folder) and not force:
             prior, new = self.graph().nodes.count(), graph.nodes.count()
             if store.shrinks(prior, new):
                 raise ShrinkError(f"the new graph has {new} nodes, the stored one {prior}; use force to replace it")
@@ -80,20 +82,21 @@ class Engine:
 
     def update(self, root: str | Path = ".", cluster: bool = True) -> dict:
         """Rebuild from the cache and what changed; report and viewer are refreshed, the guard does not apply."""
-        self.out.mkdir(parents=True, exist_ok=True)
         rows, n_files, changed = self._extraction(root)
         built = merge.build(extract.nodes_of(rows), extract.edges_of(rows))
         graph = Graph(cut(built.nodes), cut(built.edges))
         communities = cut(community.communities(graph)) if cluster else None
-        return self._write(graph, communities, root, (self.out / "graph.html").exists(), {"files_scanned": n_files, "changed_files": changed})
+        return self._write(graph, communities, root, self.folder.exists("graph.html"), {"files_scanned": n_files, "changed_files": changed})
 
     def recluster(self, resolution: float = 1.0, path: str | None = None) -> int:
-        """New communities for the stored graph; returns their number."""
+        """New communities for the stored graph, or for a node-link file, which is written back; returns their number."""
         graph = self.graph(path)
         graph = Graph(cut(graph.nodes), cut(graph.edges))
         found = cut(community.communities(graph, resolution))
-        graph = store.save_graph(Graph(community.attached(graph.nodes, found), graph.edges), self.out)
-        nodelink.save(graph, self.out / "graph.json")
+        graph = Graph(community.attached(graph.nodes, found), graph.edges)
+        if path is None:
+            graph = store.save_graph(graph, self.folder)
+        nodelink.save(graph, path or self.folder.at("graph.json"))
         return found.select("community").distinct().count()
 
     def query(self, question: str, depth: int = 3, budget: int = render.FIXED_BUDGET, strategy: str = "bfs", path: str | None = None) -> str:
@@ -108,10 +111,10 @@ class Engine:
     def affected(self, node: str, depth: int = 2, path: str | None = None) -> str:
         return render.affected(self.graph(path), node, depth)
 
-    def export_callflow(self, output: str | Path | None = None, max_sections: int = 5) -> Path:
-        dest = Path(output) if output else self.out / "callflow.html"
-        dest.parent.mkdir(parents=True, exist_ok=True)
-        dest.write_text(sinks.to_callflow_html(self.graph(), max_sections), encoding="utf-8")
+    def export_callflow(self, output: str | Path | None = None, max_sections: int = 5) -> str | Path:
+        dest = output_dir(output) if output else self.folder.at("callflow.html") if "://" in str(self.out) else self.out / "callflow.html"
+        folder, name = os.path.split(os.fspath(dest))
+        Folder(self.spark, folder).write(name, sinks.to_callflow_html(self.graph(), max_sections))
         return dest
 
     def communities(self) -> DataFrame:

@@ -6,6 +6,7 @@ can state the expected rows from the columns.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +16,10 @@ from knotwork import fixed_values as V
 from knotwork.functions import text
 from knotwork.operators import analytics, community, merge, render, search, traverse
 from knotwork.plans.star_graph import STAR_SQL, star_graph
-from knotwork.runtime import cut
+from knotwork.runtime import cut, scratch_path
 from knotwork.schema import Graph
 from knotwork.sources import discover, extract, nodelink, sinks, store
+from knotwork.sources.files import Folder
 
 QUESTION = "How does the blue gear of Brand#12 reach customer_7 and widget suppliers?"
 TERMS = text.terms_of(QUESTION)
@@ -61,13 +63,16 @@ def discover_files(spark, sf_dir):
 
 
 @query("""
-SELECT part_id, CASE WHEN m = 0 THEN b WHEN m = 1 THEN '!' || n ELSE b || '/' END AS pattern
-FROM (SELECT p_partkey AS part_id, p_size % 5 AS m, p_brand AS b, p_name AS n FROM part) WHERE m < 3""")
+SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS BIGINT) AS pos, CASE WHEN m = 0 THEN b WHEN m = 1 THEN '!' || n ELSE b || '/' END AS pattern
+FROM (SELECT p_partkey AS k, p_size % 5 AS m, p_brand AS b, p_name AS n FROM part) WHERE m < 3""")
 def ignore_patterns(spark, sf_dir):
+    """Parts as lines of an ignore file, with comments and blank lines, read by the reader of such files."""
     m = F.col("p_size") % 5
     line = F.when(m == 0, F.concat(F.lit("  "), "p_brand")).when(m == 1, F.concat(F.lit("!"), "p_name", F.lit(" \t"))).when(m == 2, F.concat("p_brand", F.lit("/  "))).when(m == 3, F.concat(F.lit("  # "), "p_name")).otherwise("   ")
-    x = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), F.regexp_replace(line, r"\A\s+|\s+\z", "").alias("pattern"))
-    return x.where((F.col("pattern") != "") & ~F.startswith("pattern", F.lit("#")))
+    with tempfile.TemporaryDirectory() as root:
+        with open(f"{root}/{discover.IGNORE_FILES[0]}", "w", encoding="utf-8") as f:
+            f.writelines(f"{r.line}\n" for r in table(spark, sf_dir, "part").orderBy("p_partkey").select(line.alias("line")).toLocalIterator())
+        return spark.createDataFrame(list(enumerate(discover.ignore_patterns(root))), "pos long, pattern string")
 
 
 def _paths(spark, sf_dir) -> DataFrame:
@@ -110,18 +115,28 @@ def ignore_prune(spark, sf_dir):
     return _paths(spark, sf_dir).select("p_partkey", text.pruned(F.col("path"), PATTERNS).alias("ignored"))
 
 
-@query("SELECT sha256(text) AS sha256, CAST(count(*) AS BIGINT) AS n, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1")
+@query("""
+WITH d AS (SELECT 'd/' || doc_id || '.txt' AS rel, doc_id, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL)
+SELECT rel, sha256, sha256 IN (SELECT sha256 FROM d WHERE doc_id % 2 = 0) AS hit FROM d""")
 def content_hash_dedup(spark, sf_dir):
-    x = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("sha256"))
-    return x.groupBy("sha256").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
-
-
-@query(f"""WITH {STAR_SQL} SELECT source, target, type, line, confidence FROM edges WHERE tab IN (1, 3)""")
+    """Documents as files against an extraction cache by content that holds every other one of them."""
+    text_ = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    files = text_.select("doc_id", F.col("doc_id").alias("file_ord"), F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel"), F.lit("text").alias("kind"), F.lit(".txt").alias("suffix"), F.sha2("text", 256).alias("sha256"), F.lit("").alias("content"))
+    cache = store.Cache(spark, Folder(spark, scratch_path(spark, "cache")), by_content=True)
+    cache.add(extract.extracted(files.where("doc_id % 2 = 0").drop("doc_id")))
+    hits, misses = cache.split(files.drop("doc_id"))
+    found = hits.where("id IS NOT NULL").select("file_ord" if "file_ord" in hits.columns else F.col("ord.file_ord").alias("file_ord")).distinct().withColumn("hit", F.lit(True))
+    both = found.unionByName(misses.select("file_ord", F.lit(False).alias("hit")))
+    return files.join(both, "file_ord").select("rel", "sha256", "hit")
+
+
+@query(f"""WITH {STAR_SQL} SELECT source, target, type, line, confidence FROM edges""")
 def nodelink_roundtrip(spark, sf_dir):
-    """Regions, nations and suppliers as one node-link document and back."""
+    """The whole star graph written as one node-link file and read back."""
+    path = f"{scratch_path(spark, 'graph')}/graph.json"
     g = star_graph(spark, sf_dir)
-    few = Graph(g.nodes.where(F.col("src").isin("region", "nation", "supplier")), g.edges.where(F.col("src").isin("nation", "supplier")))
-    return longs(nodelink.round_trip(few).edges.select("source", "target", "type", "line", "confidence"), "line")
+    nodelink.save(Graph(cut(g.nodes), cut(g.edges)), path)
+    return longs(nodelink.load(spark, path).edges.select("source", "target", "type", "line", "confidence"), "line")
 
 
 # --- Extractors ------------------------------------------------------------------------------------------------------
@@ -202,7 +217,7 @@ def extract_rust(spark, sf_dir):
 
 @query(_expected(".java", IMPORTS.format(name="java.util.N' || n", line=1), IMPORTS.format(name="a.b.*'", line=2), DEFINES.format(kind="class", name="C' || k"), "'class::' || rel || '::C' || k, 'symbol::?::Base' || n, 'inherits', 'Base' || n, NULL, 'INFERRED'", DEFINES.format(kind="function", name="m' || k")))
 def extract_java(spark, sf_dir):
-    s = F.concat(F.lit("import java.util.N"), "n", F.lit(";\nimport static a.b.*;\npublic final class C"), "k", F.lit(" extends Base"), "n", F.lit(" {\n  public static int m"), "k", F.lit("(int x) throws E {\n    return 1;\n  }\n}\n"))
+    s = F.concat(F.lit("import java.util.N"), "n", F.lit(";\nimport static a.b.*;\npublic final class C"), "k", F.lit(" extends Base"), "n", F.lit(" {\n  public static int m"), "k", F.lit("(int x) throws E {\n    return 1;\n  }\n  public synchronized while(int z) {\n  }\n}\n"))
     return _edges(_extracted(_nation_sources(spark, sf_dir, ".java", s)))
 
 
@@ -421,10 +436,16 @@ def degree(spark, sf_dir):
     return analytics.degree(g.nodes, g.edges)
 
 
-@query(" SELECT id, degree, type, name, src, community FROM degrees JOIN nodes USING (id) ORDER BY degree DESC, id LIMIT 20", star=True)
+@query(f"""
+, noisy AS (SELECT id, degree + CASE WHEN src = 'order' THEN 1 ELSE 0 END AS degree, type, name, src, community FROM degrees JOIN nodes USING (id)
+  UNION ALL SELECT '{V.NOISE_MODULES[0]}', (SELECT count(*) FROM orders), 'module', 'os', NULL, NULL)
+SELECT id, CAST(degree AS BIGINT) AS degree, type, name, src, community FROM noisy WHERE id NOT IN {V.NOISE_MODULES} ORDER BY degree DESC, id LIMIT 20""", star=True)
 def god_nodes(spark, sf_dir):
-    g = star_graph(spark, sf_dir)
-    return longs(analytics.hubs(g.nodes, g.edges), "community")
+    """With a module of the noise list that every order points at, so that it would come first."""
+    g, noise = star_graph(spark, sf_dir), V.NOISE_MODULES[0]
+    node = merge.completed_nodes(spark.createDataFrame([(noise, "module", "os")], "id string, type string, name string"))
+    more = g.nodes.where("src = 'order'").select(F.col("id").alias("source"), F.lit(noise).alias("target"), F.lit("imports").alias("type"))
+    return longs(analytics.hubs(g.nodes.unionByName(node), g.edges.unionByName(merge.completed_edges(more))), "community")
 
 
 @query(" SELECT id, degree FROM degrees ORDER BY degree DESC, id LIMIT 5", star=True)
@@ -572,9 +593,10 @@ def callflow_nodes(spark, sf_dir):
     return sinks.callflow_nodes(star_graph(spark, sf_dir)).drop("ord")
 
 
-@query(CALLFLOW_SQL + " SELECT s.mermaid_id AS source_id, t.mermaid_id AS target_id, type FROM edges JOIN top s ON s.id = source JOIN top t ON t.id = target", star=True)
+@query(CALLFLOW_SQL.replace("LIMIT 40", "LIMIT 1600") + " SELECT s.mermaid_id AS source_id, t.mermaid_id AS target_id, type FROM edges JOIN top s ON s.id = source JOIN top t ON t.id = target", star=True)
 def callflow_edges(spark, sf_dir):
-    return sinks.callflow_edges(star_graph(spark, sf_dir)).select("source_id", "target_id", "type")
+    """With enough sections that hubs touch each other."""
+    return sinks.callflow_edges(star_graph(spark, sf_dir), 200).select("source_id", "target_id", "type")
 
 
 @query("""
@@ -585,6 +607,70 @@ def mermaid_ids(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.mermaid_id(name).alias("mermaid_id"))
 
 
+# --- A fixed graph: results worked out by hand ------------------------------------------------------------------------
+
+#: (id, type, name, line) and (source, target, type), in order. Two triangles joined by one edge, with a tail.
+FIXED_NODES = [("a", "class", "Alpha", 1), ("b", "function", "alpha.load", 2), ("c", "function", "beta", 3), ("d", "class", "Delta", 4), ("e", "function", "gamma", 5), ("f", "function", "eps", 6), ("g", "file", "tail", 7)]
+FIXED_EDGES = [("a", "b", "calls"), ("b", "c", "calls"), ("a", "c", "imports"), ("c", "d", "calls"), ("d", "e", "calls"), ("e", "f", "calls"), ("d", "f", "imports"), ("f", "g", "links")]
+
+
+def fixed_graph(spark: SparkSession) -> Graph:
+    place = lambda i, phase: {"file_ord": 0, "phase": phase, "ordinal": i, "sub": 0}
+    ord_ = "ord struct<file_ord:bigint,phase:int,ordinal:bigint,sub:int>"
+    nodes = spark.createDataFrame([(*n, "x.py", "EXTRACTED", place(i, 0)) for i, n in enumerate(FIXED_NODES)], f"id string, type string, name string, line int, src string, confidence string, {ord_}")
+    edges = spark.createDataFrame([(*e, "x.py", "EXTRACTED", place(i, 1)) for i, e in enumerate(FIXED_EDGES)], f"source string, target string, type string, src string, confidence string, {ord_}")
+    return Graph(merge.completed_nodes(nodes), merge.completed_edges(edges))
+
+
+def _values(columns: str, *rows: tuple) -> str:
+    shown = ", ".join("(" + ", ".join(f"CAST({x} AS BIGINT)" if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {shown}) v({columns})"
+
+
+def _node(i: int) -> str:
+    x, t, n, line = FIXED_NODES[i]
+    return f"NODE id={x} type={t} name={n} src=x.py:{line} confidence=EXTRACTED"
+
+
+def _edge(i: int) -> str:
+    s, t, kind = FIXED_EDGES[i]
+    return f"EDGE {s} --[{kind}]--> {t} src=x.py confidence=EXTRACTED"
+
+
+@query(_values("id, pos", ("c", 0), ("d", 1), ("e", 2), ("f", 3), ("a", 4), ("b", 5)))
+def dfs_fixed(spark, sf_dir):
+    """From c to depth 2: its successor d, whose successors e and f follow in order (g would be at depth 3); then c's predecessor
+    a, from which b is met before it is c's next predecessor."""
+    return traverse.seeds_table(spark, traverse.dfs(fixed_graph(spark), ["c"], 2))
+
+
+@query(_values("community, id", *[(0, x) for x in "abc"], *[(1, x) for x in "de"], *[(2, x) for x in "fg"]))
+def louvain_fixed(spark, sf_dir):
+    """The first triangle; the second with its tail has four nodes, more than a quarter of all, and is split in pairs."""
+    return longs(community.communities(fixed_graph(spark)), "community")
+
+
+@query(_values("pos, line", *enumerate([_node(0), _edge(0), _edge(2), _node(1), _edge(1), _node(2)])))
+def render_fixed(spark, sf_dir):
+    """The nodes a, b and c in order, each with the edges they induce."""
+    g = fixed_graph(spark)
+    return _text_rows(spark, render.render(g, traverse.seeds_table(spark, ["a", "b", "c"]), 2000))
+
+
+@query(_values("pos, line", *enumerate([_node(0), _edge(0), _edge(2)])))
+def render_fixed_budget(spark, sf_dir):
+    """A budget that ends after the edges of a."""
+    room = len(_node(0)) + len(_edge(0)) + len(_edge(2)) + 3
+    g = fixed_graph(spark)
+    return _text_rows(spark, render.render(g, traverse.seeds_table(spark, ["a", "b", "c"]), -(-room // V.CHARACTERS_PER_TOKEN)))
+
+
+@query(_values("pos, line", *enumerate(["QUESTION: where is beta", "TERMS: beta", "SEEDS: c", "DEPTH: 1 STRATEGY: bfs BUDGET: 2000 tokens", _node(2), _edge(3), _node(0), _edge(0), _edge(2), _node(1), _edge(1), _node(3)])))
+def answer_fixed(spark, sf_dir):
+    """beta and its neighbours: a node's edges out first, then edges in from nodes shown before."""
+    return _text_rows(spark, render.answer(fixed_graph(spark), "where is beta", depth=1))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question's seeds and their two-hop neighbourhood, in reading order, as text lines."""
     g = star_graph(spark, sf_dir)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import tempfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,20 +12,21 @@ from pyspark.sql import functions as F
 from knotwork import schema
 from knotwork.operators.merge import completed_edges, completed_nodes, stub_nodes
 from knotwork.schema import Graph
+from knotwork.sources.files import Folder
 
 NODE_FIELDS = ("id", "type", "name", "src", "language", "level", "line", "confidence", "community")
 EDGE_FIELDS = ("source", "target", "type", "symbol", "src", "line", "confidence")
-_ITEM = "map<string,string>"
+_ITEM = "map<string,variant>"
 FILE = f"directed boolean, multigraph boolean, graph {_ITEM}, nodes array<{_ITEM}>, links array<{_ITEM}>"
 
 
 def _table(document: DataFrame, column: str, fields: tuple[str, ...], layout: str) -> DataFrame:
-    """One row an item, known fields as columns, others in ``extras``, ``ord`` by place."""
+    """One row an item, known fields as columns, others in ``extras`` as JSON texts, which keep their types, ``ord`` by place."""
     types = {"level": "int", "line": "int", "community": "int"}
     x = document.select(F.posexplode(F.coalesce(column, F.array().cast(f"array<{_ITEM}>"))).alias("at", "m"))
-    extras = F.map_filter("m", lambda k, v: ~k.isin(*fields) & v.isNotNull())
+    extras = F.transform_values(F.map_filter("m", lambda k, v: ~k.isin(*fields) & v.isNotNull() & ~F.is_variant_null(v)), lambda _, v: F.to_json(v))
     place = F.struct(F.lit(0).cast("long").alias("file_ord"), F.lit(0 if column == "nodes" else 1).alias("phase"), F.col("at").cast("long").alias("ordinal"), F.lit(0).alias("sub"))
-    return x.select(*[F.element_at("m", f).cast(types.get(f, "string")).alias(f) for f in fields], F.when(F.size(extras) > 0, extras).alias("extras"), place.alias("ord"))
+    return x.select(*[F.try_variant_get(F.element_at("m", f), "$", types.get(f, "string")).alias(f) for f in fields], F.when(F.size(extras) > 0, extras).alias("extras"), place.alias("ord"))
 
 
 def _last_known(df: DataFrame, keys: list[str], completed) -> DataFrame:
@@ -45,8 +45,9 @@ def from_document(document: DataFrame) -> Graph:
     return Graph(nodes.unionByName(completed_nodes(stubs)), edges)
 
 
-def load(spark: SparkSession, path: str) -> Graph:
-    return from_document(spark.read.schema(FILE).option("multiLine", True).json(path))
+def load(spark: SparkSession, path: str | os.PathLike) -> Graph:
+    folder, file = os.path.split(os.fspath(path))
+    return from_document(spark.read.schema(FILE).option("multiLine", True).json(Folder(spark, folder or ".").at(file)))
 
 
 def ordered_rows(graph: Graph) -> tuple[DataFrame, DataFrame]:
@@ -58,15 +59,13 @@ def ordered_rows(graph: Graph) -> tuple[DataFrame, DataFrame]:
 
 
 def _item(row, fields: tuple[str, ...]) -> dict:
-    return {f: row[f] for f in fields if row[f] is not None} | (row["extras"] or {})
+    return {f: row[f] for f in fields if row[f] is not None} | {k: json.loads(v) for k, v in (row["extras"] or {}).items()}
 
 
-def save(graph: Graph, path: str | Path) -> None:
-    """Write the document item by item to a temporary file, then move it into place."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
+def save(graph: Graph, path: str | os.PathLike) -> None:
+    """Write the document item by item to a temporary file of the driver, then move it into place."""
     nodes, edges = ordered_rows(graph)
-    handle, name = tempfile.mkstemp(prefix=".graph-", dir=path.parent)
+    handle, name = tempfile.mkstemp(prefix="graph-")
     try:
         with os.fdopen(handle, "w", encoding="utf-8") as f:
             f.write('{\n  "directed": true,\n  "multigraph": false,\n  "graph": {},\n  "nodes": [')
@@ -74,9 +73,11 @@ def save(graph: Graph, path: str | Path) -> None:
             f.write('],\n  "links": [')
             _items(f, edges, EDGE_FIELDS)
             f.write("]\n}\n")
-        os.replace(name, path)
+        folder, file = os.path.split(os.fspath(path))
+        Folder(graph.nodes.sparkSession, folder or ".").put(name, file)
     except BaseException:
-        os.unlink(name)
+        if os.path.exists(name):
+            os.unlink(name)
         raise
 
 
@@ -86,13 +87,3 @@ def _items(f, rows: DataFrame, fields: tuple[str, ...]) -> None:
         f.write(before + json.dumps(_item(r, fields), ensure_ascii=False))
         before = ",\n    "
     f.write("\n  ")
-
-
-def round_trip(graph: Graph) -> Graph:
-    """The graph as one node-link document and back, inside Spark (for graphs that fit a row)."""
-    pairs = lambda fields: F.map_filter(F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[F.col(c).cast("string") for c in fields])), lambda k, v: v.isNotNull())
-    n = graph.nodes.select(F.struct("ord", pairs(NODE_FIELDS).alias("m")).alias("x")).agg(F.sort_array(F.collect_list(F.struct("x.ord", F.to_json("x.m").alias("j")))).alias("a"))
-    e = graph.edges.select(F.struct("ord", pairs(EDGE_FIELDS).alias("m")).alias("x")).agg(F.sort_array(F.collect_list(F.struct("x.ord", F.to_json("x.m").alias("j")))).alias("b"))
-    text = F.concat(F.lit('{"nodes":['), F.array_join(F.col("a.j"), ","), F.lit('],"links":['), F.array_join(F.col("b.j"), ","), F.lit("]}"))
-    both = n.withColumn("k", F.lit(1)).join(e.withColumn("k", F.lit(1)), "k")
-    return from_document(both.select(F.from_json(text, FILE).alias("d")).select("d.*"))

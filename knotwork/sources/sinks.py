@@ -6,7 +6,6 @@ import html
 import json
 import sys
 import time
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from knotwork import __version__
 from knotwork.functions.text import mermaid_id
 from knotwork.operators import analytics
 from knotwork.schema import Graph
+from knotwork.sources.files import Folder
 
 
 def viz_nodes(graph: Graph, communities: DataFrame | None = None) -> DataFrame:
@@ -122,6 +122,6 @@ def manifest(root: str, stats: dict) -> dict:
     return {"knotwork_version": __version__, "root": root, "generated_at": int(time.time()), "stats": stats}
 
 
-def write_manifest(out: Path, root: str, stats: dict) -> None:
-    (out / "manifest.json").write_text(json.dumps(manifest(root, stats), indent=2), encoding="utf-8")
-    (out / ".knotwork_python").write_text(f"{sys.executable}\n", encoding="utf-8")
+def write_manifest(out: Folder, root: str, stats: dict) -> None:
+    out.write("manifest.json", json.dumps(manifest(root, stats), indent=2))
+    out.write(".knotwork_python", f"{sys.executable}\n")

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,31 +10,30 @@ from pyspark.sql import functions as F
 from knotwork import schema
 from knotwork.schema import Graph
 from knotwork.sources.extract import VERSION
+from knotwork.sources.files import Folder
 
-POINTER = "CURRENT"
+POINTER = "tables/CURRENT"
 
 
-def save_graph(graph: Graph, out: Path) -> Graph:
+def save_graph(graph: Graph, out: Folder) -> Graph:
     """Write nodes and edges to a new folder, then switch a pointer file to it; readers see the old or the new state."""
-    folder = out / "tables" / uuid.uuid4().hex
-    graph.nodes.write.parquet(str(folder / "nodes"))
-    graph.edges.write.parquet(str(folder / "edges"))
-    pointer = out / "tables" / POINTER
-    old = pointer.read_text().strip() if pointer.exists() else ""
-    (pointer.parent / f".{POINTER}").write_text(folder.name)
-    os.replace(pointer.parent / f".{POINTER}", pointer)
-    if old and old != folder.name:
-        shutil.rmtree(pointer.parent / old, ignore_errors=True)
+    name = uuid.uuid4().hex
+    graph.nodes.write.parquet(out.at(f"tables/{name}/nodes"))
+    graph.edges.write.parquet(out.at(f"tables/{name}/edges"))
+    old = out.read(POINTER).strip() if has_graph(out) else ""
+    out.write(POINTER, name)
+    if old and old != name:
+        out.delete(f"tables/{old}")
     return load_graph(graph.nodes.sparkSession, out)
 
 
-def has_graph(out: Path) -> bool:
-    return (out / "tables" / POINTER).exists()
+def has_graph(out: Folder) -> bool:
+    return out.exists(POINTER)
 
 
-def load_graph(spark: SparkSession, out: Path) -> Graph:
-    folder = out / "tables" / (out / "tables" / POINTER).read_text().strip()
-    return Graph(spark.read.parquet(str(folder / "nodes")), spark.read.parquet(str(folder / "edges")))
+def load_graph(spark: SparkSession, out: Folder) -> Graph:
+    name = out.read(POINTER).strip()
+    return Graph(spark.read.parquet(out.at(f"tables/{name}/nodes")), spark.read.parquet(out.at(f"tables/{name}/edges")))
 
 
 def shrinks(prior_nodes: int, new_nodes: int) -> bool:
@@ -48,17 +44,17 @@ def shrinks(prior_nodes: int, new_nodes: int) -> bool:
 class Cache:
     """Extraction rows by (version, path, content hash); with ``by_content`` by (version, content hash) alone."""
 
-    def __init__(self, spark: SparkSession, folder: Path, by_content: bool = False):
+    def __init__(self, spark: SparkSession, folder: Folder, by_content: bool = False):
         self.spark, self.folder = spark, folder
         self.keys = ["sha256"] if by_content else ["rel", "sha256"]
 
     @property
-    def path(self) -> str:
-        return str(self.folder / f"version={VERSION}")
+    def version(self) -> str:
+        return f"version={VERSION}"
 
     def rows(self) -> DataFrame:
-        if Path(self.path).exists():
-            return self.spark.read.schema(schema.EXTRACTED).parquet(self.path)
+        if self.folder.exists(self.version):
+            return self.spark.read.schema(schema.EXTRACTED).parquet(self.folder.at(self.version))
         return self.spark.createDataFrame([], schema.EXTRACTED)
 
     def split(self, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -72,10 +68,10 @@ class Cache:
         return hits.select(*rows.columns), contents.join(known, self.keys, "left_anti")
 
     def add(self, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self.path)
+        rows.write.mode("append").parquet(self.folder.at(self.version))
 
     def clear(self) -> int:
         """Drop every entry; the number of files removed."""
-        n = len(list(self.folder.rglob("*.parquet"))) if self.folder.exists() else 0
-        shutil.rmtree(self.folder, ignore_errors=True)
+        n = self.folder.count(".parquet")
+        self.folder.delete()
         return n

@@ -1,14 +1,15 @@
 """Watching a source tree: a stream of snapshots that drives incremental updates.
 
 A Python streaming data source emits the listing (path, modification time, size) whenever it differs from the last one,
-deletions included; the output directory is never listed. ``foreachBatch`` then updates the graph, so a failed update is
-repeated from the checkpointed offset.
+deletions included; the output directory is never listed. ``foreachBatch`` then waits until the tree has been still for a
+while, so that a burst of changes makes one update, and updates the graph; a failed update is repeated from the checkpointed offset.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import time
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -20,6 +21,8 @@ from knotwork.plans.engine import Engine
 from knotwork.runtime import scratch_path, ship_package
 from knotwork.sources.discover import walk
 
+#: Seconds without a change before an update, seconds of waiting at most, and between looks.
+STILL, LONGEST, TICK = 1.0, 60.0, 0.25
 SNAPSHOT = "rel string, modified double, size long"
 
 
@@ -70,11 +73,29 @@ class TreeSource(DataSource):
         return TreeReader(self.options)
 
 
-def watch(engine: Engine, root: str | Path, interval: str = "2 seconds", once: bool = False, checkpoint: str | None = None) -> StreamingQuery:
+def settled(root: str, skip: str = "", still: float = STILL, most: float = LONGEST) -> int:
+    """Wait until the tree has not changed for ``still`` seconds, ``most`` at the longest; the number of changes seen."""
+    seen, changes, end = fingerprint(snapshot(root, skip)), 0, time.monotonic() + most
+    quiet = time.monotonic() + still
+    while (now := time.monotonic()) < min(quiet, end):
+        time.sleep(min(TICK, quiet - now))
+        new = fingerprint(snapshot(root, skip))
+        if new != seen:
+            seen, changes, quiet = new, changes + 1, time.monotonic() + still
+    return changes
+
+
+def watch(engine: Engine, root: str | Path, interval: str = "2 seconds", once: bool = False, checkpoint: str | None = None, still: float = STILL) -> StreamingQuery:
     """Start updating the engine's graph whenever the tree changes; ``once`` handles what is there and stops."""
     spark: SparkSession = engine.spark
     ship_package(spark)
     spark.dataSource.register(TreeSource)
-    tree = spark.readStream.format("knotwork_tree").option("path", str(Path(root).resolve())).option("skip", os.path.realpath(engine.out)).load()
-    writer = tree.writeStream.foreachBatch(lambda _, __: engine.update(root) and None).option("checkpointLocation", checkpoint or scratch_path(spark, "watch"))
+    tree = spark.readStream.format("knotwork_tree").option("path", str(Path(root).resolve())).option("skip", "" if "://" in str(engine.out) else os.path.realpath(engine.out)).load()
+    skip = "" if "://" in str(engine.out) else os.path.realpath(engine.out)
+
+    def update(*_) -> None:
+        settled(str(Path(root).resolve()), skip, still)
+        engine.update(root)
+
+    writer = tree.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint or scratch_path(spark, "watch"))
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()

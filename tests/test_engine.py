@@ -1,5 +1,7 @@
 import json
 import re
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,8 @@ from knotwork.functions.text import terms_of
 from knotwork.operators import analytics, community, render, search, traverse
 from knotwork.plans.engine import Engine, ShrinkError
 from knotwork.sources import nodelink, store
-from knotwork.streaming.watch import watch
+from knotwork.sources.files import Folder
+from knotwork.streaming.watch import settled, watch
 from tests.conftest import PROJECT, write_tree
 
 
@@ -140,7 +143,7 @@ def test_nodelink_last_wins_and_stubs(spark, tmp_path):
     f.write_text(json.dumps({"nodes": [{"id": "a", "name": "1", "odd": "x"}, {"id": "a", "name": "2"}], "links": [{"source": "a", "target": "b", "type": "t"}]}))
     g = nodelink.load(spark, str(f))
     rows = {r.id: r for r in g.nodes.collect()}
-    assert rows["a"].name == "2" and rows["a"].extras == {"odd": "x"} and rows["b"].type == "stub" and rows["b"].confidence is None
+    assert rows["a"].name == "2" and rows["a"].extras == {"odd": '"x"'} and rows["b"].type == "stub" and rows["b"].confidence is None
     nodelink.save(g, tmp_path / "h.json")
     assert json.loads((tmp_path / "h.json").read_text())["nodes"][0] == {"id": "a", "name": "2", "odd": "x"}
 
@@ -199,4 +202,49 @@ def test_command_line(spark, python_tree, tmp_path, capsys, monkeypatch):
     assert main(["cluster-only", "--resolution", "2"], spark) == 0
     assert main(["explain", "login"], spark) == main(["path", "run", "login"], spark) == main(["affected", "run"], spark) == 0
     assert main(["export", "callflow-html"], spark) == 0 and main(["export", "other"], spark) == 2
-    assert main([], spark) == 0 and store.has_graph(tmp_path / "o")
+    assert main([], spark) == 0 and store.has_graph(Folder(spark, tmp_path / "o"))
+
+
+def test_values_of_other_files_keep_their_types(spark, tmp_path):
+    doc = {"nodes": [{"id": "a", "n": 5, "deep": {"x": [1, None, "2"]}, "yes": True, "text": "5", "none": None}, {"id": "b"}], "links": [{"source": "a", "target": "b", "weight": 1.5}]}
+    (tmp_path / "x.json").write_text(json.dumps(doc))
+    e = Engine(spark, tmp_path / "o")
+    assert e.recluster(path=str(tmp_path / "x.json")) == 1  # written back to the file, not to the engine's folder
+    back = json.loads((tmp_path / "x.json").read_text())
+    a = {k: v for k, v in back["nodes"][0].items() if k != "community"}
+    assert a == {k: v for k, v in doc["nodes"][0].items() if v is not None} and back["links"] == doc["links"]
+    assert back["nodes"][0]["community"] == 0 and not store.has_graph(e.folder)
+
+
+def test_state_in_a_store_that_only_spark_reads(spark, python_tree, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.kw.link./o", f"file://{tmp_path}")
+    e = Engine(spark, "viewfs://kw/o/graph")
+    assert e.build(python_tree)["nodes"] == 21 and e.graph().edges.count() == 19
+    assert e.update(python_tree)["changed_files"] == 0
+    assert str(e.export_callflow()).startswith("viewfs://") and (tmp_path / "graph" / "graph.json").exists()
+    assert e.cache.clear() > 0 and not e.cache.folder.exists()
+
+
+def test_a_burst_of_changes_is_waited_for(python_tree):
+    def write():
+        for i in range(4):
+            time.sleep(0.3)
+            write_tree(python_tree, {f"n{i}.txt": "x"})
+
+    t = threading.Thread(target=write)
+    t.start()
+    assert settled(str(python_tree), still=1.0) >= 2 and not t.is_alive()
+    assert settled(str(python_tree), still=0.3) == 0
+
+
+def test_paths_and_large_levels(spark, engine, monkeypatch):
+    """Meeting from both ends equals the tree from one end; numbering by ranges equals numbering in one task."""
+    ring = [(f"n{i:02d}", f"n{(i + 1) % 12:02d}") for i in range(12)] + [("n00", "n06"), ("x", "y")]
+    nodes = spark.createDataFrame([(x,) for x in sorted({v for e in ring for v in e})], "id string")
+    edges = spark.createDataFrame(ring, "source string, target string")
+    g = type(engine.graph())(nodes, edges)
+    assert traverse.shortest_path(g, "n00", "n09") == ["n00", "n11", "n10", "n09"] and traverse.shortest_path(g, "n03", "n08") == ["n03", "n04", "n05", "n06", "n07", "n08"]
+    assert traverse.shortest_path(g, "x", "n00") == [] and traverse.shortest_path(g, "x", "x") == ["x"] and traverse.shortest_path(g, "x", "none") == []
+    one = traverse.bfs(g, traverse.seeds_table(spark, ["n03", "x"]), 9).orderBy("pos").collect()
+    monkeypatch.setattr(traverse, "BROADCAST_ROWS", 3)
+    assert one == traverse.bfs(g, traverse.seeds_table(spark, ["n03", "x"]), 9).orderBy("pos").collect() and len(one) == 14
