@@ -15,7 +15,7 @@ so texts are cut at white space first; pieces and words seen lately stay in boun
 
 Defined results. Null text: as empty, no tokens; the hashes are those of no bytes. The strings of the special tokens in
 a text give their ids, as in the library. Repeated rows are encoded each; extra columns are ignored; texts of any
-length are read whole.
+length are read whole, an unbroken word in time linear in its length; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -144,19 +144,19 @@ class TrieBpe:
 
     # the trie
 
-    def _last(self, path: str, suffix: str, states: list[str]) -> str:
-        """The last token of the encoding of ``path`` (+ word end), given the states of its proper prefixes."""
-        n, pairs = len(path), self.pairs
-        for size in self.sizes.get(path[-3:] + suffix, ()) if n > 2 else ():
-            if size <= n and (token := path[n - size :] + suffix) in self.vocab and self.tree(token):
+    def _last(self, word: str, n: int, suffix: str, states: list[str]) -> str:
+        """The last token of the encoding of the first n characters (+ word end), given the states of its shorter prefixes."""
+        pairs = self.pairs
+        for size in self.sizes.get(word[n - 3 : n] + suffix, ()) if n > 2 else ():
+            if size <= n and (token := word[n - size : n] + suffix) in self.vocab and self.tree(token):
                 left = states[n - size]
                 if size == n or (pairs[left, token] if (left, token) in pairs else self.compatible(left, token)):
                     return token
         for size in range(min(n, 2), 0, -1):
-            token = path[n - size :] + suffix
+            token = word[n - size : n] + suffix
             if token in self.vocab and self.tree(token) and (size == n or self.compatible(states[n - size], token)):
                 return token
-        raise ValueError(f"no token ends {path!r}")
+        raise ValueError(f"no token ends {word[:n]!r}")
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[str]]:
         """Tokens of distinct words of byte-level characters, by one depth-first pass over their trie."""
@@ -166,9 +166,9 @@ class TrieBpe:
             shared = len(commonprefix([path, word[:-1]]))
             del states[shared + 1 :]
             for k in range(shared + 1, len(word)):
-                states.append(self._last(word[:k], "", states))
+                states.append(self._last(word, k, "", states))
             path = word[:-1]
-            tokens, at = [self._last(word, END, states)], len(word)
+            tokens, at = [self._last(word, len(word), END, states)], len(word)
             at -= len(tokens[0]) - len(END)
             while at > 0:
                 tokens.append(states[at])

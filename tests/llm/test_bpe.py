@@ -47,7 +47,7 @@ def test_random_words_equal_the_library(bpe, library):
 def test_shared_prefixes_are_encoded_once(bpe, monkeypatch):
     calls = []
     plain = bpe._last
-    monkeypatch.setattr(bpe, "_last", lambda path, suffix, states: calls.append(path) or plain(path, suffix, states))
+    monkeypatch.setattr(bpe, "_last", lambda word, n, suffix, states: calls.append(word[:n]) or plain(word, n, suffix, states))
     bpe.encode_words({"interest", "interested", "interesting", "interests"})
     prefixes = {w[:k] for w in ("interest", "interested", "interesting", "interests") for k in range(1, len(w))}
     assert len(calls) == len(prefixes) + 4  # each prefix once, each word end once
