@@ -7,7 +7,7 @@ will do, decodes frame by frame, and checks versions, headers, lengths and diges
 
 Equal payloads of at least ``REVISIT_BYTES`` bytes are written once: the record with the largest page_id is the
 response, the others are revisit records that refer to it. Which record that is comes from one aggregation by
-digest, joined back by digest; both are plain equi operations that Spark pre-aggregates and splits when skewed.
+digest of ids alone, joined back by digest and a salt, so that the payloads of one page's copies do not meet in one task.
 
 Defined results. Null html: an empty payload. Null page_id: smaller than any other. Rows that share both the largest
 page_id and the payload are all responses. Empty table: no archive, no rows. Extra columns are ignored. A broken
@@ -33,6 +33,8 @@ from knotwork.runtime import scratch_path, ship_package
 DICT_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
 REVISIT_BYTES = 1000
+#: Tasks that the copies of one payload are spread over.
+SALTS = 16
 #: An archive is closed when its records exceed this many bytes before compression.
 ARCHIVE_BYTES = 16 << 20
 DICT_BYTES = 16 << 10
@@ -196,7 +198,9 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     p = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
     again = p.where(F.length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
     refers = F.when(F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept"))
-    marked = p.join(again, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to")).sortWithinPartitions("page_id", "digest", "url")
+    # copies of a hot page are spread over tasks: few digests repeat, so theirs are repeated for every salt
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    marked = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(again.withColumn("salt", salts), ["digest", "salt"], "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to")).sortWithinPartitions("page_id", "digest", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
