@@ -13,7 +13,7 @@ and dimension; only they reach the driver.
 
 Defined results. Null text, or text without letters: ``und`` with score 0. Nothing to learn from: ``und``, score 0. Ties:
 the first language by code point. Null doc_id: not held out, not learned from. Repeated rows are predicted each. Texts of any length are
-read whole. Extra columns are ignored.
+read whole. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ the model of fixed size by mini-batch Adam with a fixed seed. Scoring is one pas
 
 Defined results. Null or empty text: scored by its statistics as the empty text. Null n_chars: a bin of its own. Null
 doc_id: not held out, scored. No usable labels: every score is 0.5; labels of one class only: scores come near it.
-Repeated rows are scored each; extra columns are ignored. Texts of any length are read whole.
+Repeated rows are scored each; extra columns are ignored. Texts of any length are read whole. Equal hashes in the choice of
+the sample go by id. An empty table gives an empty result.
 """
 
 from __future__ import annotations

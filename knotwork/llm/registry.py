@@ -92,6 +92,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: SQL where it can express the operator as a whole.
 ORACLE: dict[str, str] = {
+    "op2_vector_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), n AS (SELECT *, sqrt(list_sum(list_transform(x, lambda c: c * c))) AS norm FROM v),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+  WHERE list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2])) / (a.norm * b.norm) >= 0.93
+), reach(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, c FROM reach JOIN l ON l.a = id WHERE c < l.b),
+c AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id), k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON c.id = vec_id LEFT JOIN k ON k.a = vec_id""",
+    "op6_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+), c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+reach(id, low) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, low FROM reach JOIN l ON l.a = id WHERE low < l.b),
+m AS (SELECT id, min(low) AS component_id FROM reach GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM documents d JOIN m ON m.id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id""",
     "op5_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS q FROM embeddings

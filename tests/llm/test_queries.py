@@ -28,3 +28,13 @@ def test_query(spark, name):
     assert sorted(names) == sorted(df.columns)
     order = [df.columns.index(c) for c in names]
     assert sorted((tuple(r[i] for i in order) for r in got), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+@pytest.mark.parametrize(("name", "column", "least"), [("op4_quality", "predicted", 0.95), ("op8_langid", "lang_pred", 0.97)])
+def test_held_out_accuracy(spark, name, column, least):
+    """On the quarter that nothing was learned from."""
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r[column] for r in registry.QUERIES[name](spark, sf).where("held_out").collect()}
+    truth = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/labels.parquet" if name == "op4_quality" else f"{sf}/documents.parquet").select("doc_id", "quality" if name == "op4_quality" else "lang").collect()}
+    both = [(v, truth[k]) for k, v in got.items() if truth.get(k) is not None]
+    assert len(both) > 50 and sum(a == b for a, b in both) >= least * len(both)
