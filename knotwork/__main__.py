@@ -71,7 +71,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command is None:
         parser().print_help()
         return 0
-    spark = spark or SparkSession.builder.appName("knotwork").getOrCreate()
+    spark = spark or SparkSession.builder.appName("knotwork").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
     try:
         return run(Engine(spark, getattr(a, "out", None)), a)
     except (ShrinkError, FileNotFoundError) as e:

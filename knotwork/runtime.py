@@ -36,11 +36,15 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, one machine) a temporary folder takes its place.
+    Only in a session on one machine without the setting, as in tests, a temporary folder takes its place; on a cluster that
+    folder would be another one on every machine, so there the setting is required.
     """
     sc = spark.sparkContext
     if not getattr(sc, "_knotwork_shared", None):
-        sc._knotwork_shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='knotwork-shared-')}"
+        given = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if not given and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc._knotwork_shared = given or f"file://{tempfile.mkdtemp(prefix='knotwork-shared-')}"
     return sc._knotwork_shared
 
 
@@ -52,8 +56,9 @@ def scratch_path(spark: SparkSession, what: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Evaluate ``df`` once and cut its lineage with a reliable checkpoint.
 
-    The files live in the shared folder, so they outlast executors; Spark's context cleaner removes them
-    when nothing refers to them any longer (``spark.cleaner.referenceTracking.cleanCheckpoints``).
+    The files live in the shared folder, so they outlast executors. Spark's context cleaner removes them when nothing
+    refers to them any longer, if the session was started with ``spark.cleaner.referenceTracking.cleanCheckpoints``, as the command
+    line does; otherwise they stay until the folder is emptied.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
