@@ -53,3 +53,10 @@ def test_sample_is_bounded_and_stable(spark):
     docs = frame(spark, corpus())
     one, two = langid.learn(docs, per_language=5), langid.learn(docs.repartition(7), per_language=5)
     assert one[0] == two[0] == ["aa", "bb", "cc"] and np.allclose(one[1], two[1])
+
+
+def test_repeated_rows(spark):
+    rows = corpus()
+    got = langid.identified(frame(spark, rows + rows[:5] * 3)).collect()
+    assert len(got) == len(rows) + 15
+    assert all(len({(r.lang_pred, round(r.score, 9)) for r in got if r.doc_id == x[0]}) == 1 for x in rows[:5])

@@ -102,3 +102,24 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_nulls_repeats_and_empty_texts(spark):
+    """Rows with nulls in any column, empty texts and repeated rows go through every stage by its stated rules."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = docs.join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1"), "doc_id", "left_semi").limit(40).select(*docs.columns)
+    first = good.first()
+    odd = spark.createDataFrame([(None, first.text, "en", "s", 10), (None, None, None, None, None), (900_001, None, "en", "s", 0), (900_002, "", None, None, None), (900_003, first.text, None, None, None), (first.doc_id, first.text, first.lang, first.source, first.n_chars)], docs.schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        x = stage(spark, good.unionByName(odd), SF)
+        assert x.dtypes == docs.dtypes
+        rows = x.collect()
+        ids = Counter(r.doc_id for r in rows)
+        if name.startswith("n-gram"):
+            assert ids[None] == 2 and ids[first.doc_id] == 1 and ids[900_001] == ids[900_002] == 1 and ids[900_003] == (first.doc_id > 900_003)
+        if name == "PII":
+            assert sum(ids.values()) == good.count() + 6 and [r.text for r in rows if r.doc_id in (900_001, 900_002)] == [None, ""]
+        if name.startswith("mixing"):
+            assert not any(r.text in (None, "") for r in rows if r.doc_id is not None) and ids[first.doc_id] <= 4
+    encoded = corpus_pipeline.STAGES[-1][1](spark, good.unionByName(odd), SF).collect()
+    assert len(encoded) == good.count() + 6 and {r.n_tokens for r in encoded if r.doc_id in (900_001, 900_002)} == {0}
