@@ -51,7 +51,11 @@ def stars(links: DataFrame) -> DataFrame:
     return edges
 
 
+def members(edges: DataFrame) -> DataFrame:
+    """(id, component) of stars (u, v)."""
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): for each id with a link, the smallest id it reaches; ``links`` has (a, b), in any order."""
-    edges = stars(links)
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    return members(stars(links))

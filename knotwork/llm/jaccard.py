@@ -11,8 +11,8 @@ Jaccard similarity of 0.8 or more; the operator returns the components of these
    read off the lists. Small sets enumerate all 2-subsets of their shingles for k = 2; equal subsets give the pairs of
    small sets. The boundary between small and large is the one of least estimated cost, from the histogram of set sizes
    and the sketch. Sizes and places in the order rule out most pairs in a list before they are compared. Long lists are
-   scanned twice: first rows near each other in one order for all lists, whose links unite most of a list; then all pairs still
-   apart, in pairs of blocks of the list's exact length.
+   scanned several times: first rows near each other in one order for all lists, then in another, whose links unite most of a
+   list; then all pairs still apart, in pairs of blocks of the list's exact length.
 3. Candidates that share too few of their leading shingles go; every other one is compared exactly on whole sets, and
    components are united over all links.
 
@@ -41,7 +41,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm.components import components
+from knotwork.llm.components import members, stars
 from knotwork.runtime import cut, release, ship_package, trimmed
 
 WORDS = 5
@@ -51,8 +51,8 @@ SKETCH_BITS, PARTS, FAN = (22, 24), 16, 64
 LIST, CHUNK, FILTER_BITS = 2048, 1 << 20, 24
 #: Bytes from which a word is hashed by a digest; ids of a clump of candidates that meet at once.
 LONG, BLOCK = CHUNK // 4, 32
-#: Rows from which a list is first searched in part, and how far apart its rows are paired then.
-MANY, NEAR = 16, 16
+#: Rows from which a list is first searched in part, and how far apart its rows are paired in the scans before the last.
+MANY, NEAR = 16, (6, 16)
 #: Set sizes told apart when the boundary is chosen; larger sets count as the last.
 SIZES = 64
 
@@ -164,9 +164,9 @@ SIGNATURES = "doc_id long, n long, d0 long, d1 long, task int, part int, counts
 
 
 def sketch_bits(docs: DataFrame) -> int:
-    """Buckets for about 16 shingles each, inside the bounds of the sketch."""
+    """Buckets for about 64 shingles each, inside the bounds of the sketch."""
     characters = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    return max(SKETCH_BITS[0], min(SKETCH_BITS[1], (characters // 100).bit_length()))
+    return max(SKETCH_BITS[0], min(SKETCH_BITS[1], (characters // 400).bit_length()))
 
 
 def signatures(docs: DataFrame, bits: int = SKETCH_BITS[0]) -> DataFrame:
@@ -321,8 +321,8 @@ def boundary(histogram: dict[int, int], sketch: np.ndarray) -> int:
     return min(range(SIZES), key=cost)
 
 
-def leads(docs: DataFrame, roots: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(rep, root, n, lead): of each class the leading shingles for k = 2, in order."""
+def leads(docs: DataFrame, classes: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """(rep, n, lead): of each class the leading shingles for k = 2, in order."""
     sent = _sent(docs.sparkSession, sketch)
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +340,7 @@ def leads(docs: DataFrame, roots: DataFrame, sketch: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests[:, 0]), pa.array([len(s) for s in sets], pa.int64()), pa.array(lead, pa.binary())], names=["rep", "d0", "n", "lead"])
 
     lead = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(ordered), "rep long, d0 long, n long, lead binary")
-    return lead.join(roots.select("rep", "d0", "root"), ["rep", "d0"]).select("rep", "root", "n", "lead")
+    return lead.join(classes.select("rep", "d0"), ["rep", "d0"]).select("rep", "n", "lead")
 
 
 def _sent(spark: SparkSession, sketch: np.ndarray) -> Broadcast:
@@ -358,7 +358,7 @@ def _counts(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
 
 
 def postings(lead: DataFrame, sketch: np.ndarray, small: int, only: np.ndarray | None = None) -> DataFrame:
-    """(key, spot, before, earlier, rep, root): a row for each inverted list or 2-subset that a class takes part in; those in the
+    """(key, spot, before, earlier, rep): a row for each inverted list or 2-subset that a class takes part in; those in the
     bit filter ``only``, if given. ``spot`` packs the set's size, the place of the (first) shingle in the class's order and
     whether it is a list; ``before`` and ``earlier`` are the two shingles before it in that order, in lists, or 0."""
     sent = _sent(lead.sparkSession, sketch)
@@ -370,19 +370,19 @@ def postings(lead: DataFrame, sketch: np.ndarray, small: int, only: np.ndarray |
         for big in batches:
             for lo in range(0, big.num_rows, 512):
                 b = big.slice(lo, 512)
-                columns = [[] for _ in range(6)]
-                for rep, root, n, lead in zip(b.column("rep").to_pylist(), b.column("root").to_pylist(), b.column("n").to_pylist(), b.column("lead"), strict=True):
+                columns = [[] for _ in range(5)]
+                for rep, n, lead in zip(b.column("rep").to_pylist(), b.column("n").to_pylist(), b.column("lead"), strict=True):
                     lead = np.frombuffer(lead.as_buffer(), np.uint64)
                     if n <= small:
                         i, j = np.triu_indices(len(lead), 1)
-                        add(columns, mixed(np.minimum(lead[i], lead[j]) ^ mixed(np.maximum(lead[i], lead[j]))), _counts(lead[i], counts), i, n, rep, root, even, False)
+                        add(columns, mixed(np.minimum(lead[i], lead[j]) ^ mixed(np.maximum(lead[i], lead[j]))), _counts(lead[i], counts), i, n, rep, even, False)
                     if 5 * n >= 4 * (small + 1):
                         one = lead[: int(prefix(n, 1))]
-                        add(columns, one, _counts(one, counts), np.arange(len(one)), n, rep, root, even, True)
+                        add(columns, one, _counts(one, counts), np.arange(len(one)), n, rep, even, True)
                 if columns[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["key", "spot", "before", "earlier", "rep", "root"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["key", "spot", "before", "earlier", "rep"])
 
-    def add(columns: list[list], keys: np.ndarray, counts: np.ndarray, place: np.ndarray, n: int, rep: int, root: int, even: float, single: bool) -> None:
+    def add(columns: list[list], keys: np.ndarray, counts: np.ndarray, place: np.ndarray, n: int, rep: int, even: float, single: bool) -> None:
         """Rows of one class; in long lists a row goes to all pairs of blocks that hold its own."""
         blocks = 1 + (np.maximum(0, counts - even) // LIST).astype(np.int64)
         plain, none = keys, np.zeros(min(2, len(keys)), np.uint64)
@@ -399,10 +399,10 @@ def postings(lead: DataFrame, sketch: np.ndarray, small: int, only: np.ndarray |
             keep = _holds(chosen.value, at)
             keys, place, before, earlier = keys[keep], place[keep], before[keep], earlier[keep]
         spot = (np.int64(n) << 32) + (place.astype(np.int64) << 1) + int(single)
-        for c, v in zip(columns, (keys.view(np.int64), spot, before.view(np.int64), earlier.view(np.int64), np.full(len(keys), rep, np.int64), np.full(len(keys), root, np.int64)), strict=True):
+        for c, v in zip(columns, (keys.view(np.int64), spot, before.view(np.int64), earlier.view(np.int64), np.full(len(keys), rep, np.int64)), strict=True):
             c.append(v)
 
-    return lead.mapInArrow(trimmed(posted), "key long, spot long, before long, earlier long, rep long, root long")
+    return lead.mapInArrow(trimmed(posted), "key long, spot long, before long, earlier long, rep long")
 
 
 def promising(pairs: DataFrame, lead: DataFrame) -> DataFrame:
@@ -415,8 +415,8 @@ def promising(pairs: DataFrame, lead: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(posts: DataFrame, small: int, near: int | None) -> DataFrame:
-    """(a, b, open, size): pairs of a list that sizes and places do not rule out, of different components; small sets only by
-    subsets. With ``near``, lists of more than ``MANY`` rows, in an order of chance, give the pairs of rows up to ``near``
+    """(a, b, open, size): pairs of a list that sizes and places do not rule out, of different components (``root``, where
+    known); small sets only by subsets. With ``near``, lists of more than ``MANY`` rows, in an order of chance, give the pairs of rows up to ``near``
     apart alone, and their key as ``open`` with the number of rows.
     """
 
@@ -435,7 +435,8 @@ def candidate_pairs(posts: DataFrame, small: int, near: int | None) -> DataFrame
             yield from lists(held)
 
     def lists(t: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        key, spot, before, earlier, rep, root = (t.column(c).to_numpy() for c in ("key", "spot", "before", "earlier", "rep", "root"))
+        key, spot, before, earlier, rep = (t.column(c).to_numpy() for c in ("key", "spot", "before", "earlier", "rep"))
+        root = t.column("root").to_numpy() if "root" in t.schema.names else rep
         n, place, single = spot >> 32, (spot & 0xFFFFFFFF) >> 1, spot & 1 == 1
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(start, len(key)))
@@ -487,43 +488,51 @@ def joined(docs: DataFrame, links_by_phase: dict[str, int] | None = None) -> Dat
     table = cut(signatures(docs, bits))
     sketch = sketch_of(table, bits)
     rows = table.where("part IS NULL").select("doc_id", "n", "d0", "d1")
-    classes = rows.where("n > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).where("rep IS NOT NULL")
-    roots = cut(classes.withColumn("root", F.col("rep")))
-    sizes = roots.groupBy(F.least("n", F.lit(SIZES)).alias("n")).count().collect()  # at most SIZES rows
+    classes = cut(rows.where("n > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).where("rep IS NOT NULL"))
+    sizes = classes.groupBy(F.least("n", F.lit(SIZES)).alias("n")).count().collect()  # at most SIZES rows
     small = boundary({int(r.n): r["count"] for r in sizes}, sketch)
     release(spark)
-    lead = cut(leads(docs, roots, sketch))
-    found = cut(candidate_pairs(postings(lead, sketch, small), small, NEAR))
-    release(spark)
-    links = cut(verified(docs, cut(promising(found.where("a IS NOT NULL").select("a", "b"), lead))))
-    open_lists = found.where("open IS NOT NULL").groupBy(F.col("open").alias("id")).agg(F.max("size").alias("size"))
-    if links_by_phase is not None:
-        links_by_phase["near rows of long lists, short lists"] = links.count()
-    if not open_lists.isEmpty():
-        rest = _closed(docs, links, lead, postings(lead, sketch, small, _filter(open_lists.select("id"))), open_lists, small)
+    lead = cut(leads(docs, classes, sketch))
+    united = open_lists = None
+    for near in (*NEAR, None):
+        if united is None:
+            posts = postings(lead, sketch, small)
+        elif open_lists.isEmpty():
+            break
+        else:
+            posts = _apart(postings(lead, sketch, small, _filter(open_lists.select("id"))), united, None if near else open_lists)
+        found = cut(candidate_pairs(posts, small, near))
+        del posts
+        release(spark)
+        new = cut(verified(docs, cut(promising(found.where("a IS NOT NULL").select("a", "b"), lead))))
         if links_by_phase is not None:
-            rest = cut(rest)
-            links_by_phase["pairs of long lists still apart"] = rest.count()
-        links = links.unionByName(rest)
-    final = components(links)
-    member = rows.join(roots.select("d0", "d1", "rep"), ["d0", "d1"], "left").select("doc_id", "n", "rep")
+            links_by_phase[f"rows up to {near} apart" if near else "all pairs still apart"] = new.count()
+        release(spark)
+        united = stars(new if united is None else new.unionByName(united.toDF("a", "b")))
+        open_lists = cut(found.where("open IS NOT NULL").groupBy(F.col("open").alias("id")).agg(F.max("size").alias("size")))
+        del found, new
+        release(spark)
+    final = members(united)
+    member = rows.join(classes.select("d0", "d1", "rep"), ["d0", "d1"], "left").select("doc_id", "n", "rep")
     # a row of no class (an empty set) keeps its own id
     out = member.join(final.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
-def _closed(docs: DataFrame, links: DataFrame, lead: DataFrame, posts: DataFrame, open_lists: DataFrame, small: int) -> DataFrame:
-    """The links that long lists still hold: all pairs still apart, now that most of their rows are united."""
-    united = components(links).select(F.col("id").alias("rep"), "component")
-    now = posts.join(united, "rep", "left").withColumn("root", F.coalesce("component", "root"))
-    # lists longer than the sketch told are dealt to blocks by their length: a row goes to all pairs of blocks that hold its own
+def _apart(posts: DataFrame, united: DataFrame, open_lists: DataFrame | None) -> DataFrame:
+    """Postings of long lists with the component of each class, now that many of their rows are united.
+
+    With ``open_lists``, lists longer than the sketch told are dealt to blocks by their length, for the comparison of all pairs:
+    a row goes to all pairs of blocks that hold its own.
+    """
+    now = posts.join(united.toDF("rep", "smallest"), "rep", "left").withColumn("root", F.coalesce("smallest", "rep"))
+    if open_lists is None:
+        return now.select(*posts.columns, "root")
     long = open_lists.where(F.col("size") > LIST).select(F.col("id").alias("key"), F.ceil(F.col("size") / LIST).alias("blocks"))
     now = now.join(long, "key", "left").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     now = now.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
     key = F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    found = cut(candidate_pairs(now.withColumn("key", key).select(*posts.columns), small, None).select("a", "b"))
-    release(docs.sparkSession)
-    return verified(docs, cut(promising(found, lead)))
+    return now.withColumn("key", key).select(*posts.columns, "root")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
