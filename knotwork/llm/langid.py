@@ -31,7 +31,7 @@ from knotwork.runtime import ship_package, trimmed
 DIMS = 512
 SEED = 2024
 #: Documents that teach a language, and all of them together; parts in which a language is ranked.
-PER_LANGUAGE, SAMPLE, SALTS = 600, 60_000, 256
+PER_LANGUAGE, SAMPLE, SALTS, FAN = 600, 60_000, 256, 16
 #: Documents, characters and n-grams of one matrix product.
 CHUNK_DOCS, CHUNK_CHARS, CHUNK_GRAMS = 64, 400_000, 16_384
 
@@ -106,14 +106,17 @@ def unit(x: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages in order and their unit prototypes.
 
-    The sample is chosen on (doc_id, lang) alone: the ids of each language that hash lowest, first within ``SALTS`` parts,
-    so that no language is ranked in one task, then over the parts. Only the chosen ids, at most ``SAMPLE``, are broadcast.
+    The sample is chosen on (doc_id, lang) alone: the ids of each language that hash lowest, first within ``SALTS`` parts, then
+    over ``FAN`` parts at a time, so that no task ranks more than ``FAN`` samples of a language. Only the chosen ids, at most ``SAMPLE``,
+    are broadcast.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
     ranked = usable.select("*", F.xxhash64(F.lit(SEED), "doc_id").alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("part"))
-    for keys in (("lang", "part"), ("lang",)):
-        by = Window.partitionBy(*keys).orderBy("h", "doc_id")
+    parts = SALTS
+    while parts:
+        by = Window.partitionBy("lang", "part").orderBy("h", "doc_id")
         ranked = ranked.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= per_language)
+        ranked, parts = ranked.withColumn("part", F.floor(F.col("part") / FAN)), parts // FAN
     ids = ranked.orderBy("h", "doc_id", "lang").limit(SAMPLE).select("doc_id", "lang").distinct()
     chosen = docs.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
 
