@@ -46,7 +46,7 @@ PIVOTS, ANNULI = 1024, 6
 #: vector components; queries multiplied at once.
 SAMPLE, BLOCK, QUERIES, VALUES, ROWS = 4096, 16_384, 2048, 1 << 21, 256
 #: How many times the vectors of all rounds so far a query may expand in the next one.
-GROW = 32
+GROW = 16
 #: Slack for rounding in distances (exact scores never pass through it).
 SLACK = 1e-6
 NULL_ID = 2**63 - 1
@@ -166,7 +166,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, products_made: li
     if not sample.num_rows:
         return spark.createDataFrame([], result)
     drawn = matrix(packed(sample.column("q").combine_chunks()).to_pylist())
-    pivots = choose_pivots(drawn, max(1, min(PIVOTS, len(drawn) // ANNULI, int(vectors.count() ** 0.5 / 2))))
+    pivots = choose_pivots(drawn, max(1, min(PIVOTS, len(drawn) // 4, int(2 * vectors.count() ** 0.5))))
     d = _distances(drawn, pivots)
     nearest, least = d.argmin(1), d.min(1)
     cuts = np.stack([np.quantile(least[nearest == p], np.arange(1, ANNULI) / ANNULI) if (nearest == p).any() else np.zeros(ANNULI - 1) for p in range(len(pivots))])
