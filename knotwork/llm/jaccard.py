@@ -45,8 +45,8 @@ from knotwork.llm.components import members, stars
 from knotwork.runtime import cut, release, ship_package, trimmed
 
 WORDS = 5
-#: Buckets of the sketch, at least and at most; its parts; sketches that one task sums.
-SKETCH_BITS, PARTS, FAN = (22, 24), 16, 64
+#: Buckets of the sketch, at least and at most; its parts; sketches that one task sums; shingles counted at once.
+SKETCH_BITS, PARTS, FAN, COUNTED = (22, 24), 16, 64, 1 << 19
 #: Rows of an inverted list that meet in one group; characters handled at once; bits of the filter of candidate ids.
 LIST, CHUNK, FILTER_BITS = 2048, 1 << 20, 24
 #: Bytes from which a word is hashed by a digest; ids of a clump of candidates that meet at once.
@@ -174,12 +174,18 @@ def signatures(docs: DataFrame, bits: int = SKETCH_BITS[0]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << bits, np.int32), []
+
+        def add() -> None:
+            # by the buckets met, not by an array of all of them: workers have little memory
+            at, n = np.unique(np.concatenate(seen), return_counts=True)
+            counts[at] += n.astype(np.int32)
+            seen.clear()
+
         for batch in batches:
             for part, sets in in_chunks(batch):
-                seen.append(_bucket(np.concatenate(sets) if sets else np.zeros(0, np.uint64), bits))
-                if sum(map(len, seen)) > len(counts):
-                    counts += np.bincount(np.concatenate(seen), minlength=len(counts)).astype(np.int32)
-                    seen = []
+                seen.append(_bucket(np.concatenate(sets) if sets else np.zeros(0, np.uint64), bits).astype(np.int32))
+                if sum(map(len, seen)) > COUNTED:
+                    add()
                 digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
                 none = pa.nulls(len(sets), pa.int32())
                 yield pa.RecordBatch.from_arrays(
@@ -187,7 +193,7 @@ def signatures(docs: DataFrame, bits: int = SKETCH_BITS[0]) -> DataFrame:
                     names=["doc_id", "n", "d0", "d1", "task", "part", "counts"],
                 )
         if seen:
-            counts += np.bincount(np.concatenate(seen), minlength=len(counts)).astype(np.int32)
+            add()
         if counts.any():
             task, pieces = TaskContext.get().partitionId(), np.split(counts, PARTS)
             none = pa.nulls(PARTS, pa.int64())
@@ -321,9 +327,8 @@ def boundary(histogram: dict[int, int], sketch: np.ndarray) -> int:
     return min(range(SIZES), key=cost)
 
 
-def leads(docs: DataFrame, classes: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(rep, n, lead): of each class the leading shingles for k = 2, in order."""
-    sent = _sent(docs.sparkSession, sketch)
+def leads(docs: DataFrame, classes: DataFrame, sent: Broadcast) -> DataFrame:
+    """(rep, n, lead): of each class the leading shingles for k = 2, in order; ``sent`` is the sketch."""
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
@@ -357,11 +362,10 @@ def _counts(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return sketch[_bucket(s, len(sketch).bit_length() - 1)]
 
 
-def postings(lead: DataFrame, sketch: np.ndarray, small: int, only: np.ndarray | None = None) -> DataFrame:
+def postings(lead: DataFrame, sent: Broadcast, small: int, only: np.ndarray | None = None) -> DataFrame:
     """(key, spot, before, earlier, rep): a row for each inverted list or 2-subset that a class takes part in; those in the
     bit filter ``only``, if given. ``spot`` packs the set's size, the place of the (first) shingle in the class's order and
     whether it is a list; ``before`` and ``earlier`` are the two shingles before it in that order, in lists, or 0."""
-    sent = _sent(lead.sparkSession, sketch)
     chosen = lead.sparkSession.sparkContext.broadcast(only)  # of fixed size
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -491,16 +495,18 @@ def joined(docs: DataFrame, links_by_phase: dict[str, int] | None = None) -> Dat
     classes = cut(rows.where("n > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).where("rep IS NOT NULL"))
     sizes = classes.groupBy(F.least("n", F.lit(SIZES)).alias("n")).count().collect()  # at most SIZES rows
     small = boundary({int(r.n): r["count"] for r in sizes}, sketch)
+    sent = _sent(spark, sketch)
+    del sketch
     release(spark)
-    lead = cut(leads(docs, classes, sketch))
+    lead = cut(leads(docs, classes, sent))
     united = open_lists = None
     for near in (*NEAR, None):
         if united is None:
-            posts = postings(lead, sketch, small)
+            posts = postings(lead, sent, small)
         elif open_lists.isEmpty():
             break
         else:
-            posts = _apart(postings(lead, sketch, small, _filter(open_lists.select("id"))), united, None if near else open_lists)
+            posts = _apart(postings(lead, sent, small, _filter(open_lists.select("id"))), united, None if near else open_lists)
         found = cut(candidate_pairs(posts, small, near))
         del posts
         release(spark)
