@@ -35,8 +35,8 @@ from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +48,7 @@ WORDS = 5
 #: Buckets of the sketch, at least and at most; its parts; sketches that one task sums; shingles counted at once.
 SKETCH_BITS, PARTS, FAN, COUNTED = (22, 24), 16, 64, 1 << 19
 #: Rows of an inverted list that meet in one group; characters handled at once; bits of the filter of candidate ids.
-LIST, CHUNK, FILTER_BITS = 2048, 1 << 20, 24
+LIST, CHUNK, FILTER_BITS = 2048, 1 << 18, 24
 #: Bytes from which a word is hashed by a digest; ids of a clump of candidates that meet at once.
 LONG, BLOCK = CHUNK // 4, 32
 #: Rows from which a list is first searched in part, and how far apart its rows are paired in the scans before the last.
@@ -130,7 +130,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
 
 def in_chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Parts of a batch of bounded size, with the sets of their texts."""
-    sizes = np.cumsum(pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy())
+    sizes = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy())
     lo = 0
     while lo < batch.num_rows:
         hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + CHUNK, "right")))
@@ -208,16 +208,16 @@ def signatures(docs: DataFrame, bits: int = SKETCH_BITS[0]) -> DataFrame:
 def sketch_of(table: DataFrame, bits: int = SKETCH_BITS[0]) -> np.ndarray:
     """The sum of all tasks' sketches, of fixed size; by a tree, so that no task sums more than ``FAN`` of them."""
 
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+    def total(t: pa.Table) -> pa.Table:
         s = np.zeros((1 << bits) // PARTS, np.int64)
-        for c, wide in zip(pdf["counts"], pdf["wide"], strict=True):
-            s += np.frombuffer(zlib.decompress(c), np.int64 if wide else np.int32)
-        return pd.DataFrame({"task": [pdf["task"].iloc[0] // FAN], "part": [pdf["part"].iloc[0]], "counts": [zlib.compress(s.tobytes(), 1)], "wide": [True]})
+        for c, wide in zip(t.column("counts"), t.column("wide").to_pylist(), strict=True):
+            s += np.frombuffer(zlib.decompress(c.as_py()), np.int64 if wide else np.int32)
+        return pa.table({"task": pa.array([t.column("task")[0].as_py() // FAN], pa.int32()), "part": t.column("part").slice(0, 1), "counts": pa.array([zlib.compress(s.tobytes(), 1)], pa.binary()), "wide": [True]})
 
     sums = table.where("part IS NOT NULL").select("task", "part", "counts", F.lit(False).alias("wide"))
     tasks = (sums.agg(F.max("task")).first()[0] or 0) + 1
     while True:
-        sums, tasks = sums.groupBy("part", F.floor(F.col("task") / FAN)).applyInPandas(total, "task int, part int, counts binary, wide boolean"), -(-tasks // FAN)
+        sums, tasks = sums.groupBy("part", F.floor(F.col("task") / FAN)).applyInArrow(total, "task int, part int, counts binary, wide boolean"), -(-tasks // FAN)
         if tasks == 1:
             break
     rows = {r.part: np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64) for r in sums.select("part", "counts").collect()}
@@ -234,11 +234,11 @@ def _filter(ids: DataFrame) -> np.ndarray:
             bits[_slots(b.column("id").to_numpy())] = True
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "bits": pa.array([zlib.compress(p.tobytes(), 1) for p in np.split(np.packbits(bits), PARTS)], pa.binary())})
 
-    def union(pdf: pd.DataFrame) -> pd.DataFrame:
-        u = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in pdf["bits"]])
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "bits": [zlib.compress(u.tobytes(), 1)]})
+    def union(t: pa.Table) -> pa.Table:
+        u = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x.as_py()), np.uint8) for x in t.column("bits")])
+        return pa.table({"part": t.column("part").slice(0, 1), "bits": pa.array([zlib.compress(u.tobytes(), 1)], pa.binary())})
 
-    rows = {r.part: bytes(r.bits) for r in ids.mapInArrow(trimmed(run), "part int, bits binary").groupBy("part").applyInPandas(union, "part int, bits binary").collect()}
+    rows = {r.part: bytes(r.bits) for r in ids.mapInArrow(trimmed(run), "part int, bits binary").groupBy("part").applyInArrow(union, "part int, bits binary").collect()}
     empty = zlib.compress(bytes((1 << FILTER_BITS) // 8 // PARTS), 1)
     return np.frombuffer(b"".join(zlib.decompress(rows.get(p, empty)) for p in range(PARTS)), np.uint8)
 
@@ -297,7 +297,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.compute.is_valid(b.column("doc_id")))
+            b = b.filter(pc.is_valid(b.column("doc_id")))
             at = _slots(b.column("doc_id").to_numpy())
             for part, found in in_chunks(b.filter(pa.array(_holds(bits.value, at)))):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "n", "shingles"])
@@ -335,7 +335,7 @@ def leads(docs: DataFrame, classes: DataFrame, sent: Broadcast) -> DataFrame:
         even = counts.mean()
         floor = even + 6 * np.sqrt(even) + 4
         for b in batches:
-            for part, sets in in_chunks(b.filter(pa.compute.is_valid(b.column("doc_id")))):
+            for part, sets in in_chunks(b.filter(pc.is_valid(b.column("doc_id")))):
                 lead = []
                 for s in sets:
                     c = np.maximum(_counts(s, counts), floor)
