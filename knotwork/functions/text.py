@@ -51,12 +51,9 @@ def may_score(search: list[str], name: Column, short: Column, node_id: Column) -
     return name.rlike(f"{inside}|{begins}") | short.rlike(begins) | node_id.rlike(inside)
 
 
-def node_score(search: list[str], name: Column, short: Column, node_id: Column, node_type: Column) -> Column:
-    """Sum over the terms, folded over one array so that the plan does not grow with them; one more for a favoured type."""
-    if not search:
-        return F.lit(0)
-    total = F.aggregate(F.array(*map(F.lit, search)), F.lit(0), lambda s, t: s + term_score(t, name, short, node_id))
-    return F.transform(F.array(total), lambda n: n + F.when((n > 0) & node_type.isin(*V.FAVOURED_TYPES), 1).otherwise(0))[0]
+def favoured(node_type: Column) -> Column:
+    """The point that a favoured type adds to a node that scores: 1 or 0."""
+    return F.coalesce(node_type.isin(*V.FAVOURED_TYPES), F.lit(False)).cast("int")
 
 
 def kind_of(path: Column) -> Column:

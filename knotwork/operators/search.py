@@ -6,17 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork import fixed_values as V
-from knotwork.functions.text import may_score, node_score, short_name, terms_of
+from knotwork.functions.text import favoured, may_score, short_name, term_score, terms_of
 from knotwork.schema import Graph
 
 
 def scored(nodes: DataFrame, terms: list[str]) -> DataFrame:
-    """(id, score) of every node that matches a term."""
+    """(id, score) of every node that matches a term.
+
+    A screen of compiled patterns keeps most nodes from the comparison; those that pass meet every term, and the points of
+    a node are summed. Terms are rows, not a fold inside one expression, so a filter on points is an ordinary comparison of
+    columns that is never moved below the union of a graph's parts.
+    """
+    if not terms:
+        return nodes.select("id", F.lit(0).cast("long").alias("score")).limit(0)
     low = F.lower(F.coalesce("name", "id"))
-    # names are made once, then compared with every term
     x = nodes.select("id", "type", low.alias("low"), short_name(low).alias("short"), F.lower("id").alias("low_id"))
-    x = x.where(may_score(terms, F.col("low"), F.col("short"), F.col("low_id"))) if terms else x
-    return x.select("id", node_score(terms, F.col("low"), F.col("short"), F.col("low_id"), F.col("type")).cast("long").alias("score")).where("score > 0")
+    x = x.where(may_score(terms, F.col("low"), F.col("short"), F.col("low_id"))).withColumn("term", F.explode(F.array(*map(F.lit, terms))))
+    x = x.withColumn("points", term_score(F.col("term"), F.col("low"), F.col("short"), F.col("low_id"))).where("points > 0")
+    favour = F.max(favoured(F.col("type")))
+    return x.groupBy("id").agg((F.sum("points") + favour).cast("long").alias("score"))
 
 
 def seeds(nodes: DataFrame, terms: list[str], k: int = V.SEEDS) -> DataFrame:
