@@ -34,8 +34,9 @@ from knotwork.runtime import KEPT, ship_package, trimmed
 
 END = "</w>"
 NEVER = 1 << 60
-#: Pieces and words kept in each of two generations, pieces of one trie, documents and characters handled at once.
-KEEP_PIECES, KEEP_WORDS, TRIE_PIECES, AT_ONCE_DOCS, AT_ONCE_CHARS = 200_000, 600_000, 50_000, 512, 2_000_000
+#: Bytes of pieces and of words kept in each of two generations, and what an entry costs beside its text; characters from which
+#: a piece or word is not kept; pieces of one trie, documents and characters handled at once.
+KEEP_PIECES, KEEP_WORDS, ENTRY, LONG, TRIE_PIECES, AT_ONCE_DOCS, AT_ONCE_CHARS = 40_000_000, 100_000_000, 180, 1000, 50_000, 512, 2_000_000
 
 #: Pieces of visible ASCII and the letters of Latin-1: composed, and changed by lower case alone.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -47,20 +48,30 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 class Store:
-    """A bounded store in two generations: when the young one is full it becomes the old one."""
+    """A store bounded in bytes, in two generations: when the young one is full it becomes the old one."""
 
     def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
+        self.most, self.young, self.old, self.held = most, {}, {}, 0
 
     def renewed(self, keys: set[str]) -> dict[str, bytes]:
-        """The young generation, with what is known of ``keys`` in it and room for the rest."""
-        if len(self.young) + len(keys) > self.most:
-            self.old, self.young = self.young, {}
+        """The young generation, with what is known of ``keys`` in it."""
+        if self.held > self.most:
+            self.old, self.young, self.held = self.young, {}, 0
         if self.old:
             for k in (keys - self.young.keys()) & self.old.keys():
-                self.young[k] = self.old[k]
+                self.put(k, self.old[k])
         return self.young
 
+    def put(self, key: str, value: bytes) -> None:
+        self.young[key] = value
+        self.held += ENTRY + len(key) + len(value)
+
+    def drop(self, keys: Iterable[str]) -> None:
+        """Forget long entries, which are needed once."""
+        for k in keys:
+            if len(k) > LONG and (value := self.young.pop(k, None)) is not None:
+                self.held -= ENTRY + len(k) + len(value)
+
 
 class TrieBpe:
     """Encoder and decoder for a tokenizer file with word-end BPE."""
@@ -192,9 +203,10 @@ class TrieBpe:
             know = self.words.renewed(wanted)
             new = {w.encode().decode("latin-1").translate(self.bytes): w for w in wanted if w not in know}
             for level, tokens in self.encode_words(new).items():
-                know[new[level]] = np.array([self.vocab[t] for t in tokens], "<u4").tobytes()
+                self.words.put(new[level], np.array([self.vocab[t] for t in tokens], "<u4").tobytes())
             for p, ws in split:
-                self.store.young[p] = know[ws[0]] if len(ws) == 1 else b"".join([know[w] for w in ws])
+                self.store.put(p, know[ws[0]] if len(ws) == 1 else b"".join([know[w] for w in ws]))
+            self.words.drop(wanted)
 
     def pieces(self, text: str) -> list[str]:
         return [p for p in _WHITE.split(text) if p] if _SEPARATORS.search(text) else text.split()
@@ -213,10 +225,13 @@ class TrieBpe:
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         split = [self.segments(t) for t in texts]
-        know = self.store.renewed({p for s in split for part in s if isinstance(part, list) for p in part})
-        self._learn(sorted({p for s in split for part in s if isinstance(part, list) for p in part if p not in know}))
+        pieces = {p for s in split for part in s if isinstance(part, list) for p in part}
+        know = self.store.renewed(pieces)
+        self._learn(sorted(p for p in pieces if p not in know))
         ids = lambda part: b"".join([know[p] for p in part]) if isinstance(part, list) else self.special[part].to_bytes(4, "little")
-        return [ids(s[0]) if len(s) == 1 else b"".join(map(ids, s)) for s in split]
+        out = [ids(s[0]) if len(s) == 1 else b"".join(map(ids, s)) for s in split]
+        self.store.drop(pieces)
+        return out
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_texts([text])[0], "<u4").tolist()

@@ -544,9 +544,18 @@ def _apart(posts: DataFrame, united: DataFrame, open_lists: DataFrame | None) ->
 def representatives(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest doc_id; all columns unchanged.
 
-    Rows that share that doc_id count as one document, of which one row stays; rows with a null doc_id stay.
+    Rows are documents of their own even where they share a doc_id: only rows equal in doc_id and text are copies, of which the
+    one whose JSON comes first stays. Of unlike texts under one id none goes unless it links to another document. Rows
+    with a null doc_id stay.
     """
-    keep = joined(docs).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").select(*docs.columns)
-    known = known.dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where(F.col("doc_id").isNull()))
+    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull())
+    if ids.groupBy("doc_id").count().where("count > 1").isEmpty():
+        keep = joined(docs).where("doc_id = component_id").select("doc_id")
+        return docs.join(keep, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    # a row's own id is a hash of its id and text; another hash tells rows apart that should share it by chance
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.xxhash64("doc_id", "text").alias("own"), F.xxhash64(F.lit(1), "doc_id", "text").alias("mark"), "doc_id", "text", whole.alias("row"))
+    member = cut(joined(rows.select(F.col("own").alias("doc_id"), "text")).select(F.col("doc_id").alias("own"), "component_id").distinct())
+    first = rows.select("own", "doc_id").distinct().join(member, "own").groupBy("component_id").agg(F.min(F.struct("doc_id", "own")).alias("first"))
+    kept = rows.join(first.select("first.own"), "own", "left_semi").groupBy("own", "mark").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.select("row.*").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

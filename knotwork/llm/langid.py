@@ -135,12 +135,11 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
             yield pa.RecordBatch.from_pydict({"lang": list(sums), "v": pa.array(list(sums.values()), pa.list_(pa.float64()))})
 
     parts = chosen.mapInArrow(trimmed(bundles), "lang string, v array<double>").select("lang", F.posexplode("v").alias("d", "x"))
-    summed = parts.groupBy("lang", "d").agg(F.round(F.sum("x"), 6).alias("x")).collect()
-    langs = sorted({r.lang for r in summed})
-    at = {lang: i for i, lang in enumerate(langs)}
-    prototypes = np.zeros((len(langs), DIMS))
-    for r in summed:
-        prototypes[at[r.lang], r.d] = r.x
+    summed = parts.groupBy("lang", "d").agg(F.round(F.sum("x"), 6).alias("x"))
+    # one array a language, as Arrow
+    rows = summed.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda r: r["x"]).alias("v")).orderBy("lang").toArrow()
+    langs = rows.column("lang").to_pylist()
+    prototypes = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMS)
     seen = np.abs(prototypes).sum(1) > 0  # a language may have no letters in any document
     return [x for x, s in zip(langs, seen, strict=True) if s], unit(prototypes[seen])
 

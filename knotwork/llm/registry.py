@@ -21,8 +21,11 @@ TEST_KEY = "key of tests"
 
 
 def pii_key(spark: SparkSession) -> str:
-    """The secret key of pseudonyms, from the session's settings."""
-    return spark.conf.get("spark.knotwork.pii.key", TEST_KEY)
+    """The secret key of pseudonyms, from the session's settings; only local masters may do without it."""
+    key = spark.conf.get("spark.knotwork.pii.key", None)
+    if not key and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.knotwork.pii.key: without a secret key anyone can reverse the pseudonyms")
+    return key or TEST_KEY
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,8 @@ from knotwork.runtime import KEPT, ship_package, trimmed
 
 #: Pre-tokens of a new leaf; a leaf may grow to LEAF_MOST before the tree is built anew.
 LEAF, LEAF_MOST, FANOUT = 64, 1024, 16
-KEEP = 300_000
+#: Bytes of pre-tokens whose counts are kept, what an entry costs beside its text, characters from which one is not kept.
+KEEP, ENTRY, LONG = 48_000_000, 150, 1000
 
 _CODECS: dict[str, Codec] = {}
 KEPT[__name__] = _CODECS.clear
@@ -50,17 +51,24 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.split = self.pattern.findall
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def counts(self, pieces: list[str]) -> list[int]:
         known = self.known
         new = set(pieces).difference(known)
         if new:
-            if len(known) + len(new) > KEEP:
+            if self.held > KEEP:
                 known.clear()
-                new = set(pieces)
+                self.held, new = 0, set(pieces)
             for p in new:
                 known[p] = len(self.bpe._encode_single_piece(p))
-        return [known[p] for p in pieces]
+                self.held += ENTRY + len(p)
+        out = [known[p] for p in pieces]
+        for p in new:
+            if len(p) > LONG:
+                del known[p]
+                self.held -= ENTRY + len(p)
+        return out
 
 
 def codec(path: str, pattern: str) -> Codec:

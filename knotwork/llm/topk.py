@@ -23,8 +23,8 @@ of many dimensions, the work is that of all products.
 Defined results. Vectors that are null or hold null or non-finite components take no part, neither as query nor as
 candidate; vectors of different lengths are compared as if padded with zeros; an empty vector scores 0. Ties go to the
 smaller vec_id, then to equal rows in any order. A null vec_id is no query; as a candidate it comes after others of its
-score. Repeated rows of a query are one query; rows with the query's own vec_id are not its candidates. Fewer than k
-candidates: all of them. An empty table of vectors or queries: an empty result. Extra columns are ignored.
+score. Rows equal in id and vector are one query, and not their own candidates; rows that share an id but not the vector are
+queries of their own (their results carry the same query_id) and candidates of each other. Fewer than k candidates: all of them. An empty table of vectors or queries: an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -194,8 +194,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, products_made: li
     known = spark.sparkContext.broadcast((cells, shelf, blocks))  # of bounded size
     where = spark.createDataFrame([(int(c), int(s), int(blocks[s])) for c, s in zip(cells[:, 0], shelf, strict=True)], "cell int, shelf int, blocks int")
     stored = placed.join(F.broadcast(where), "cell").select("shelf", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "cell", "vec_id", "v")
-    asking = quantised(queries.where(F.col("vec_id").isNotNull())).dropDuplicates(["vec_id"]).mapInArrow(place, schema)
-    asking = cut(asking.select(F.col("vec_id").alias("query_id"), "v", (F.col("cell") / ANNULI).cast("int").alias("pivot")))
+    asking = quantised(queries.where(F.col("vec_id").isNotNull())).dropDuplicates(["vec_id", "q"]).mapInArrow(place, schema)
+    # a query is known by its id and a hash of its vector, which tells rows of one id apart
+    asking = cut(asking.select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("mark"), "v", (F.col("cell") / ANNULI).cast("int").alias("pivot")))
     counts = {r.pivot: r["count"] for r in asking.groupBy("pivot").count().collect()}  # at most PIVOTS rows
     first, spread = np.zeros(len(pivots), np.int64), np.ones(len(pivots), np.int64)
     full, here = 0, 0
@@ -237,8 +238,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, products_made: li
             who = np.concatenate([row[start][at], more])
             none = pa.nulls(len(more), pa.list_(pa.int32()))
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([s[start][at], np.full(len(more), -1)]).astype(np.int32)), pa.array(np.concatenate([nth, np.zeros(len(more), np.int64)]).astype(np.int32)), pa.array(group[who]), pa.array(ids[who]), b.column("v").take(pa.array(who)), pa.concat_arrays([lists.take(pa.array(at)), none])],
-                names=["shelf", "block", "batch", "query_id", "v", "cells"],
+                [pa.array(np.concatenate([s[start][at], np.full(len(more), -1)]).astype(np.int32)), pa.array(np.concatenate([nth, np.zeros(len(more), np.int64)]).astype(np.int32)), pa.array(group[who]), pa.array(ids[who]), b.column("mark").take(pa.array(who)), b.column("v").take(pa.array(who)), pa.concat_arrays([lists.take(pa.array(at)), none])],
+                names=["shelf", "block", "batch", "query_id", "mark", "v", "cells"],
             )
 
         return run
@@ -251,11 +252,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, products_made: li
 
     def best_of(q: pa.Table, x: pa.Table) -> pa.Table:
         """The k best of a block for each query that asks for any of its cells."""
-        out = [np.zeros((3, 0), np.int64)]
+        out = [np.zeros((4, 0), np.int64)]
         if q.num_rows and x.num_rows:
             x = x.sort_by([("cell", "ascending"), ("vec_id", "ascending")])
             ids, cell = x.column("vec_id").to_numpy(), x.column("cell").to_numpy()
             X, Q, who = matrix(x.column("v").to_pylist()), matrix(q.column("v").to_pylist()), q.column("query_id").to_numpy()
+            mark, copies = q.column("mark").to_numpy(), (q.column("v"), x.column("v"))
             held, start = np.unique(cell, return_index=True)
             end = np.append(start[1:], len(cell))
             lists = q.column("cells").combine_chunks()
@@ -273,23 +275,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, products_made: li
                     for c in np.flatnonzero(mine.any(0)):
                         rows = np.flatnonzero(mine[:, c])
                         s[rows, start[c] : end[c]] = products(Q[lo + rows], X[start[c] : end[c]])
-                s[who[lo : lo + ROWS, None] == ids[None]] = LEAST
+                for row, col in np.argwhere(who[lo : lo + ROWS, None] == ids[None]):
+                    if copies[0][lo + int(row)] == copies[1][int(col)]:
+                        s[row, col] = LEAST
                 kth = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(s), LEAST)
                 row, col = np.nonzero((s >= kth[:, None]) & (s > LEAST))
                 by = np.lexsort((ids[col], -s[row, col], row))
                 row, col = row[by], col[by]
                 begin = np.searchsorted(row, np.arange(len(s)))
                 keep = np.arange(len(row)) - begin[row] < k
-                out.append(np.stack([who[lo + row[keep]], ids[col[keep]], s[row[keep], col[keep]]]))
+                out.append(np.stack([who[lo + row[keep]], mark[lo + row[keep]], ids[col[keep]], s[row[keep], col[keep]]]))
         found = np.concatenate(out, axis=1)
-        return pa.table({"query_id": found[0], "vec_id": found[1], "score": found[2]})
+        return pa.table({"query_id": found[0], "mark": found[1], "vec_id": found[2], "score": found[3]})
 
-    by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    best = spark.createDataFrame([], "query_id long, vec_id long, score long, rank int")
+    by = Window.partitionBy("query_id", "mark").orderBy(F.col("score").desc(), "vec_id")
+    best = spark.createDataFrame([], "query_id long, mark long, vec_id long, score long, rank int")
     low, high = 0, k + 1
     while True:
-        kth = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
-        asked = cut(asking.join(kth, "query_id", "left").select("query_id", "v", "pivot", "kth").mapInArrow(visits(low, high), "shelf int, block int, batch long, query_id long, v binary, cells array<int>"))
+        kth = best.where(F.col("rank") == k).select("query_id", "mark", F.col("score").alias("kth"))
+        asked = cut(asking.join(kth, ["query_id", "mark"], "left").select("query_id", "mark", "v", "pivot", "kth").mapInArrow(visits(low, high), "shelf int, block int, batch long, query_id long, mark long, v binary, cells array<int>"))
         now = asked.where("shelf >= 0")
         if not now.isEmpty():
             if products_made is not None:
@@ -299,7 +303,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, products_made: li
             moved = stored.join(now.select(*[F.col(c).alias(c) for c in keys]).distinct(), ["shelf", "block"]).select(*[F.col(c).alias(c) for c in (*keys, "cell", "vec_id", "v")])
             # a fixed number, since the work of a group is not that of its bytes
             left, right = (t.repartition(parts, *keys).groupBy(*keys) for t in (now, moved))
-            found = left.cogroup(right).applyInArrow(compare, "query_id long, vec_id long, score long")
+            found = left.cogroup(right).applyInArrow(compare, "query_id long, mark long, vec_id long, score long")
             best = cut(best.drop("rank").unionByName(found).withColumn("rank", F.row_number().over(by).cast("int")).where(F.col("rank") <= k))
             release(spark)
         if high > n_all or asked.where("shelf < 0").isEmpty():

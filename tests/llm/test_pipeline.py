@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from knotwork.llm import mixing, quality
+from knotwork.llm import jaccard, mixing, quality
 from tests.llm.test_jaccard import brute
 
 SF = "/root/testdata/sf0.001"
@@ -123,3 +123,14 @@ def test_nulls_repeats_and_empty_texts(spark):
             assert not any(r.text in (None, "") for r in rows if r.doc_id is not None) and ids[first.doc_id] <= 4
     encoded = corpus_pipeline.STAGES[-1][1](spark, good.unionByName(odd), SF).collect()
     assert len(encoded) == good.count() + 6 and {r.n_tokens for r in encoded if r.doc_id in (900_001, 900_002)} == {0}
+
+
+def test_unlike_texts_under_one_id(spark):
+    """Nothing is lost where rows share an id: only equal rows, and documents that link, are merged."""
+    words = [f"w{i}" for i in range(60)]
+    a, b, near_a = " ".join(words), " ".join(reversed(words)), " ".join([*words[:-1], "other"])
+    rows = [(1, a, 5), (1, b, 6), (1, a, 5), (2, near_a, 7), (3, "", 8), (3, "alone", 9), (None, a, 1), (None, a, 1), (7, b + " tail", 2), (9, None, 3), (9, None, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own int")
+    got = sorted(((r.doc_id, r.text, r.own) for r in jaccard.representatives(df).collect()), key=repr)
+    assert got == sorted([(1, a, 5), (1, b, 6), (3, "", 8), (3, "alone", 9), (None, a, 1), (None, a, 1), (9, None, 3)], key=repr)
+    assert got == sorted(((r.doc_id, r.text, r.own) for r in jaccard.representatives(df.repartition(7)).collect()), key=repr)

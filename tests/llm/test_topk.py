@@ -45,7 +45,11 @@ def test_edges(spark):
     assert run(spark, rows[3:7], [5]) == [] and run(spark, rows[:1], [1]) == []
     twice = [(1, [1.0]), (1, [1.0]), (2, [3.0]), (2, [3.0])]
     assert run(spark, twice, [1]) == [(1, 1, 2, 3 * 1024 * 1024), (1, 2, 2, 3 * 1024 * 1024)]
+    # one id, two vectors: two queries, each the other's candidate
+    assert run(spark, [(1, [1.0]), (1, [2.0]), (2, [3.0])], [1]) == [(1, 1, 2, 3 << 20), (1, 1, 2, 6 << 20), (1, 2, 1, 2 << 20), (1, 2, 1, 2 << 20)]
     df = frame(spark, rows)
+    clash = frame(spark, twice).selectExpr("*", "1 AS query_id", "'x' AS mark", "2 AS q", "3 AS v", "4 AS cell", "5 AS norm", "6 AS shelf", "7 AS rank")
+    assert topk.top_k(clash, clash).count() == 4
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
