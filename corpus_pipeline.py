@@ -2,8 +2,9 @@
 
 Defined results, for every stage. Null text counts as the empty text where it is scored, compared, measured or encoded, and stays
 null in the table. Null doc_id: such rows are scored, never merged with others, pseudonymised, mixed and encoded like others.
-Repeated rows: equal doc_ids count as one document when groups are merged, of which one row stays; elsewhere rows are
-handled each. Ties do not arise: of a group the smallest doc_id stays. An empty table gives an empty one, with all columns. Extra columns stay
+Repeated rows: rows equal in doc_id and text are copies, of which one stays when groups are merged; unlike texts under one
+doc_id are documents of their own; elsewhere rows are handled each. Ties: of a group the smallest doc_id stays, of copies the
+row whose JSON comes first. An empty table gives an empty one, with all columns. Extra columns stay
 as they are until the last stage, whatever their names.
 """
 
@@ -30,7 +31,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates, the one with the smallest id.
 
-    Texts without words, and rows without an id, are near to nothing and stay; of rows that share an id one stays.
+    Texts without words, and rows without an id, are near to nothing and stay; so do unlike texts that share an id.
     """
     return jaccard.representatives(docs)
 
