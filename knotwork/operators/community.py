@@ -1,26 +1,38 @@
-"""Communities: Louvain by component, splits of oversize communities, modularity.
-
-Local moves never leave a connected component, so components are found first and each is solved in one group of
-bounded size. A component above ``GROUP_EDGES`` edges is coarsened by whole-table rounds first: in each round half of the
-nodes (by a hash of id and round, so that neighbours do not swap for ever) move to the neighbouring community of largest
-gain; then communities become nodes. Everything is seeded and ordered by id, so results do not depend on partitioning.
+"""Communities: distributed Louvain with local moves between coloured communities, splits of oversize ones, modularity.
+
+Every second round colours the communities anew, by a hash of their number. Nodes of one colour's communities may move, those
+of the other's receive, and in the next round the other way round: no two nodes ever swap, none leaves a community that others join in that round, and
+what a node gains is counted against communities that only grow. Of all communities in reach that receive, a node takes the one
+of largest gain in modularity, if it gains more there than where it is. A round is one join of the links with the
+state of their far ends and two aggregations; sums go by (node, community) before they go by node, so no task gets all
+links of a hub. Rounds end when no node would gain anywhere, or gains fade; then communities become nodes, and so on until
+a level gains nothing. Then all nodes may move again, from the communities found, since the first moves were made by single nodes
+that knew no communities. At last each community is refined to its connected parts, which never lowers modularity.
+
+The same rounds run at every size: there is no group of nodes that one task solves. Nodes are numbered in order of their ids, and ties are
+broken by hashes, so results do not depend on partitioning.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork import fixed_values as V
-from knotwork.operators.traverse import connected_components
-from knotwork.runtime import cut, ship_package
+from knotwork.operators.components import components
+from knotwork.operators.traverse import numbered
+from knotwork.runtime import cut, tables
 from knotwork.schema import Graph
 
-GROUP_EDGES = 2_000_000
-COARSE_ROUNDS, COARSE_LEVELS = 8, 4
 MAX_SPLITS, MIN_SPLIT_SIZE, SPLIT_FACTOR = 3, 4, 1.5
+#: Rounds of a level at most; rounds that move nodes and gain less than ``GAIN`` in modularity end a level after ``PATIENCE`` of them; passes
+#: over all levels at most, and the gain that makes another one worth while.
+ROUNDS, PATIENCE, GAIN, PASSES, PASS_GAIN = 40, 3, 1e-3, 3, 3e-3
+#: Differences below this are rounding.
+SAME = 1e-9
+Keep = Callable[[DataFrame], DataFrame]
 
 
 def links(edges: DataFrame) -> DataFrame:
@@ -28,140 +40,134 @@ def links(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct().withColumn("w", F.lit(1.0))
 
 
-def louvain(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, total: float, resolution: float, seed: int) -> np.ndarray:
-    """Communities of nodes 0..n-1 joined by weighted links (Blondel et al. 2008); ``total``: weight of the whole graph."""
-    label = np.arange(n)
-    rng = np.random.default_rng(seed)
-    while True:
-        near: list[dict[int, float]] = [{} for _ in range(n)]
-        k = np.zeros(n)
-        for x, y, v in zip(a.tolist(), b.tolist(), w.tolist(), strict=True):
-            k[x] += v
-            k[y] += v
-            if x != y:
-                near[x][y] = near[x].get(y, 0.0) + v
-                near[y][x] = near[y].get(x, 0.0) + v
-        own, weight = list(range(n)), k.tolist()
-        order = rng.permutation(n).tolist()
-        moved, any_move = True, False
-        while moved:
-            moved = False
-            for x in order:
-                to: dict[int, float] = {}
-                for y, v in near[x].items():
-                    to[own[y]] = to.get(own[y], 0.0) + v
-                here = own[x]
-                weight[here] -= k[x]
-                gain = lambda c: to.get(c, 0.0) - resolution * weight[c] * k[x] / (2 * total)  # noqa: E731, B023
-                best, most = here, gain(here)
-                for c in sorted(to):
-                    if gain(c) > most + 1e-12:
-                        best, most = c, gain(c)
-                weight[best] += k[x]
-                if best != here:
-                    own[x], moved, any_move = best, True, True
-        if not any_move:
-            return label
-        _, compact = np.unique(own, return_inverse=True)
-        label, n = compact[label], int(compact.max()) + 1
-        pair = np.stack([np.minimum(compact[a], compact[b]), np.maximum(compact[a], compact[b])], 1)
-        unique, at = np.unique(pair, axis=0, return_inverse=True)
-        a, b, w = unique[:, 0], unique[:, 1], np.bincount(at.ravel(), w)
-
-
-def _solved(grouped: DataFrame, resolution: float, seed: int) -> DataFrame:
-    """(id, part): Louvain inside each group of (group, m, a, b, w); a part is named by its first id."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, at = np.unique(np.concatenate([pdf["a"], pdf["b"]]).astype(str), return_inverse=True)
-        a, b = at[: len(pdf)], at[len(pdf) :]
-        order = np.lexsort((b, a))
-        part = louvain(len(ids), a[order], b[order], pdf["w"].to_numpy()[order], float(pdf["m"].iloc[0]), resolution, seed)
-        first = np.full(part.max() + 1, len(ids))
-        np.minimum.at(first, part, np.arange(len(ids)))
-        return pd.DataFrame({"id": ids, "part": ids[first[part]]})
-
-    ship_package(grouped.sparkSession)
-    return grouped.groupBy("group").applyInPandas(solve, "id string, part string")
-
-
-def _coarsened(linked: DataFrame, resolution: float) -> DataFrame:
-    """(id, c): one level of whole-table Louvain moves over links (a, b, w, m)."""
+def _moved(keep: Keep, linked: DataFrame, start: DataFrame, resolution: float, seed: int) -> tuple[DataFrame, float]:
+    """(id, c) after local moves over links (a, b, w) from ``start`` (id, m, c), and its value; m is the weight of all links
+    that count for a node."""
+    ends = linked.select(F.explode(F.array("a", "b")).alias("id"), "w", F.when(F.col("a") == F.col("b"), F.col("w") / 2).otherwise(0.0).alias("loop"))
+    state = keep(ends.groupBy("id").agg(F.sum("w").alias("k"), F.sum("loop").alias("loop")).join(start, "id").select("id", "k", "m", "loop", "c"))
     apart = linked.where("a <> b").select("a", "b", "w")
-    both = cut(apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
-    state = cut(linked.select(F.explode(F.array("a", "b")).alias("id"), "w", "m").groupBy("id").agg(F.sum("w").alias("k"), F.max("m").alias("m")).withColumn("c", F.col("id")))
-    for r in range(COARSE_ROUNDS):
-        weight = state.groupBy("c").agg(F.sum("k").alias("sum_k"))
-        to = both.join(state.select(F.col("id").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("into"))
-        mine = state.select(F.col("id").alias("a"), "k", "m", F.col("c").alias("own"))
-        options = to.unionByName(mine.select("a", F.col("own").alias("c"), F.lit(0.0).alias("into"))).groupBy("a", "c").agg(F.sum("into").alias("into"))
-        x = options.join(mine, "a").join(weight, "c")
-        others = F.col("sum_k") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
-        x = x.withColumn("gain", F.round(F.col("into") - resolution * others * F.col("k") / (2 * F.col("m")), 9))
-        best = x.groupBy("a", "k", "m", "own").agg(F.max_by("c", F.struct("gain", F.col("c") == F.col("own"), "c")).alias("best"))
-        turn = F.pmod(F.xxhash64(F.lit(r), "a"), F.lit(2)) == 0
-        state = cut(best.select(F.col("a").alias("id"), "k", "m", F.when(turn, F.col("best")).otherwise(F.col("own")).alias("c")))
-    return state.select("id", "c")
-
-
-def _partition(base: DataFrame, owner: DataFrame, total: float | None, resolution: float, seed: int, group_edges: int) -> DataFrame:
-    """(id, part): Louvain inside each group of ``owner`` (id, c) with weight ``total`` of the graph, or the group's own.
-
-    Groups above ``group_edges`` links are coarsened by whole-table rounds; one that stays large keeps its coarse parts.
-    """
-    grouped = base.join(owner.select(F.col("id").alias("a"), F.col("c").alias("group")), "a")
-    sums = grouped.groupBy("group").agg(F.sum("w").alias("m"))
-    grouped = cut(grouped.join(sums if total is None else sums.withColumn("m", F.lit(total)), "group").select("group", "m", "a", "b", "w"))
-    place = owner.select("id", F.col("id").alias("at"))
-    counts = lambda: grouped.groupBy("group").agg(F.count("*").alias("n"))
-    large = cut(counts().where(F.col("n") > group_edges).select("group"))
-    for _ in range(COARSE_LEVELS):
-        if large.isEmpty():
+    both = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    near = keep(both.join(state.select(F.col("id").alias("a"), "k", "m"), "a"))
+    best, most, before, faded = state, float("-inf"), None, 0
+    for turn in range(ROUNDS):
+        receives = lambda c: F.pmod(F.xxhash64(F.lit(seed), F.lit(turn // 2), c), F.lit(2)) == turn % 2  # noqa: E731, B023
+        by_chance = lambda c: F.xxhash64(F.lit(turn), c)  # noqa: E731, B023
+        known = state.join(state.groupBy("c").agg(F.sum("k").alias("all")), "c")
+        to = near.join(known.select(F.col("id").alias("b"), "c", "all"), "b").select("a", "k", "m", "c", "w", "all", F.lit(False).alias("own"), F.lit(0.0).alias("loop"))
+        mine = known.select(F.col("id").alias("a"), "k", "m", "c", F.lit(0.0).alias("w"), "all", F.lit(True).alias("own"), "loop")
+        options = to.unionByName(mine).groupBy("a", "k", "m", "c").agg(F.sum("w").alias("into"), F.max("all").alias("all"), F.max("own").alias("own"), F.max("loop").alias("loop"))
+        others = F.col("all") - F.when(F.col("own"), F.col("k")).otherwise(0.0)
+        options = options.withColumn("gain", F.round(F.col("into") - resolution * others * F.col("k") / (2 * F.col("m")), 9))
+        other = F.struct("gain", by_chance(F.col("c")).alias("chance"), "c")
+        per = options.groupBy("a", "k", "m").agg(
+            F.max(F.when(F.col("own"), F.struct("c", "gain", "into", "all", "loop"))).alias("here"),
+            F.max(F.when(~F.col("own"), F.col("gain"))).alias("any"),
+            F.max(F.when(~F.col("own") & receives(F.col("c")), other)).alias("best"),
+        )
+        go = F.coalesce(~receives(F.col("here.c")) & (F.col("best.gain") > F.col("here.gain") + SAME), F.lit(False))
+        wants = F.coalesce(F.col("any") > F.col("here.gain") + SAME, F.lit(False))
+        # the value of the state before the moves comes with them
+        worth = (F.col("here.into") / 2 + F.col("here.loop")) / F.col("m") - resolution * F.col("k") * F.col("here.all") / (4 * F.col("m") * F.col("m"))
+        new = keep(per.select(F.col("a").alias("id"), "k", "m", F.col("here.loop").alias("loop"), F.when(go, F.col("best.c")).otherwise(F.col("here.c")).alias("c"), worth.alias("worth"), go.alias("go"), wants.alias("wants")))
+        seen = new.agg(F.sum("worth").alias("value"), F.count_if("go").alias("moves"), F.count_if("wants").alias("wanting")).first()
+        if seen.value is None:
+            break
+        if seen.value > most:
+            best, most = state, seen.value
+        if before is not None:
+            faded = faded + 1 if seen.value - before < GAIN else 0
+        if not seen.wanting or faded >= PATIENCE:
             break
-        rough = cut(_coarsened(grouped.join(large, "group"), resolution))
-        place = cut(place.join(rough.select(F.col("id").alias("at"), F.col("c").alias("new")), "at", "left").select("id", F.coalesce("new", "at").alias("at")))
-        side = lambda end: rough.select(F.col("id").alias(end), F.col("c").alias(f"n{end}"))  # noqa: E731, B023
-        a, b = F.coalesce("na", "a"), F.coalesce("nb", "b")
-        x = grouped.join(side("a"), "a", "left").join(side("b"), "b", "left").groupBy("group", "m", F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-        before, grouped = grouped.count(), cut(x.agg(F.sum("w").alias("w")))
-        large = cut(counts().where(F.col("n") > group_edges).select("group"))
-        if grouped.count() > 0.9 * before:
+        # a round without moves tells nothing
+        before = seen.value if seen.moves else None
+        state = new.select("id", "k", "m", "loop", "c")
+    return best.select("id", "c"), most
+
+
+def _contracted(keep: Keep, linked: DataFrame, place: DataFrame) -> DataFrame:
+    """The links between the communities ``place`` (id, c) of the nodes."""
+    side = lambda end: place.select(F.col("id").alias(end), F.col("c").alias(f"c{end}"))
+    x = linked.join(side("a"), "a").join(side("b"), "b")
+    return keep(x.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
+
+
+def partition(keep: Keep, linked: DataFrame, nodes: DataFrame, resolution: float = 1.0, seed: int = V.LOUVAIN_SEED) -> DataFrame:
+    """(id, c): communities of the nodes (id, m) of links (a, b, w), each named by one of its nodes and connected.
+
+    Links join only nodes of equal m, the weight of all links that modularity is measured by. Nodes without links are left out.
+    """
+    place, value = nodes.select("id", F.col("id").alias("c")), float("-inf")
+    for _ in range(PASSES):
+        place, now = _moved(keep, linked, nodes.join(place, "id").select("id", "m", "c"), resolution, seed)
+        small = linked
+        step = place
+        while True:
+            small = _contracted(keep, small, step)
+            joints = nodes.join(place, "id").groupBy(F.col("c").alias("id")).agg(F.max("m").alias("m"))
+            step, found = _moved(keep, small, joints.select("id", "m", F.col("id").alias("c")), resolution, seed)
+            if found <= now + SAME:
+                break
+            fades, now = found - now < GAIN, found
+            place = keep(place.select("id", F.col("c").alias("at")).join(step.select(F.col("id").alias("at"), "c"), "at").select("id", "c"))
+            if fades:
+                break
+        if now - value < PASS_GAIN:
             break
-    part = _solved(grouped.join(large, "group", "left_anti"), resolution, seed)
-    return place.join(part.withColumnRenamed("id", "at"), "at", "left").select("id", F.coalesce("part", "at").alias("part"))
+        value = now
+    return _connected(keep, linked, place)
+
 
+def _connected(keep: Keep, linked: DataFrame, place: DataFrame) -> DataFrame:
+    """Communities cut into their connected parts, each named by its smallest node."""
+    side = lambda end: place.select(F.col("id").alias(end), F.col("c").alias(f"c{end}"))
+    inside = linked.where("a <> b").join(side("a"), "a").join(side("b"), "b").where("ca = cb").select("a", "b")
+    parts = components(inside)
+    return keep(place.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("c")))
 
-def communities(graph: Graph, resolution: float = 1.0, seed: int = V.LOUVAIN_SEED, group_edges: int = GROUP_EDGES) -> DataFrame:
+
+def communities(graph: Graph, resolution: float = 1.0, seed: int = V.LOUVAIN_SEED) -> DataFrame:
     """(community, id): every node in one community, numbered from 0 by falling size, then smallest id.
 
     Communities above a quarter of the nodes are split up to three times at growing resolution, unless they have fewer
     than four nodes or a split leaves them whole.
     """
-    spark = graph.nodes.sparkSession
-    n_nodes = graph.nodes.count()
+    with tables(graph.nodes.sparkSession) as keep:
+        return cut(_numbered(keep, graph, resolution, seed))
+
+
+def _numbered(keep: Keep, graph: Graph, resolution: float, seed: int) -> DataFrame:
+    ids = graph.nodes.select("id").distinct()
+    n_nodes = ids.count()
     if not n_nodes:
-        return spark.createDataFrame([], "community int, id string")
-    base = cut(links(graph.edges))
+        return ids.select(F.lit(0).alias("community"), "id")
+    number = keep(numbered(ids, ["id"], n_nodes).select(F.col("pos").alias("n"), "id"))
+    end = lambda c: number.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"))
+    base = keep(links(graph.edges).join(end("a"), "a").join(end("b"), "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "w"))
     total = float(base.agg(F.sum("w")).first()[0] or 0)
-    owner = cut(connected_components(graph.nodes, graph.edges).select("id", F.col("component").alias("c"), F.lit(False).alias("whole")))
+    alone = number.select(F.col("n").alias("id"))
+    owner = alone.select("id", F.col("id").alias("c"))
     if total:
-        part = _partition(base, owner, total, resolution, seed, group_edges)
-        owner = cut(part.select("id", F.col("part").alias("c"), F.lit(False).alias("whole")))
+        owner = alone.join(partition(keep, base, alone.withColumn("m", F.lit(total)), resolution, seed), "id", "left").select("id", F.coalesce("c", "id").alias("c"))
+    owner = keep(owner.withColumn("whole", F.lit(False)))
     most = max(1, int(n_nodes * V.LARGEST_COMMUNITY))
     for level in range(1, MAX_SPLITS + 1 if total else 1):
+        # at most 1 / LARGEST_COMMUNITY of them
         large = owner.where("NOT whole").groupBy("c").agg(F.count("*").alias("n")).where((F.col("n") > most) & (F.col("n") >= MIN_SPLIT_SIZE)).select("c")
-        inside = cut(owner.join(large, "c").select("id", "c"))
+        inside = keep(owner.join(F.broadcast(large), "c").select("id", "c"))
         if inside.isEmpty():
             break
         side = lambda end: inside.select(F.col("id").alias(end), F.col("c").alias(f"c{end}"))  # noqa: E731, B023
-        within = base.join(side("a"), "a").join(side("b"), "b").where("ca = cb").select("a", "b", "w")
-        part = cut(_partition(within, inside, None, resolution * SPLIT_FACTOR**level, seed, group_edges).join(inside, "id"))
-        parts = part.groupBy("c").agg((F.countDistinct("part") == 1).alias("one"))
-        new = part.join(parts, "c").select("id", F.col("part").alias("d"), "one")
-        owner = cut(owner.join(new, "id", "left").select("id", F.coalesce("d", "c").alias("c"), F.coalesce("one", "whole").alias("whole")))
-    per = owner.groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    number = per.select("c", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).cast("int").alias("community"))
-    return owner.join(number, "c").select("community", "id")
+        within = keep(base.join(side("a"), "a").join(side("b"), "b").where("ca = cb").select("a", "b", "w", F.col("ca").alias("c")))
+        weight = within.groupBy("c").agg(F.sum("w").alias("m"))
+        part = partition(keep, within.select("a", "b", "w"), keep(inside.join(F.broadcast(weight), "c").select("id", "m")), resolution * SPLIT_FACTOR**level, seed)
+        part = inside.join(part.withColumnRenamed("c", "d"), "id", "left").select("id", "c", F.coalesce("d", "id").alias("d"))
+        parts = part.groupBy("c").agg((F.countDistinct("d") == 1).alias("one"))
+        new = part.join(F.broadcast(parts), "c").select("id", "d", "one")
+        owner = keep(owner.join(new, "id", "left").select("id", F.coalesce("d", "c").alias("c"), F.coalesce("one", "whole").alias("whole")))
+    per = owner.groupBy("c").agg((-F.count("*")).alias("size"), F.min("id").alias("first"))
+    per = keep(per)
+    order = numbered(per, ["size", "first"], per.count()).select("c", F.col("pos").cast("int").alias("community"))
+    return owner.join(order, "c").join(number.select(F.col("n").alias("id"), F.col("id").alias("name")), "id").select("community", F.col("name").alias("id"))
 
 
 def attached(nodes: DataFrame, assignment: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from knotwork.operators.components import components
 from knotwork.runtime import cut
 from knotwork.schema import Graph
 
@@ -90,10 +91,10 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int, directions: tuple[tup
         total += levels.count
     edges.unpersist()
     rows = [x.select("id", F.lit(d).alias("depth"), "key") for d, x in enumerate(levels.all)]
-    return _numbered(reduce(DataFrame.unionByName, rows), ["depth", "key", "id"], total).drop("key")
+    return numbered(reduce(DataFrame.unionByName, rows), ["depth", "key", "id"], total).drop("key")
 
 
-def _numbered(rows: DataFrame, by: list[str], total: int) -> DataFrame:
+def numbered(rows: DataFrame, by: list[str], total: int) -> DataFrame:
     """``pos`` from 0 in the order of ``by``: in one task while the counted rows are few, else by ranges, each from where the ranges
     before it end."""
     if total <= BROADCAST_ROWS:
@@ -189,20 +190,6 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id of the undirected component of each node.
-
-    Labels move to the smallest of the neighbourhood, then jump to the label's label, until a checksum stays.
-    """
-    both = cut(undirected(edges).where("a <> b"))
-    labels = cut(nodes.select("id", F.col("id").alias("component")).distinct())
-    mark = None
-    while True:
-        near = both.join(labels, both["a"] == labels["id"]).groupBy("b").agg(F.min("component").alias("near"))
-        low = labels.join(near, labels["id"] == near["b"], "left").select("id", F.least("component", F.coalesce("near", "component")).alias("c"))
-        low = cut(low)
-        jump = low.select(F.col("id").alias("c"), F.col("c").alias("next"))
-        labels = cut(low.join(jump, "c", "left").select("id", F.least("c", F.coalesce("next", "c")).alias("component")))
-        new = labels.agg(F.sum(F.xxhash64("id", "component").cast("decimal(38,0)"))).first()[0]
-        if new == mark:
-            return labels
-        mark = new
+    """(id, component): the smallest id of the undirected component of each node."""
+    found = components(edges.select(F.col("source").alias("a"), F.col("target").alias("b")))
+    return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

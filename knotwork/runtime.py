@@ -9,11 +9,14 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from knotwork.sources.files import Folder
+
 
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable by Python workers, once per Spark context.
@@ -66,6 +69,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that evaluates a step of a loop into a Parquet table of the shared folder and reads it back.
+
+    A checkpoint keeps the estimated size of the plan before it, and a join's estimate is the product of its sides, so in a loop of
+    joins over checkpoints estimates double their digits in every round, until planning takes longer than the work. A table
+    has the size of its files, by which small sides are broadcast. The tables are deleted when the block ends, so what
+    leaves it has to be cut before.
+    """
+    paths: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        paths.append(path := scratch_path(spark, "step"))
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            Folder(spark, path).delete()
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that are evaluated and out of reach.
 
