@@ -41,7 +41,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm.components import members, stars
+from knotwork.operators.components import members, stars
 from knotwork.runtime import cut, release, ship_package, trimmed
 
 WORDS = 5

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.components import components, stars
+from knotwork.operators.components import components, stars
 from knotwork.runtime import cut, give_back, release, ship_package, trimmed
 
 THRESHOLD = 0.93
