@@ -9,18 +9,22 @@ links of a hub. Rounds end when no node would gain anywhere, or gains fade; then
 a level gains nothing. Then all nodes may move again, from the communities found, since the first moves were made by single nodes
 that knew no communities. At last each community is refined to its connected parts, which never lowers modularity.
 
-The same rounds run at every size: there is no group of nodes that one task solves. Nodes are numbered in order of their ids, and ties are
-broken by hashes, so results do not depend on partitioning.
+The same rounds run at every size, with the same results: a graph or level of at most ``FEW`` links, as the last ones are, is held in arrays
+of the driver instead of tables, which only spares it the jobs. Nodes are numbered in order of their ids, and ties are broken by
+hashes, so results do not depend on partitioning.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork import fixed_values as V
+from knotwork.operators import small_community
 from knotwork.operators.components import components
 from knotwork.operators.traverse import numbered
 from knotwork.runtime import cut, tables
@@ -32,6 +36,8 @@ MAX_SPLITS, MIN_SPLIT_SIZE, SPLIT_FACTOR = 3, 4, 1.5
 ROUNDS, PATIENCE, GAIN, PASSES, PASS_GAIN = 40, 3, 1e-3, 3, 3e-3
 #: Differences below this are rounding.
 SAME = 1e-9
+#: Links of a level that come to the driver.
+FEW = 20_000
 Keep = Callable[[DataFrame], DataFrame]
 
 
@@ -43,6 +49,8 @@ def links(edges: DataFrame) -> DataFrame:
 def _moved(keep: Keep, linked: DataFrame, start: DataFrame, resolution: float, seed: int) -> tuple[DataFrame, float]:
     """(id, c) after local moves over links (a, b, w) from ``start`` (id, m, c), and its value; m is the weight of all links
     that count for a node."""
+    if linked.count() <= FEW:
+        return _moved_here(linked, start, resolution, seed)
     ends = linked.select(F.explode(F.array("a", "b")).alias("id"), "w", F.when(F.col("a") == F.col("b"), F.col("w") / 2).otherwise(0.0).alias("loop"))
     state = keep(ends.groupBy("id").agg(F.sum("w").alias("k"), F.sum("loop").alias("loop")).join(start, "id").select("id", "k", "m", "loop", "c"))
     apart = linked.where("a <> b").select("a", "b", "w")
@@ -57,7 +65,7 @@ def _moved(keep: Keep, linked: DataFrame, start: DataFrame, resolution: float, s
         mine = known.select(F.col("id").alias("a"), "k", "m", "c", F.lit(0.0).alias("w"), "all", F.lit(True).alias("own"), "loop")
         options = to.unionByName(mine).groupBy("a", "k", "m", "c").agg(F.sum("w").alias("into"), F.max("all").alias("all"), F.max("own").alias("own"), F.max("loop").alias("loop"))
         others = F.col("all") - F.when(F.col("own"), F.col("k")).otherwise(0.0)
-        options = options.withColumn("gain", F.round(F.col("into") - resolution * others * F.col("k") / (2 * F.col("m")), 9))
+        options = options.withColumn("gain", F.col("into") - resolution * others * F.col("k") / (2 * F.col("m")))
         other = F.struct("gain", by_chance(F.col("c")).alias("chance"), "c")
         per = options.groupBy("a", "k", "m").agg(
             F.max(F.when(F.col("own"), F.struct("c", "gain", "into", "all", "loop"))).alias("here"),
@@ -69,7 +77,7 @@ def _moved(keep: Keep, linked: DataFrame, start: DataFrame, resolution: float, s
         # the value of the state before the moves comes with them
         worth = (F.col("here.into") / 2 + F.col("here.loop")) / F.col("m") - resolution * F.col("k") * F.col("here.all") / (4 * F.col("m") * F.col("m"))
         new = keep(per.select(F.col("a").alias("id"), "k", "m", F.col("here.loop").alias("loop"), F.when(go, F.col("best.c")).otherwise(F.col("here.c")).alias("c"), worth.alias("worth"), go.alias("go"), wants.alias("wants")))
-        seen = new.agg(F.sum("worth").alias("value"), F.count_if("go").alias("moves"), F.count_if("wants").alias("wanting")).first()
+        seen = new.agg(F.round(F.sum("worth"), 12).alias("value"), F.count_if("go").alias("moves"), F.count_if("wants").alias("wanting")).first()
         if seen.value is None:
             break
         if seen.value > most:
@@ -84,6 +92,27 @@ def _moved(keep: Keep, linked: DataFrame, start: DataFrame, resolution: float, s
     return best.select("id", "c"), most
 
 
+Arrays = tuple[np.ndarray, ...]
+
+
+def _arrays(linked: DataFrame, nodes: DataFrame) -> Arrays:
+    """The nodes with links, in order, their m and c, and places and weights of links: at most ``FEW`` links come to the driver."""
+    links = linked.toArrow()
+    ends = linked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    state = nodes.join(ends, "id", "left_semi").orderBy("id").toArrow()
+    ids, m, c = (state.column(x).to_numpy() for x in ("id", "m", "c"))
+    return ids, m, c, *(np.searchsorted(ids, links.column(x).to_numpy()) for x in "ab"), links.column("w").to_numpy()
+
+
+def _moved_here(linked: DataFrame, start: DataFrame, resolution: float, seed: int) -> tuple[DataFrame, float]:
+    """``_moved`` over arrays."""
+    ids, m, c, a, b, w = _arrays(linked, start)
+    if not len(ids):
+        return start.select("id", "c").limit(0), float("-inf")
+    c, value = small_community.moved(ids, m, c, a, b, w, resolution, seed, ROUNDS, PATIENCE, GAIN, SAME)
+    return linked.sparkSession.createDataFrame(pa.table({"id": ids, "c": c})), value
+
+
 def _contracted(keep: Keep, linked: DataFrame, place: DataFrame) -> DataFrame:
     """The links between the communities ``place`` (id, c) of the nodes."""
     side = lambda end: place.select(F.col("id").alias(end), F.col("c").alias(f"c{end}"))
@@ -96,6 +125,10 @@ def partition(keep: Keep, linked: DataFrame, nodes: DataFrame, resolution: float
 
     Links join only nodes of equal m, the weight of all links that modularity is measured by. Nodes without links are left out.
     """
+    if linked.count() <= FEW:
+        ids, m, _, a, b, w = _arrays(linked, nodes.withColumn("c", F.col("id")))
+        place = small_community.partition(ids, m, a, b, w, resolution, seed, PASSES, PASS_GAIN, ROUNDS, PATIENCE, GAIN, SAME)
+        return keep(linked.sparkSession.createDataFrame(pa.table({"id": ids, "c": place})))
     place, value = nodes.select("id", F.col("id").alias("c")), float("-inf")
     for _ in range(PASSES):
         place, now = _moved(keep, linked, nodes.join(place, "id").select("id", "m", "c"), resolution, seed)

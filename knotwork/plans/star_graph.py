@@ -77,5 +77,5 @@ edges AS (
   UNION ALL SELECT DISTINCT 'part::' || l_partkey, 'supplier::' || l_suppkey, 'inherits', NULL, 'part', NULL, 'INFERRED', 7, l_partkey, l_suppkey FROM lineitem
 ),
 both_ways AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges),
-degrees AS (SELECT n.id, CAST(count(e.id) AS BIGINT) AS degree FROM nodes n LEFT JOIN (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) e ON e.id = n.id GROUP BY n.id)
+degrees AS MATERIALIZED (SELECT n.id, CAST(count(e.id) AS BIGINT) AS degree FROM nodes n LEFT JOIN (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) e ON e.id = n.id GROUP BY n.id)
 """

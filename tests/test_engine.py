@@ -1,4 +1,5 @@
 import json
+from types import SimpleNamespace
 import re
 import threading
 import time
@@ -85,7 +86,7 @@ def fold_model(order, node_line, succ, pred, room):
     return "\n".join(out)
 
 
-def test_fold_equals_model():
+def test_fitted_equals_model():
     import random
 
     rnd = random.Random(1)
@@ -99,7 +100,11 @@ def test_fold_equals_model():
             pred.setdefault(t, []).append(s)
         text = lambda s, t: f"{s}>{t}" * 3
         room = rnd.randint(0, 300)
-        got = render.fold(ids, lines, {s: [(t, text(s, t)) for t in ts] for s, ts in succ.items()}, {t: [(s, text(s, t)) for s in ss] for t, ss in pred.items()}, room)
+        row = lambda line, owner=None, nth=None: SimpleNamespace(line=line, cost=len(line) + 1, owner=owner, owner_nth=nth)
+        parts = {(i, 0): [row(lines[x])] for i, x in enumerate(ids)} | {(i, 1): [row(text(x, t)) for t in succ[x]] for i, x in enumerate(ids) if x in succ}
+        for i, x in enumerate(ids):
+            parts[i, 2] = [row(text(s, x), ids.index(s), succ[s].index(x) + 1) for s in pred.get(x, []) if ids.index(s) <= i]
+        got = render.fitted(parts, room)
         assert got == fold_model(ids, lines, succ, pred, room)
 
 
@@ -148,20 +153,16 @@ def test_nodelink_last_wins_and_stubs(spark, tmp_path):
     assert json.loads((tmp_path / "h.json").read_text())["nodes"][0] == {"id": "a", "name": "2", "odd": "x"}
 
 
-def test_communities(spark, engine, monkeypatch):
-    monkeypatch.setattr(community, "COARSE_ROUNDS", 2)
-    monkeypatch.setattr(community, "COARSE_LEVELS", 1)
-    monkeypatch.setattr(community, "MAX_SPLITS", 1)
+def test_communities(spark, engine):
     g = engine.graph()
-    for limit in (community.GROUP_EDGES, 3):  # the second coarsens by whole-table rounds first
-        c = community.communities(g, group_edges=limit)
-        rows = c.collect()
-        assert sorted(r.id for r in rows) == sorted(r.id for r in g.nodes.select("id").collect())
-        assert {r.community for r in rows} == set(range(len({r.community for r in rows})))
-        comp = {r.id: r.component for r in traverse.connected_components(g.nodes, g.edges).collect()}
-        assert all(len({comp[r.id] for r in rows if r.community == k}) == 1 for k in {r.community for r in rows})
-        whole = traverse.connected_components(g.nodes, g.edges).select(F.col("component").alias("community"), "id")
-        assert community.modularity(g.edges, c).first()[0] >= community.modularity(g.edges, whole).first()[0] > 0
+    c = community.communities(g)
+    rows = c.collect()
+    assert sorted(r.id for r in rows) == sorted(r.id for r in g.nodes.select("id").collect())
+    assert {r.community for r in rows} == set(range(len({r.community for r in rows})))
+    comp = {r.id: r.component for r in traverse.connected_components(g.nodes, g.edges).collect()}
+    assert all(len({comp[r.id] for r in rows if r.community == k}) == 1 for k in {r.community for r in rows})
+    whole = traverse.connected_components(g.nodes, g.edges).select(F.col("component").alias("community"), "id")
+    assert community.modularity(g.edges, c).first()[0] >= community.modularity(g.edges, whole).first()[0] > 0
     again = community.communities(Engine(spark, engine.out).graph())
     assert sorted(again.collect()) == sorted(community.communities(g).collect())
 
