@@ -13,7 +13,7 @@ class Folder:
     def __init__(self, spark: SparkSession, path: str | os.PathLike):
         path = os.fspath(path)
         self.uri = (path if "://" in path else f"file://{os.path.abspath(path)}").rstrip("/")
-        self._jvm = spark._jvm
+        self._jvm, self._gateway = spark._jvm, spark.sparkContext._gateway
         self._fs = self._path().getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _path(self, name: str = ""):
@@ -51,9 +51,12 @@ class Folder:
         self._replace(other, name)
 
     def _replace(self, other, name: str) -> None:
-        self._fs.delete(self._path(name), False)
-        if not self._fs.rename(other, self._path(name)):
-            raise OSError(f"cannot write {self.at(name)}")
+        """One rename over the old file, which stores with such a rename do at once, so readers find the old or the new one."""
+        over = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+        how = self._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        how[0] = over
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._fs.getConf())
+        context.rename(other, self._path(name), how)
 
     def delete(self, name: str = "") -> bool:
         return self._fs.delete(self._path(name), True)

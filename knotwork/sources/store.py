@@ -16,13 +16,16 @@ POINTER = "tables/CURRENT"
 
 
 def save_graph(graph: Graph, out: Folder) -> Graph:
-    """Write nodes and edges to a new folder, then switch a pointer file to it; readers see the old or the new state."""
+    """Write nodes and edges to a new folder, then switch a pointer file to it; readers see the old or the new state.
+
+    The pointer names the new folder and the one before it, which readers may still hold; older ones are deleted.
+    """
     name = uuid.uuid4().hex
     graph.nodes.write.parquet(out.at(f"tables/{name}/nodes"))
     graph.edges.write.parquet(out.at(f"tables/{name}/edges"))
-    old = out.read(POINTER).strip() if has_graph(out) else ""
-    out.write(POINTER, name)
-    if old and old != name:
+    before = out.read(POINTER).split() if has_graph(out) else []
+    out.write(POINTER, "\n".join([name, *before[:1]]))
+    for old in before[1:]:
         out.delete(f"tables/{old}")
     return load_graph(graph.nodes.sparkSession, out)
 
@@ -32,7 +35,7 @@ def has_graph(out: Folder) -> bool:
 
 
 def load_graph(spark: SparkSession, out: Folder) -> Graph:
-    name = out.read(POINTER).strip()
+    name = out.read(POINTER).split()[0]
     return Graph(spark.read.parquet(out.at(f"tables/{name}/nodes")), spark.read.parquet(out.at(f"tables/{name}/edges")))
 
 
