@@ -89,3 +89,16 @@ QUESTION_BY_TYPE = {
 QUESTION_OTHERWISE = ("What is `", "`?")
 QUESTION_SUBSYSTEMS = "How are the major subsystems connected?"
 QUESTION_ENTRY = "What's the architectural entry point of this project?"
+
+# --- Fixed values: wording of answers ------------------------------------------------------------------------------
+
+SAY_NO_TERMS = "No usable terms in question. Try keywords from the codebase."
+SAY_NO_MATCH = "No matching nodes for terms: {}"
+SAY_DID_YOU_MEAN = "Did you mean one of these high-degree nodes?"
+SAY_UNKNOWN = "Unknown node: {}"
+SAY_NO_ENDPOINT = "One or both endpoints not found: {} -> {}"
+SAY_NO_PATH = "No path between {} and {}"
+HEAD_ANSWER = "QUESTION: {}\nTERMS: {}\nSEEDS: {}\nDEPTH: {} STRATEGY: {} BUDGET: {} tokens\n"
+HEAD_EXPLAIN = "NODE: {}\n"
+HEAD_PATH = "PATH ({} nodes):\n"
+HEAD_AFFECTED = "AFFECTED by {} (depth {}):\n"

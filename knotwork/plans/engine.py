@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knotwork.functions import code
 from knotwork.operators import community, merge, render
 from knotwork.runtime import cut
 from knotwork.schema import Graph
@@ -29,6 +30,7 @@ class Engine:
     def __init__(self, spark: SparkSession, out: str | Path | None = None, cache_by_content: bool = False):
         self.spark, self.out = spark, output_dir(out)
         self.folder = Folder(spark, self.out)
+        code.register(spark)
         self.cache = store.Cache(spark, Folder(spark, self.folder.at("cache")), cache_by_content)
 
     # state
