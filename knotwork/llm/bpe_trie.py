@@ -34,9 +34,11 @@ from knotwork.runtime import KEPT, ship_package, trimmed
 
 END = "</w>"
 NEVER = 1 << 60
+#: Pairs of tokens whose compatibility is kept.
+PAIRS = 300_000
 #: Bytes of pieces and of words kept in each of two generations, and what an entry costs beside its text; characters from which
 #: a piece or word is not kept; pieces of one trie, documents and characters handled at once.
-KEEP_PIECES, KEEP_WORDS, ENTRY, LONG, TRIE_PIECES, AT_ONCE_DOCS, AT_ONCE_CHARS = 40_000_000, 100_000_000, 180, 1000, 50_000, 512, 2_000_000
+KEEP_PIECES, KEEP_WORDS, ENTRY, LONG, TRIE_PIECES, AT_ONCE_DOCS, AT_ONCE_CHARS = 24_000_000, 60_000_000, 180, 1000, 20_000, 256, 1_000_000
 
 #: Pieces of visible ASCII and the letters of Latin-1: composed, and changed by lower case alone.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -148,7 +150,7 @@ class TrieBpe:
                     i += 1
                 else:
                     j += 1
-            if len(self.pairs) > 500_000:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             self.pairs[left, right] = known
         return known
