@@ -15,19 +15,27 @@ from knotwork.sources.files import Folder
 POINTER = "tables/CURRENT"
 
 
-def save_graph(graph: Graph, out: Folder) -> Graph:
+FILES = "rel string, sha256 string, file_ord long, version string"
+
+
+def save_graph(graph: Graph, out: Folder, files: DataFrame | None = None) -> Graph:
     """Write nodes and edges to a new folder, then switch a pointer file to it; readers see the old or the new state.
 
-    The pointer names the new folder and the one before it, which readers may still hold; older ones are deleted.
+    The pointer names the new folder and the one before it, which readers may still hold; older ones are deleted. ``files`` (rel,
+    sha256, file_ord) are those the graph was merged from, with their places; without them the stored ones stay.
     """
+    spark = graph.nodes.sparkSession
+    kept = files.select("rel", "sha256", "file_ord", F.lit(VERSION).cast("string").alias("version")) if files is not None else load_files(spark, out)
     name = uuid.uuid4().hex
     graph.nodes.write.parquet(out.at(f"tables/{name}/nodes"))
     graph.edges.write.parquet(out.at(f"tables/{name}/edges"))
+    if kept is not None:
+        kept.write.parquet(out.at(f"tables/{name}/files"))
     before = out.read(POINTER).split() if has_graph(out) else []
     out.write(POINTER, "\n".join([name, *before[:1]]))
     for old in before[1:]:
         out.delete(f"tables/{old}")
-    return load_graph(graph.nodes.sparkSession, out)
+    return load_graph(spark, out)
 
 
 def has_graph(out: Folder) -> bool:
@@ -39,6 +47,12 @@ def load_graph(spark: SparkSession, out: Folder) -> Graph:
     return Graph(spark.read.parquet(out.at(f"tables/{name}/nodes")), spark.read.parquet(out.at(f"tables/{name}/edges")))
 
 
+def load_files(spark: SparkSession, out: Folder) -> DataFrame | None:
+    """The files that the stored graph was merged from; None where they were not kept."""
+    path = f"tables/{out.read(POINTER).split()[0]}/files" if has_graph(out) else ""
+    return spark.read.schema(FILES).parquet(out.at(path)) if path and out.exists(path) else None
+
+
 def shrinks(prior_nodes: int, new_nodes: int) -> bool:
     """Whether a new graph is so much smaller that it should not replace the old one unasked."""
     return prior_nodes > new_nodes * 1.5
@@ -48,7 +62,7 @@ class Cache:
     """Extraction rows by (version, path, content hash); with ``by_content`` by (version, content hash) alone."""
 
     def __init__(self, spark: SparkSession, folder: Folder, by_content: bool = False):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self.by_content = spark, folder, by_content
         self.keys = ["sha256"] if by_content else ["rel", "sha256"]
 
     @property
@@ -65,10 +79,12 @@ class Cache:
         rows = self.rows()
         known = rows.select(*self.keys).distinct()
         first = rows.join(rows.where("id IS NOT NULL").groupBy(*self.keys).agg(F.min("rel").alias("rel_0")), self.keys).where("rel = rel_0").drop("rel_0") if "rel" not in self.keys else rows
-        here = contents.select("file_ord", *self.keys)
+        return self.at_places(first, contents), contents.join(known, self.keys, "left_anti")
+
+    def at_places(self, rows: DataFrame, contents: DataFrame) -> DataFrame:
+        """The rows of present files, with their present order."""
         o = F.struct("file_ord", "ord.phase", "ord.ordinal", "ord.sub")
-        hits = first.join(here, self.keys).withColumn("ord", o).drop("file_ord")
-        return hits.select(*rows.columns), contents.join(known, self.keys, "left_anti")
+        return rows.join(contents.select("file_ord", *self.keys), self.keys).withColumn("ord", o).select(*rows.columns)
 
     def add(self, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(self.folder.at(self.version))
