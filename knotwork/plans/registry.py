@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from knotwork import fixed_values as V
 from knotwork.functions import code, text
-from knotwork.operators import analytics, community, merge, render, search, traverse
+from knotwork.operators import analytics, community, incremental, merge, render, search, traverse
 from knotwork.plans.star_graph import STAR_SQL, star_graph
 from knotwork.runtime import cut, scratch_path
 from knotwork.schema import Graph
@@ -320,6 +320,72 @@ def merge_edges(spark, sf_dir):
     return longs(merge.merge_edges(rows).select("source", "target", "type", "symbol", "line"), "line")
 
 
+#: Orders as files that sight themselves, their customer and their parts. Before the change all orders but pending ones are there; then
+#: pending ones come, urgent ones go, and those of low priority lose their parts and get other lines.
+CHANGED_SQL = """
+f AS (SELECT o.*, o_orderstatus <> 'P' AS base, o_orderpriority NOT LIKE '1-%' AS present, o_orderpriority LIKE '5-%' AS low FROM orders o),
+m AS (SELECT *, base AND (low OR NOT present) AS gone, present AND (low OR NOT base) AS came FROM f),
+n AS (
+  SELECT 'order::' || o_orderkey AS id, 'file' AS type, label AS name, line, o_orderkey AS k FROM (SELECT *, 'order.' || o_orderpriority AS label, o_orderkey + CASE WHEN low THEN 1000000 ELSE 0 END AS line FROM m WHERE present)
+  UNION ALL SELECT 'customer::' || o_custkey, 'class', 'of ' || o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderkey END, o_orderkey FROM m WHERE present
+),
+e AS (
+  SELECT 'order::' || o_orderkey AS source, 'customer::' || o_custkey AS target, 'calls' AS type, o_orderstatus AS symbol, o_orderkey + CASE WHEN low THEN 1000000 ELSE 0 END AS line FROM m WHERE present
+  UNION ALL SELECT DISTINCT 'order::' || o_orderkey, 'part::' || l_partkey, 'links', NULL, o_orderkey FROM m JOIN lineitem ON l_orderkey = o_orderkey WHERE present AND NOT low
+),
+touched AS (
+  SELECT 'order::' || o_orderkey AS id FROM m WHERE gone OR came UNION SELECT 'customer::' || o_custkey FROM m WHERE gone OR came
+  UNION SELECT 'part::' || l_partkey FROM m JOIN lineitem ON l_orderkey = o_orderkey WHERE gone OR (came AND NOT low)
+)
+"""
+
+
+def _order_rows(files: DataFrame, lines: DataFrame, low: Column) -> Graph:
+    """The unmerged rows of orders as files; orders that are ``low`` show other lines and no parts."""
+    k = F.col("o_orderkey")
+    line = (k + F.when(low, 1_000_000).otherwise(0)).cast("int")
+    place = lambda phase, at, sub: F.struct(k.cast("long").alias("file_ord"), F.lit(phase).alias("phase"), at.cast("long").alias("ordinal"), F.lit(sub).alias("sub")).alias("ord")
+    name = lambda table, key: F.concat(F.lit(f"{table}::"), F.col(key).cast("string"))
+    me, customer = name("order", "o_orderkey"), name("customer", "o_custkey")
+    nodes = files.select(me.alias("id"), F.lit("file").alias("type"), F.concat(F.lit("order."), "o_orderpriority").alias("name"), line.alias("line"), place(0, F.lit(0), 0)).unionByName(
+        files.select(customer.alias("id"), F.lit("class").alias("type"), F.concat(F.lit("of "), k.cast("string")).alias("name"), F.when(F.col("o_orderstatus") != "F", k).cast("int").alias("line"), place(0, F.lit(1), 0)))
+    edges = files.select(me.alias("source"), customer.alias("target"), F.lit("calls").alias("type"), F.col("o_orderstatus").alias("symbol"), line.alias("line"), place(1, F.lit(0), 0))
+    parts = files.where(~low).join(lines, k == F.col("l_orderkey"))
+    links = parts.select(me.alias("source"), name("part", "l_partkey").alias("target"), F.lit("links").alias("type"), F.lit(None).cast("string").alias("symbol"), k.cast("int").alias("line"), place(1, F.col("l_partkey") + 1, 0))
+    return Graph(nodes, edges.unionByName(links))
+
+
+def _orders_changed(spark, sf_dir) -> tuple[Graph, DataFrame, incremental.Touched, incremental.Merged]:
+    """The graph of orders before a change, its degrees, and the incremental merge of the change."""
+    f, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    base, present, low = F.col("o_orderstatus") != "P", ~F.col("o_orderpriority").startswith("1-"), F.col("o_orderpriority").startswith("5-")
+    rows = _order_rows(f.where(base), lines, F.lit(False))
+    built = merge.build(rows.nodes, rows.edges)
+    before = Graph(cut(built.nodes), cut(built.edges))
+    touched = incremental.Touched.by(_order_rows(f.where(base & (low | ~present)), lines, F.lit(False)), _order_rows(f.where(present & (low | ~base)), lines, low))
+    return before, analytics.degree(before.nodes, before.edges), touched, incremental.merged(before, touched, _order_rows(f.where(present), lines, low))
+
+
+@query(f"""WITH {CHANGED_SQL},
+known AS (SELECT id, max(type) AS type, min_by(name, k) AS name, CAST(min_by(line, k) FILTER (line IS NOT NULL) AS BIGINT) AS line FROM n GROUP BY id),
+stubs AS (SELECT DISTINCT target AS id, 'stub' AS type, target AS name, CAST(NULL AS BIGINT) AS line FROM e WHERE type = 'links'),
+ends AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY id)
+SELECT x.id, x.type, x.name, x.line, CAST(coalesce(degree, 0) AS BIGINT) AS degree, t.id IS NOT NULL AS anew
+FROM (SELECT * FROM known UNION ALL SELECT * FROM stubs) x LEFT JOIN ends USING (id) LEFT JOIN touched t ON t.id = x.id""")
+def incremental_nodes(spark, sf_dir):
+    """Nodes and degrees after orders came, went and changed, and which of them were merged anew."""
+    before, known, touched, after = _orders_changed(spark, sf_dir)
+    anew = after.anew.nodes.select("id", F.lit(True).alias("anew"))
+    x = after.graph.nodes.join(incremental.degrees(known, before, after, touched), "id").join(anew, "id", "left")
+    return longs(x.select("id", "type", "name", "line", "degree", F.coalesce("anew", F.lit(False)).alias("anew")), "line")
+
+
+@query(f"WITH {CHANGED_SQL} SELECT source, target, type, symbol, CAST(line AS BIGINT) AS line FROM e")
+def incremental_edges(spark, sf_dir):
+    """Edges after the same change."""
+    return longs(_orders_changed(spark, sf_dir)[3].graph.edges.select("source", "target", "type", "symbol", "line"), "line")
+
+
 @query("SELECT DISTINCT 'supplier::' || s AS id, 'stub' AS type, 'supplier::' || s AS name, 'INFERRED' AS confidence FROM (SELECT s_suppkey AS s FROM supplier UNION SELECT l_suppkey FROM lineitem)")
 def stub_nodes(spark, sf_dir):
     """Suppliers as endpoints while their nodes are left out."""
