@@ -21,6 +21,7 @@ from knotwork.runtime import cut, scratch_path
 from knotwork.schema import Graph
 from knotwork.sources import discover, extract, nodelink, sinks, store
 from knotwork.sources.files import Folder
+from knotwork.streaming import changes
 
 QUESTION = "How does the blue gear of Brand#12 reach customer_7 and widget suppliers?"
 TERMS = text.terms_of(QUESTION)
@@ -758,3 +759,19 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = search.seed_ranks(g.nodes, TERMS).select("id", (F.col("rank") - 1).alias("pos"))
     reached = traverse.bfs(g, first, 2)
     return reached.join(render.node_lines(g.nodes), "id").select("pos", "depth", "id", "line")
+
+
+# --- Streams ---------------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH l AS (SELECT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day, max_by(struct_pack(gone := event_type = 'error', v := value), (ts, event_id)) AS now FROM events GROUP BY ALL),
+x AS (SELECT user_id, day, now, lag(now) OVER (PARTITION BY user_id ORDER BY day) AS was FROM l),
+y AS (SELECT user_id, CAST(day AS BIGINT) AS day, CASE WHEN NOT now.gone AND coalesce(was.gone, true) THEN 'added' WHEN now.gone AND NOT coalesce(was.gone, true) THEN 'deleted'
+  WHEN NOT now.gone AND was.v IS DISTINCT FROM now.v THEN 'changed' END AS change, CASE WHEN NOT now.gone THEN now.v END AS value FROM x)
+SELECT * FROM y WHERE change IS NOT NULL""")
+def event_changes(spark, sf_dir):
+    """Events as a log of single changes to users, errors as deletions: the net changes of every day."""
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long")
+    x = changes.net_changes(table(spark, sf_dir, "events"), ["user_id"], day, ["ts", "event_id"], "value", F.col("event_type") == "error")
+    return x.select("user_id", F.col("offset").alias("day"), "change", "value")
