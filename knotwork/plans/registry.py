@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from knotwork import fixed_values as V
 from knotwork.functions import code, text
-from knotwork.operators import analytics, community, incremental, merge, render, search, traverse
+from knotwork.operators import analytics, community, incremental, merge, render, search, text_index, traverse
 from knotwork.plans.star_graph import STAR_SQL, star_graph
 from knotwork.runtime import cut, scratch_path
 from knotwork.schema import Graph
@@ -437,6 +437,35 @@ def score_nodes(spark, sf_dir):
     return search.scored(star_graph(spark, sf_dir).nodes, TERMS)
 
 
+#: The terms of all turns of all conversations, and the points of each term and node.
+ASKED_SQL = f""", asked AS (SELECT DISTINCT conv_id, turn, lower(t) AS term FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]+')) AS t FROM conversations) WHERE lower(t) NOT IN {V.STOP_WORDS}),
+lows AS (SELECT id, type, lower(name) AS low, lower(id) AS low_id, split_part(split_part(lower(name), '.', -1), '::', -1) AS short FROM nodes),
+each_term AS (SELECT DISTINCT term FROM asked),
+matched AS MATERIALIZED (SELECT * FROM (SELECT term, id, type, CASE WHEN low = term OR short = term THEN 10 WHEN contains(low, term) THEN 5 WHEN contains(low_id, term) THEN 2
+  WHEN (length(short) >= k AND length(term) >= k AND left(short, k) = left(term, k)) OR (length(low) >= k AND length(term) >= k AND left(low, k) = left(term, k)) THEN 3 ELSE 0 END AS points
+  FROM (SELECT *, greatest(4, least(length(term), length(short)) // 2) AS k FROM each_term, lows)) WHERE points > 0)
+"""
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(text.terms(F.col("text"))).alias("term"))
+
+
+@query(f"{ASKED_SQL} SELECT term, count(*) AS matches, CAST(sum(points) AS BIGINT) AS points, min_by(id, (-points, id)) AS best FROM matched GROUP BY term", star=True)
+def term_matches(spark, sf_dir):
+    """Every term of all conversations looked up in the index of the star graph's names."""
+    x = text_index.term_scores(star_graph(spark, sf_dir).nodes, _asked(spark, sf_dir))
+    return x.groupBy("term").agg(F.count("*").alias("matches"), F.sum("points").cast("long").alias("points"), F.min_by("id", F.struct(-F.col("points"), "id")).alias("best"))
+
+
+@query(f"""{ASKED_SQL}, total AS (SELECT conv_id, turn, id, CAST(sum(points) + max(CASE WHEN type IN {V.FAVOURED_TYPES} THEN 1 ELSE 0 END) AS BIGINT) AS score FROM asked JOIN matched USING (term) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, id) AS rank FROM total)
+SELECT * FROM ranked WHERE rank <= {V.SEEDS}""", star=True)
+def question_seeds(spark, sf_dir):
+    """The seeds of every turn of all conversations as a question to the star graph."""
+    return text_index.question_seeds(star_graph(spark, sf_dir).nodes, _asked(spark, sf_dir), ["conv_id", "turn"])
+
+
 @query(f"{SEEDS_SQL} SELECT id, score FROM seeds", star=True)
 def seeds(spark, sf_dir):
     return search.seeds(star_graph(spark, sf_dir).nodes, TERMS)
