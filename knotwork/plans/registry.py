@@ -440,7 +440,8 @@ def score_nodes(spark, sf_dir):
 #: The terms of all turns of all conversations, and the points of each term and node.
 ASKED_SQL = f""", asked AS (SELECT DISTINCT conv_id, turn, lower(t) AS term FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]+')) AS t FROM conversations) WHERE lower(t) NOT IN {V.STOP_WORDS}),
 lows AS (SELECT id, type, lower(name) AS low, lower(id) AS low_id, split_part(split_part(lower(name), '.', -1), '::', -1) AS short FROM nodes),
-each_term AS (SELECT DISTINCT term FROM asked),
+all_names AS MATERIALIZED (SELECT string_agg(low || ' ' || low_id, ' ') AS text FROM lows),
+each_term AS MATERIALIZED (SELECT term FROM (SELECT DISTINCT term FROM asked), all_names WHERE contains(text, term) OR left(term, 4) IN (SELECT left(low, 4) FROM lows UNION SELECT left(short, 4) FROM lows)),
 matched AS MATERIALIZED (SELECT * FROM (SELECT term, id, type, CASE WHEN low = term OR short = term THEN 10 WHEN contains(low, term) THEN 5 WHEN contains(low_id, term) THEN 2
   WHEN (length(short) >= k AND length(term) >= k AND left(short, k) = left(term, k)) OR (length(low) >= k AND length(term) >= k AND left(low, k) = left(term, k)) THEN 3 ELSE 0 END AS points
   FROM (SELECT *, greatest(4, least(length(term), length(short)) // 2) AS k FROM each_term, lows)) WHERE points > 0)
