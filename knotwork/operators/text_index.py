@@ -69,6 +69,11 @@ def term_scores(nodes: DataFrame, terms: DataFrame) -> DataFrame:
 def question_seeds(nodes: DataFrame, questions: DataFrame, keys: list[str], k: int = V.SEEDS) -> DataFrame:
     """(keys, rank, id, score): the k best nodes of each question of ``questions`` (keys, term), ties by id."""
     asked = questions.select(*keys, "term").distinct()
-    x = asked.join(term_scores(nodes, asked), "term").groupBy(*keys, "id").agg((F.sum("points") + F.max(favoured(F.col("type")))).cast("long").alias("score"))
+    pairs = term_scores(nodes, asked)
+    # nodes with the same points for every term tie in every question, so only the k smallest ids of each such profile can be seeds
+    profiles = pairs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", "points"))).alias("profile"), F.max(favoured(F.col("type"))).alias("favour"))
+    first = profiles.withColumn("r", F.row_number().over(Window.partitionBy("profile", "favour").orderBy("id"))).where(F.col("r") <= k)
+    few = first.select("id", "favour", F.explode("profile").alias("p")).select("id", "favour", "p.term", "p.points")
+    x = asked.join(few, "term").groupBy(*keys, "id").agg((F.sum("points") + F.max("favour")).cast("long").alias("score"))
     x = x.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "id")).cast("long")).where(F.col("rank") <= k)
     return x.select(*keys, "rank", "id", "score")
