@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import secrets
 from collections.abc import Callable
 
 import public_tokenizers
@@ -21,11 +22,19 @@ TEST_KEY = "key of tests"
 
 
 def pii_key(spark: SparkSession) -> str:
-    """The secret key of pseudonyms, from the session's settings; only local masters may do without it."""
-    key = spark.conf.get("spark.knotwork.pii.key", None)
-    if not key and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.knotwork.pii.key: without a secret key anyone can reverse the pseudonyms")
-    return key or TEST_KEY
+    """The secret key of pseudonyms, from the session's settings.
+
+    Without one, local masters take a fixed key, for tests; on a cluster a key is drawn by chance, once per application: the same values
+    get the same pseudonyms in all its queries, other pseudonyms in another application, and nobody can reverse them.
+    """
+    sc = spark.sparkContext
+    if key := spark.conf.get("spark.knotwork.pii.key", None):
+        return key
+    if sc.master.startswith("local"):
+        return TEST_KEY
+    if not getattr(sc, "_knotwork_pii_key", None):
+        sc._knotwork_pii_key = secrets.token_hex(32)
+    return sc._knotwork_pii_key
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The registered queries with SQL equal it over the small tables; the others give a row for each row of their table."""
 
 from pathlib import Path
+from types import SimpleNamespace
 
 import duckdb
 import pytest
@@ -40,3 +41,13 @@ def test_held_out_accuracy(spark, name, column, least):
     truth = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/labels.parquet" if name == "op4_quality" else f"{sf}/documents.parquet").select("doc_id", "quality" if name == "op4_quality" else "lang").collect()}
     both = [(v, truth[k]) for k, v in got.items() if truth.get(k) is not None]
     assert len(both) > 50 and sum(a == b for a, b in both) >= least * len(both)
+
+
+@pytest.mark.parametrize("given", [None, "mine"])
+def test_pii_key_on_a_cluster(given):
+    """A cluster session without the setting gets a key of its own, the same in all its queries, and none that stands in the sources."""
+    session = lambda: SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: given), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    one, other = session(), session()
+    key = registry.pii_key(one)
+    assert key and key == registry.pii_key(one) != registry.TEST_KEY
+    assert (key == registry.pii_key(other)) == bool(given)
