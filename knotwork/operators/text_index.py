@@ -42,23 +42,34 @@ def postings(nodes: DataFrame) -> DataFrame:
 
 
 def lookups(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """(key, term, inside): the rarest run of each term (``inside``), none if a run is in no node, and its first characters."""
+    """(key, term, inside): the rarest run of each term (``inside``) and its first characters; none where no node has them all."""
     t = terms.select("term").where(F.length("term") >= 2).distinct()
     term = F.col("term")
-    mine = cut(t.select("term", F.explode(F.array_distinct(F.when(F.length(term) >= 3, runs(term, 3)).otherwise(runs(term, 2)))).alias("key")))
-    wanted = cut(mine.select("key").distinct())
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    sizes = index.select("key").join(wanted, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
-    best = mine.join(sizes, "key", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("b")).where("b.n > 0")
-    heads = t.select(head(term).alias("key"), "term", F.lit(False).alias("inside")).where("key IS NOT NULL")
-    return best.select("b.key", "term", F.lit(True).alias("inside")).unionByName(heads)
+    part = lambda key, inside: F.struct(key.alias("key"), F.lit(inside).alias("inside"))
+    inner = F.transform(F.array_distinct(F.when(F.length(term) >= 3, runs(term, 3)).otherwise(runs(term, 2))), lambda r: part(r, True))
+    mine = cut(t.select("term", F.explode(F.concat(inner, F.array(part(head(term), False)))).alias("p")).select("term", "p.key", "p.inside").where("key IS NOT NULL"))
+    # the keys of all nodes are counted before they meet those of the terms, so one row for each key and task is shuffled
+    sizes = index.groupBy("key").agg(F.count("*").alias("n")).join(mine.select("key").distinct(), "key", "left_semi")
+    return mine.join(sizes, "key", "left").groupBy("term", "inside").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("b")).where("b.n > 0").select("b.key", "term", "inside")
 
 
 def term_scores(nodes: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, id, type, points) of every node that a term of ``terms`` (term) matches, each pair once."""
-    index = postings(nodes)
+    return _scores(postings(nodes), *_looked_up(postings(nodes), terms))
+
+
+def _looked_up(index: DataFrame, terms: DataFrame) -> tuple[DataFrame, bool]:
+    """The lookups, evaluated, and whether they are few enough to be broadcast."""
     look = cut(lookups(index, terms))
-    look = F.broadcast(look) if look.count() <= BROADCAST_ROWS else look
+    return look, look.count() <= BROADCAST_ROWS
+
+
+def _scores(index: DataFrame, look: DataFrame, few: bool) -> DataFrame:
+    if few:
+        look = F.broadcast(look)
+    else:
+        # keys are runs of three characters and heads of four: what no term looks up is not shuffled
+        index = index.join(look.select("key").distinct(), "key", "left_semi")
     term = F.col("term")
     inside = F.contains("low", term) | F.contains("low_id", term)
     # what holds the term is kept under its run alone and the rest under the prefix alone, so no pair comes twice
@@ -67,13 +78,28 @@ def term_scores(nodes: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def question_seeds(nodes: DataFrame, questions: DataFrame, keys: list[str], k: int = V.SEEDS) -> DataFrame:
-    """(keys, rank, id, score): the k best nodes of each question of ``questions`` (keys, term), ties by id."""
+    """(keys, rank, id, score): the k best nodes of each question of ``questions`` (keys, term), ties by id.
+
+    Nodes with the same points for every term tie in every question: a profile. Only the k smallest ids of a profile can be
+    seeds, and only the k best profiles of a question, by score, then smallest id, since each one before them has a node before all of theirs. A
+    profile goes by sums of three 40-bit hashes, so a node is one row of a few numbers however many terms it matches.
+    """
     asked = questions.select(*keys, "term").distinct()
-    pairs = term_scores(nodes, asked)
-    # nodes with the same points for every term tie in every question, so only the k smallest ids of each such profile can be seeds
-    profiles = pairs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", "points"))).alias("profile"), F.max(favoured(F.col("type"))).alias("favour"))
-    first = profiles.withColumn("r", F.row_number().over(Window.partitionBy("profile", "favour").orderBy("id"))).where(F.col("r") <= k)
-    few = first.select("id", "favour", F.explode("profile").alias("p")).select("id", "favour", "p.term", "p.points")
-    x = asked.join(few, "term").groupBy(*keys, "id").agg((F.sum("points") + F.max("favour")).cast("long").alias("score"))
-    x = x.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "id")).cast("long")).where(F.col("rank") <= k)
+    index = postings(nodes)
+    look, few = _looked_up(index, asked)
+    favour = favoured(F.col("type"))
+    # sums count pairs of repeated nodes each time, and have room for 2^23 of them
+    mark = lambda seed: F.sum(F.shiftrightunsigned(F.xxhash64(F.lit(seed), "term", "points"), 24)).alias(f"p{seed}")
+    profiles = _scores(index, look, few).groupBy("id").agg(*map(mark, range(3)), F.max(favour).alias("favour"))
+    by = Window.partitionBy("p0", "p1", "p2", "favour").orderBy("id")
+    members = cut(profiles.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k).withColumn("first", F.min("id").over(by)).select("first", "id", "favour"))
+    ones = members.where("first = id").select("id", "favour")
+    ones = F.broadcast(ones) if ones.count() <= BROADCAST_ROWS else ones
+    points = cut(_scores(postings(nodes.join(ones, "id", "left_semi")), look, few).join(ones, "id").select(F.col("id").alias("first"), "term", "points", "favour"))
+    points = F.broadcast(points) if points.count() <= BROADCAST_ROWS else points
+    score = (F.sum("points") + F.max("favour")).cast("long").alias("score")
+    best = lambda *by: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), *by)).cast("long")
+    x = asked.join(points, "term").groupBy(*keys, "first").agg(score)
+    x = x.withColumn("rank", best("first")).where(F.col("rank") <= k).drop("rank")
+    x = x.join(members.select("first", "id"), "first").withColumn("rank", best("id")).where(F.col("rank") <= k)
     return x.select(*keys, "rank", "id", "score")

@@ -1,6 +1,7 @@
 """The index finds what the scan of one question finds."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from knotwork.operators import search, text_index, traverse
 from knotwork.schema import NODES
@@ -26,3 +27,13 @@ def test_equals_the_scan(spark, monkeypatch, few):
         assert got.get(k, []) == want, k
     assert text_index.question_seeds(nodes.limit(0), q, ["q"]).count() == 0 == text_index.question_seeds(nodes, q.limit(0), ["q"]).count()
     assert all(len(v) == 2 for v in [[x for x in text_index.question_seeds(nodes, q, ["q"], 2).collect() if x.q == "login"]])
+
+
+def test_lookups_hold_what_nodes_have(spark):
+    """Terms that meet no node leave no lookup, so their number does not decide how the index is joined; repeated nodes count each time."""
+    nodes = spark.createDataFrame([("n1", "class", "login"), ("n1", "class", "login"), ("n2", "class", "login"), ("n3", None, "logic")], "id string, type string, name string")
+    terms = spark.createDataFrame([("login",), ("qwertz",), ("logi",), ("asdfgh",)], "term string")
+    look = text_index.lookups(text_index.postings(nodes), terms)
+    assert {(r.term, r.inside) for r in look.collect()} == {("login", True), ("login", False), ("logi", True), ("logi", False)}
+    got = text_index.question_seeds(nodes, terms.withColumn("q", F.lit(1)), ["q"]).orderBy("rank").collect()
+    assert [(r.id, r.score) for r in got] == [("n1", 31), ("n2", 16), ("n3", 8)]
