@@ -31,6 +31,36 @@ def xxhash64(ints: tuple[int, ...], longs: np.ndarray) -> np.ndarray:
     return _spread(_turned(h, 27) * _P[0] + _P[3]).view(np.int64)
 
 
+def choices(ends, far, weight, at, label, total, k, m, resolution: float, seed: int, turn: int, same: float):  # noqa: ANN001, ANN201
+    """(nodes that move, where to, the weight of each node's links into its own community, number of nodes that would gain elsewhere).
+
+    ``ends`` are places of nodes in ``at``, ``k`` and ``m``; ``far``, the communities at the other ends, and ``at``, the nodes' own, are
+    places in ``label`` and ``total``.
+    """
+    n = len(at)
+    # a row for each node and community in reach, and for each node and its own
+    key, row = np.unique(np.concatenate([ends.astype(np.int64) * len(label) + far, np.arange(n) * len(label) + at]), return_inverse=True)
+    into = np.bincount(row, np.concatenate([weight, np.zeros(n)]))
+    node, to = key // len(label), key % len(label)
+    own = to == at[node]
+    gain = into - resolution * (total[to] - np.where(own, k[node], 0.0)) * k[node] / (2 * m[node])
+    here, here_into = np.zeros(n), np.zeros(n)
+    here[node[own]], here_into[node[own]] = gain[own], into[own]
+    receives = xxhash64((seed, turn // 2), label) % 2 == turn % 2
+    chance = xxhash64((turn,), label)
+    better = ~own & (gain > here[node] + same)
+    wants = len(np.unique(node[better]))
+    may = np.flatnonzero(better & receives[to] & ~receives[at[node]])
+    order = may[np.lexsort((label[to[may]], chance[to[may]], gain[may], node[may]))]
+    last = order[np.append(node[order][1:] != node[order][:-1], True)] if len(order) else order
+    return node[last], to[last], here_into, wants
+
+
+def worth(into, loop, total, k, m, resolution: float) -> np.ndarray:  # noqa: ANN001
+    """What each node adds to the value of a state."""
+    return (into / 2 + loop) / m - resolution * k * total / (4 * m * m)
+
+
 def moved(ids, m, c, a, b, w, resolution: float, seed: int, rounds: int, patience: int, least: float, same: float):  # noqa: ANN001, ANN201
     """(communities of ``ids`` after local moves from ``c``, value); links join places ``a`` and ``b`` of ids with weights w."""
     n, apart = len(ids), a != b
@@ -40,24 +70,8 @@ def moved(ids, m, c, a, b, w, resolution: float, seed: int, rounds: int, patienc
     for turn in range(rounds):
         label, at = np.unique(c, return_inverse=True)
         total = np.bincount(at, k)
-        # a row for each node and community in reach, and for each node and its own
-        key, row = np.unique(np.concatenate([ends * len(label) + at[far], np.arange(n) * len(label) + at]), return_inverse=True)
-        into = np.bincount(row, np.concatenate([weight, np.zeros(n)]))
-        node, to = key // len(label), key % len(label)
-        own = to == at[node]
-        gain = into - resolution * (total[to] - np.where(own, k[node], 0.0)) * k[node] / (2 * m[node])
-        here, here_into = np.zeros(n), np.zeros(n)
-        here[node[own]], here_into[node[own]] = gain[own], into[own]
-        receives = xxhash64((seed, turn // 2), label) % 2 == turn % 2
-        chance = xxhash64((turn,), label)
-        better = ~own & (gain > here[node] + same)
-        wants = len(np.unique(node[better]))
-        may = np.flatnonzero(~own & receives[to] & ~receives[at[node]])
-        order = may[np.lexsort((label[to[may]], chance[to[may]], gain[may], node[may]))]
-        last = order[np.append(node[order][1:] != node[order][:-1], True)] if len(order) else order
-        go = last[gain[last] > here[node[last]] + same]
-        worth = (here_into / 2 + loop) / m - resolution * k * total[at] / (4 * m * m)
-        value = round(float(worth.sum()), 12)
+        go, to, into, wants = choices(ends, at[far], weight, at, label, total, k, m, resolution, seed, turn, same)
+        value = round(float(worth(into, loop, total[at], k, m, resolution).sum()), 12)
         if value > most:
             best, most = c, value
         if before is not None:
@@ -66,7 +80,7 @@ def moved(ids, m, c, a, b, w, resolution: float, seed: int, rounds: int, patienc
             break
         before = value if len(go) else None
         c = c.copy()
-        c[node[go]] = label[to[go]]
+        c[go] = label[to]
     return best, most
 
 

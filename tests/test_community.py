@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from knotwork.operators import community, small_community, traverse
+from knotwork.operators import community, dealt_community, small_community, traverse
+from knotwork.runtime import tables
 from knotwork.schema import Graph
 
 
@@ -35,6 +36,49 @@ def test_tables_equal_arrays(spark, monkeypatch, resolution):
     assert sorted(map(tuple, community.communities(g, resolution).collect())) == arrays
 
 
+def test_parts_equal_arrays(spark, monkeypatch):
+    """A dozen parts, loops, nodes without links, and more than one level."""
+    g = planted(spark, 3, 8, 30, 8, 6)
+    g = Graph(g.nodes, g.edges.unionByName(spark.createDataFrame([("0-1", "0-1"), ("2-3", "2-3")], "source string, target string")))
+    for name, value in (("MAX_SPLITS", 0), ("PASSES", 1), ("ROUNDS", 6)):
+        monkeypatch.setattr(community, name, value)
+    arrays = sorted(map(tuple, community.communities(g).collect()))
+    monkeypatch.setattr(community, "FEW", -1)
+    monkeypatch.setattr(dealt_community, "PART_LINKS", 15)
+    made = []
+    real = dealt_community.n_parts
+    monkeypatch.setattr(dealt_community, "n_parts", lambda n: made.append(real(n)) or made[-1])
+    assert sorted(map(tuple, community.communities(g).collect())) == arrays
+    assert max(made) > 8
+
+
+def test_hubs_keep_the_rounds_by_links(spark, monkeypatch):
+    g = planted(spark, 2, 5, 12, 3, 7)
+    for name, value in (("MAX_SPLITS", 0), ("PASSES", 1), ("ROUNDS", 6)):
+        monkeypatch.setattr(community, name, value)
+    arrays = sorted(map(tuple, community.communities(g).collect()))
+    monkeypatch.setattr(community, "FEW", -1)
+    monkeypatch.setattr(community, "HUB", 0)
+    monkeypatch.setattr(dealt_community, "Parts", None)
+    assert sorted(map(tuple, community.communities(g).collect())) == arrays
+
+
+def test_a_round_shuffles_arrays_not_links(spark):
+    """Before, every round shuffled a row for each link and way; now at most a message of arrays for each two parts."""
+    linked = spark.range(40).selectExpr("id AS a").join(spark.range(40).selectExpr("id AS b")).where("a < b").withColumn("w", F.lit(1.0))
+    nodes = spark.range(40).withColumn("m", F.lit(780.0))
+    with tables(spark) as keep:
+        parts = dealt_community.Parts(keep, linked, 780, nodes)
+        state = parts.begin(nodes.selectExpr("id", "id AS c"))
+        new, seen = parts.step(state, 0, 1.0, 42, 1e-9)
+        assert new.count() <= parts.n * (parts.n + 1)
+        assert (seen.moves > 0, seen.value) == (True, round(-40 * 39**2 / (4 * 780**2), 12))
+        assert parts.named(new).count() == 40
+        plan = spark._jvm.PythonSQLUtils.explainString(parts._with_blocks(["ids"], state.where("kind = 0"), dealt_community._named, "id long, c long")._jdf.queryExecution(), "simple")
+        assert "InMemoryTableScan" in plan and plan.split("InMemoryTableScan")[0].count("Exchange") == 0
+        parts.close()
+
+
 def test_planted_groups_are_found(spark):
     g = planted(spark, 6, 20, 150, 20, 1)
     found = community.communities(g)
