@@ -101,3 +101,15 @@ def test_loops_alone_and_empty(spark):
     none = Graph(loops.nodes.limit(0), loops.edges.limit(0))
     assert community.communities(none).columns == ["community", "id"] and community.communities(none).count() == 0
     assert sorted(map(tuple, community.communities(Graph(loops.nodes, loops.edges.limit(0))).collect())) == [(0, "a"), (1, "b")]
+
+
+def test_modularity_deals_links_once_for_each_end(spark):
+    """Before, links were shuffled to be made distinct, then for each end."""
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "d"), ("d", "d")], "source string, target string")
+    c = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1), ("d", 1)], "id string, community int")
+    got = community.modularity(e, c.hint("merge"))
+    # 4 links, 3 of them inside; degrees 3 and 5
+    assert got.first()[0] == round(3 / 4 - (9 + 25) / 64, 6)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    # two sides of two joins, sums by community, and the last sum
+    assert plan.count("Exchange") == 6
