@@ -31,29 +31,57 @@ def xxhash64(ints: tuple[int, ...], longs: np.ndarray) -> np.ndarray:
     return _spread(_turned(h, 27) * _P[0] + _P[3]).view(np.int64)
 
 
-def choices(ends, far, weight, at, label, total, k, m, resolution: float, seed: int, turn: int, same: float):  # noqa: ANN001, ANN201
-    """(nodes that move, where to, the weight of each node's links into its own community, number of nodes that would gain elsewhere).
+def summed(ends: np.ndarray, far: np.ndarray, weight: np.ndarray | None, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(end, far, sum of weights) of each pair, in order; all weights are 1 where there are none. ``far`` is below ``width``."""
+    key = ends.astype(np.int64) * width + far
+    if not len(key):
+        return key, key, np.zeros(0)
+    order = None
+    if weight is None:
+        key.sort()
+    else:
+        order = np.argsort(key)
+        key = key[order]
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    into = np.diff(np.append(begin, len(key))).astype(float) if order is None else np.add.reduceat(weight[order], begin)
+    key = key[begin]
+    return key // width, key % width, into
+
+
+def _largest(node: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The rows of largest value of each node; rows lie by node."""
+    begin = np.append(True, node[1:] != node[:-1])
+    return np.flatnonzero(value == np.maximum.reduceat(value, np.flatnonzero(begin))[np.cumsum(begin) - 1])
+
+
+def choices(ends, far, weight, at, label, total, k, m, resolution: float, seed: int, turn: int, same: float, receives=None):  # noqa: ANN001, ANN201
+    """(nodes that move, where to, the weight of each node's links into its own community, number of nodes that would gain elsewhere,
+    or of those that move).
 
     ``ends`` are places of nodes in ``at``, ``k`` and ``m``; ``far``, the communities at the other ends, and ``at``, the nodes' own, are
-    places in ``label`` and ``total``.
+    places in ``label`` and ``total``. Links have weight 1 where ``weight`` is None. Only links of nodes that may move to communities that
+    receive are summed; the others only where no node moves, to tell whether any would.
     """
     n = len(at)
-    # a row for each node and community in reach, and for each node and its own
-    key, row = np.unique(np.concatenate([ends.astype(np.int64) * len(label) + far, np.arange(n) * len(label) + at]), return_inverse=True)
-    into = np.bincount(row, np.concatenate([weight, np.zeros(n)]))
-    node, to = key // len(label), key % len(label)
-    own = to == at[node]
-    gain = into - resolution * (total[to] - np.where(own, k[node], 0.0)) * k[node] / (2 * m[node])
-    here, here_into = np.zeros(n), np.zeros(n)
-    here[node[own]], here_into[node[own]] = gain[own], into[own]
-    receives = xxhash64((seed, turn // 2), label) % 2 == turn % 2
-    chance = xxhash64((turn,), label)
-    better = ~own & (gain > here[node] + same)
-    wants = len(np.unique(node[better]))
-    may = np.flatnonzero(better & receives[to] & ~receives[at[node]])
-    order = may[np.lexsort((label[to[may]], chance[to[may]], gain[may], node[may]))]
-    last = order[np.append(node[order][1:] != node[order][:-1], True)] if len(order) else order
-    return node[last], to[last], here_into, wants
+    if receives is None:
+        receives = xxhash64((seed, turn // 2), label) % 2 == turn % 2
+    own = far == at[ends]
+    here_into = np.bincount(ends[own], None if weight is None else weight[own], n).astype(float)
+    here = here_into - resolution * (total[at] - k) * k / (2 * m)
+
+    def better(links: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        node, to, into = summed(ends[links], far[links], None if weight is None else weight[links], len(total))
+        gain = into - resolution * (total[to] - 0.0) * k[node] / (2 * m[node])
+        more = gain > here[node] + same
+        return node[more], to[more], gain[more]
+
+    node, to, gain = better(np.flatnonzero((~receives[at])[ends] & receives[far]))
+    if not len(node):
+        return node, to, here_into, len(np.unique(better(np.flatnonzero(~own))[0]))
+    for value in (lambda: gain, lambda: xxhash64((turn,), label[to]), lambda: label[to]):
+        best = _largest(node, value())
+        node, to, gain = node[best], to[best], gain[best]
+    return node, to, here_into, len(node)
 
 
 def worth(into, loop, total, k, m, resolution: float) -> np.ndarray:  # noqa: ANN001
