@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from knotwork.operators.merge import completed_edges, completed_nodes
+from knotwork.plans import registry
 from knotwork.schema import Graph
 from knotwork.sources import nodelink
 
@@ -49,3 +50,21 @@ def test_other_layouts_are_read_whole(spark, saved, tmp_path, change):
 def test_empty_graph(spark, tmp_path):
     nodelink.save(Graph(spark.createDataFrame([], nodelink.schema.NODES), spark.createDataFrame([], nodelink.schema.EDGES)), tmp_path / "e.json")
     assert json.loads((tmp_path / "e.json").read_text())["links"] == [] and nodelink.load(spark, tmp_path / "e.json").nodes.count() == 0
+
+
+def test_parts_are_packed_and_no_rows_are_checkpointed(spark, tmp_path, monkeypatch):
+    """Before, the parts lay beside the file as large as it, and the round trip's rows as unpacked checkpoints."""
+    seen = []
+    real = nodelink.Folder.join
+
+    def join(self, name, pieces):
+        seen.extend(p[1] for p in pieces if not isinstance(p, str))
+        real(self, name, pieces)
+
+    monkeypatch.setattr(nodelink.Folder, "join", join)
+    monkeypatch.setattr(registry, "cut", None)
+    got = registry.nodelink_roundtrip(spark, "/root/testdata/sf0.001")
+    edges = registry.star_graph(spark, "/root/testdata/sf0.001").edges
+    columns = ["source", "target", "type", "line", "confidence"]
+    assert seen and all(x.endswith(".gz") for x in seen)
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, edges.select(columns).collect()))
